@@ -43,3 +43,136 @@ FROM (
          CAST(count(*) AS BIGINT) AS total_cnt
   FROM per_claim GROUP BY 1)
 """
+
+# --- grouped claims and answers -------------------------------------------
+_ORDER = ", ".join(S.EVIDENCE_ORDER)
+
+CLAIMS = f"""claims AS (
+  SELECT claim_id, claim, factcheck_verdict,
+    coalesce(list(evidence ORDER BY {_ORDER}) FILTER (WHERE evidence_stance = 'supports'),
+             []::VARCHAR[]) AS supports,
+    coalesce(list(evidence ORDER BY {_ORDER}) FILTER (WHERE evidence_stance = 'refutes'),
+             []::VARCHAR[]) AS refutes
+  FROM kept GROUP BY claim_id, claim, factcheck_verdict)"""
+
+ANSWERS = f"answers AS ({S.answers_sql(0)})"
+ANSWERS_B = f"answers_b AS ({S.answers_sql(1)})"
+BASE = (EVIDENCE, KEPT, CLAIMS, ANSWERS)
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def first_line(x: str) -> str:
+    return f"regexp_extract({x}, '^([^\\n]*)', 1)"
+
+
+def verdict_strict(x: str) -> str:
+    t = strip(f"lower({x})")
+    r1 = f"nullif(regexp_extract({t}, 'verdict\\s*[:=]\\s*\\[?\\s*(true|false|maybe|uncertain|unknown)', 1), '')"
+    r2 = (f"nullif(regexp_extract({strip(first_line(t))}, "
+          "'^[\\[({]?\\s*(true|false|maybe|uncertain|unknown)\\b', 1), '')")
+    v = f"coalesce({r1}, {r2})"
+    return f"(CASE WHEN {v} IN ('uncertain', 'unknown') THEN 'maybe' ELSE {v} END)"
+
+
+def verdict_loose(x: str) -> str:
+    t = f"lower({x})"
+    return (f"(CASE WHEN regexp_matches({t}, '\\btrue\\b') THEN 'true' "
+            f"WHEN regexp_matches({t}, '\\bfalse\\b') THEN 'false' "
+            f"WHEN regexp_matches({t}, '\\b(?:maybe|unknown|uncertain)\\b') THEN 'maybe' END)")
+
+
+def _score(s: str) -> str:
+    n = f"try_cast({s} AS INTEGER)"
+    return f"(CASE WHEN {n} BETWEEN 0 AND 100 THEN {n} END)"
+
+
+def confidence_strict(x: str) -> str:
+    t = strip(x)
+    r1 = f"regexp_extract({t}, '(?i)confidence\\s*score\\s*:\\s*\\[?\\s*(\\d{{1,3}})', 1)"
+    r2 = f"regexp_extract({t}, '(?i)\\b(?:true|false|maybe)\\b\\]?\\s*[\\s:\\-(\\[]*\\s*(\\d{{1,3}})', 1)"
+    r3 = f"regexp_extract_all({first_line(t)}, '\\b(\\d{{1,3}})\\b', 1)[-1]"
+    return _score(f"(CASE WHEN {r1} <> '' THEN {r1} WHEN {r2} <> '' THEN {r2} ELSE {r3} END)")
+
+
+def confidence_loose(x: str) -> str:
+    t = strip(x)
+    r1 = f"regexp_extract({t}, '(?i)confidence\\s*score\\s*:\\s*(\\d{{1,3}})', 1)"
+    r2 = f"regexp_extract({t}, '(?i)\\b(?:true|false|maybe)\\b[\\s:\\-(\\[]*(\\d{{1,3}})', 1)"
+    r3 = f"nullif(regexp_extract({first_line(t)}, '\\b(\\d{{1,3}})\\b', 1), '')"
+    return _score(f"(CASE WHEN {r1} <> '' THEN {r1} WHEN {r2} <> '' THEN {r2} ELSE {r3} END)")
+
+
+def internal_knowledge(x: str) -> str:
+    t = strip(f"lower({x})")
+    r1 = (f"regexp_extract({t}, '\\binternal(?:ly)?[-\\s]+knowledge\\b\\s*[:=]\\s*\\[?\\s*"
+          "(true|false|yes|no)', 1)")
+    r4 = f"regexp_extract({t}, '\\binternally\\s*[:=]\\s*(true|false)\\s*$', 1)"
+    return (f"(CASE WHEN {r1} = 'yes' THEN 'true' WHEN {r1} = 'no' THEN 'false' "
+            f"WHEN {r1} <> '' THEN {r1} "
+            f"WHEN regexp_matches({t}, '\\bno\\s+internal(?:ly)?\\s+knowledge\\b') "
+            f"OR regexp_matches({t}, 'does\\s+not\\s+indicate\\s+any\\s+internal') THEN 'false' "
+            f"WHEN {r4} <> '' THEN {r4} END)")
+
+
+_HEAD = ("(?:here\\s+(?:is|are)\\s+the\\s+analysis|here\\s+are\\s+the\\s+key\\s+factual\\s+insights"
+         "|here''s\\s+the\\s+analysis|bullets)")
+_STOP = ("\\b(?:internal(?:ly)?|internal\\s+knowledg|internal\\s*knowledge|verdict"
+         "|confidence\\s+score)\\b")
+_MARK = "(^|[^\\w])(--|-|[0-9]+[.)])\\s"
+
+
+def bullet_block(x: str) -> str:
+    block = (f"(CASE WHEN regexp_matches({x}, '(?i){_HEAD}\\s*:') "
+             f"THEN regexp_extract({x}, '(?is){_HEAD}\\s*:\\s*(.*)', 1) ELSE {x} END)")
+    return (f"(CASE WHEN regexp_matches({block}, '(?i){_STOP}') "
+            f"THEN regexp_extract({block}, '(?is)^(.*?){_STOP}', 1) ELSE {block} END)")
+
+
+def bullets(x: str) -> str:
+    """RE2 has no look-around. A neutral \\x02 is put after every whitespace
+    character, so a marker's trailing space can be consumed while the next
+    marker still has a non-word left neighbour; item starts are marked with
+    \\x01, the \\x02 removed again, and the text split."""
+    blk = bullet_block(x)
+    spaced = f"regexp_replace({blk}, '(\\s)', '\\1' || chr(2), 'g')"
+    marked = f"regexp_replace({spaced}, '{_MARK}', '\\1' || chr(1), 'g')"
+    pieces = f"string_split(replace({marked}, chr(2), ''), chr(1))[2:]"
+    dash = (f"list_transform(list_filter({pieces}, lambda b: {strip('b')} <> ''), "
+            f"lambda b: trim({strip('b')}, '[]'))")
+    quoted = (f"list_transform(list_filter(regexp_extract_all({blk}, '\\b\\d+\\s*\"([^\"]+)\"', 1), "
+              f"lambda q: {strip('q')} <> ''), lambda q: {strip('q')})")
+    items = f"list_concat({dash}, {quoted})"
+    out = (f"list_transform(list_filter({items}, lambda b: {strip('b')} <> ''), "
+           f"lambda b: {strip(chr(116) + 'rim(b, ' + chr(39) + '[] ' + chr(39) + ')')})")
+    return f"(CASE WHEN {x} IS NULL OR {x} = '' THEN []::VARCHAR[] ELSE {out} END)"
+
+
+_K = "model, mode, claim_id, prompt"
+ORACLES["verdict_strict"] = with_(*BASE) + f"SELECT {_K}, {verdict_strict('response')} AS verdict FROM answers"
+ORACLES["verdict_loose"] = with_(*BASE) + f"SELECT {_K}, {verdict_loose('response')} AS verdict FROM answers"
+ORACLES["confidence_strict"] = (with_(*BASE) +
+                                f"SELECT {_K}, {confidence_strict('response')} AS confidence FROM answers")
+ORACLES["confidence_loose"] = (with_(*BASE) +
+                               f"SELECT {_K}, {confidence_loose('response')} AS confidence FROM answers")
+ORACLES["internal_knowledge"] = (with_(*BASE) +
+                                 f"SELECT {_K}, {internal_knowledge('response')} AS internal_knowledge "
+                                 "FROM answers")
+ORACLES["bullets"] = with_(*BASE) + f"""SELECT {_K}, CAST(len(b) AS BIGINT) AS n_bullets,
+  array_to_string(b, ' | ') AS bullets_text
+FROM (SELECT *, {bullets('response')} AS b FROM answers)"""
+
+PARSED = f"""parsed AS (
+  SELECT *, {verdict_strict('response')} AS verdict, {confidence_strict('response')} AS confidence,
+         {bullets('response')} AS bullets, {internal_knowledge('response')} AS internal_knowledge
+  FROM answers)"""
+
+ORACLES["extraction_quality"] = with_(*BASE, PARSED) + """SELECT model, mode, prompt,
+  CAST(count(*) AS BIGINT) AS n_answers,
+  CAST(count(*) FILTER (WHERE verdict IS NULL) AS BIGINT) AS missing_verdict,
+  CAST(count(*) FILTER (WHERE confidence IS NULL) AS BIGINT) AS missing_confidence,
+  CAST(count(*) FILTER (WHERE len(bullets) = 0) AS BIGINT) AS missing_bullets,
+  CAST(count(*) FILTER (WHERE internal_knowledge IS NULL) AS BIGINT) AS missing_knowledge
+FROM parsed GROUP BY model, mode, prompt"""

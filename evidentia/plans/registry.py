@@ -23,3 +23,43 @@ def q_category_by_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "category_by_verdict": q_category_by_verdict,
 }
+
+
+# --- extraction (X1-X7) -----------------------------------------------------
+from evidentia.functions import extract as X  # noqa: E402
+from evidentia.plans import extraction as XP  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+_K = ["model", "mode", "claim_id", "prompt"]
+
+
+def _answers(spark, sf_dir, run=0):
+    return S.answers(spark, sf_dir, run)
+
+
+def _rowwise(col_fn, name):
+    def q(spark, sf_dir):
+        a = _answers(spark, sf_dir)
+        return a.select(*_K, col_fn(F.col("response")).alias(name))
+    return q
+
+
+def q_bullets(spark, sf_dir):
+    a = _answers(spark, sf_dir).select(*_K, X.bullets("response").alias("b"))
+    return a.select(*_K, F.size("b").cast("bigint").alias("n_bullets"),
+                    F.array_join("b", " | ").alias("bullets_text"))
+
+
+def q_extraction_quality(spark, sf_dir):
+    return XP.extraction_quality(XP.extract_answers(_answers(spark, sf_dir), "strict"))
+
+
+QUERIES.update({
+    "verdict_strict": _rowwise(X.verdict_strict, "verdict"),
+    "verdict_loose": _rowwise(X.verdict_loose, "verdict"),
+    "confidence_strict": _rowwise(X.confidence_strict, "confidence"),
+    "confidence_loose": _rowwise(X.confidence_loose, "confidence"),
+    "internal_knowledge": _rowwise(X.internal_knowledge, "internal_knowledge"),
+    "bullets": q_bullets,
+    "extraction_quality": q_extraction_quality,
+})

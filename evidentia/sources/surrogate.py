@@ -16,7 +16,7 @@ tokens     embeddings split into 20 text pairs, candidate and reference side
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -121,10 +121,11 @@ def _word(words: list[str], index_sql: str) -> str:
     return f"(CASE ({index_sql}) % {len(words)} {arms} END)"
 
 
-def answer_columns() -> dict[str, str]:
+def answer_columns(run: int = 0) -> dict[str, str]:
     """SQL expressions of the synthetic answer, over columns
-    claim_key, model_no, prompt_no, mode_no, ev1, ev2, claim."""
-    key = "claim_key"
+    claim_key, model_no, prompt_no, mode_no, ev1, ev2, claim.
+    ``run`` 1 gives a second, partly different run of the same prompts."""
+    key = f"(claim_key + {3 * run})"
     v = _word(VERDICT_WORDS, f"{key} + model_no * 2 + prompt_no + mode_no")
     k = _word(KNOWLEDGE_WORDS, f"{key} + prompt_no")
     t = _word(["true", "false"], f"{key} + model_no")
@@ -137,3 +138,68 @@ def answer_columns() -> dict[str, str]:
         for i, r in enumerate(RESPONSES))
     shape = f"(({key} * 7 + model_no * 3 + prompt_no + mode_no * 5) % {len(RESPONSES)})"
     return {"response": f"(CASE {shape} {arms} END)"}
+
+
+def claim_key(claim_id: str = "claim_id") -> str:
+    """Numeric key at the end of a claim id (SQL, both engines)."""
+    return f"cast(regexp_extract({claim_id}, '([0-9]+)$', 1) as bigint)"
+
+
+def _literal_rows(names: list[str], rows: list[tuple]) -> Column:
+    return F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)])
+                              for r in rows]))
+
+
+def answers(spark: SparkSession, sf_dir: str, run: int = 0,
+            style: str = "bullet_first") -> DataFrame:
+    """One row per claim x mode x model x prompt type, with the prompt and a
+    synthetic response. Built from the grouped claims (G1) with a verdict;
+    a claim enters every mode its evidence allows (F9), 1refute only for
+    claims whose verdict is True. Modes, models and prompt types are literal
+    generators (inline), not joins."""
+    from evidentia.operators.claims import group_claims
+    from evidentia.operators.prompts import prompt_text
+
+    cl = group_claims(evidence(spark, sf_dir)).filter(F.col("factcheck_verdict").isNotNull())
+    modes = [(m, i, *MODE_EVIDENCE[m]) for i, m in enumerate(MODES)]
+    x = cl.select("*", _literal_rows(["mode", "mode_no", "n_s", "n_r"], modes))
+    x = x.filter((F.size("supports") >= F.col("n_s")) & (F.size("refutes") >= F.col("n_r"))
+                 & ((F.col("mode") != "1refute") | (F.col("factcheck_verdict") == "True")))
+    sel = F.concat(F.slice("supports", 1, F.col("n_s")), F.slice("refutes", 1, F.col("n_r")))
+    x = x.select("claim_id", "claim", "factcheck_verdict", "mode", "mode_no",
+                 sel.alias("selected_evidence"),
+                 F.expr(claim_key()).alias("claim_key"))
+    mp = [(m, mi, p, pi) for mi, m in enumerate(MODELS) for pi, p in enumerate(PROMPTS)]
+    x = x.select("*", _literal_rows(["model", "model_no", "prompt", "prompt_no"], mp))
+    x = x.withColumn("ev1", F.get("selected_evidence", 0)).withColumn("ev2", F.get("selected_evidence", 1))
+    ptext = None
+    for p in PROMPTS:
+        e = prompt_text(style, p, F.col("claim"), F.col("selected_evidence"))
+        ptext = F.when(F.col("prompt") == p, e) if ptext is None else ptext.when(F.col("prompt") == p, e)
+    return x.select(
+        F.lit(style).alias("style"), "model", "mode", "claim_id", "claim", "factcheck_verdict",
+        "prompt", ptext.alias("prompt_text"),
+        F.expr(answer_columns(run)["response"]).alias("response"),
+        "claim_key", "model_no", "prompt_no", "mode_no")
+
+
+def answers_sql(run: int = 0) -> str:
+    """DuckDB text of ``answers`` (without the prompt text), reading the CTE
+    ``claims`` (claim_id, claim, factcheck_verdict, supports, refutes)."""
+    modes = ", ".join(f"('{m}', {i}, {MODE_EVIDENCE[m][0]}, {MODE_EVIDENCE[m][1]})"
+                      for i, m in enumerate(MODES))
+    mp = ", ".join(f"('{m}', {mi}, '{p}', {pi})"
+                   for mi, m in enumerate(MODELS) for pi, p in enumerate(PROMPTS))
+    return f"""SELECT model, mode, claim_id, claim, factcheck_verdict, prompt,
+  {answer_columns(run)["response"]} AS response,
+  claim_key, model_no, prompt_no, mode_no, ev1, ev2
+FROM (
+  SELECT c.claim_id, c.claim, c.factcheck_verdict, m.mode, m.mode_no,
+         {claim_key("c.claim_id")} AS claim_key,
+         list_concat(c.supports[1:m.n_s], c.refutes[1:m.n_r])[1] AS ev1,
+         list_concat(c.supports[1:m.n_s], c.refutes[1:m.n_r])[2] AS ev2
+  FROM claims c, (VALUES {modes}) m(mode, mode_no, n_s, n_r)
+  WHERE c.factcheck_verdict IS NOT NULL
+    AND len(c.supports) >= m.n_s AND len(c.refutes) >= m.n_r
+    AND (m.mode <> '1refute' OR c.factcheck_verdict = 'True')) b,
+  (VALUES {mp}) mp(model, model_no, prompt, prompt_no)"""
