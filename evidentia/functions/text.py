@@ -35,3 +35,38 @@ def join_bullets(bullets: Column) -> Column:
 def split_bullet_string(c: Column) -> Column:
     """Bullets stored as one string: split on '--', strip, drop empties."""
     return F.filter(F.transform(F.split(c, "--"), strip_ws), lambda x: x != "")
+
+
+# M7 readability --------------------------------------------------------------
+# Flesch-Kincaid grade = 0.39 * words/sentences
+#                                      + 11.8 * syllables/words - 15.59
+FK_SENTENCE_WEIGHT = 0.39
+FK_SYLLABLE_WEIGHT = 11.8
+FK_CONSTANT = 15.59
+
+
+def syllables(word: Column) -> Column:
+    """Vowel groups (a e i o u y) of the lower-cased letters, minus a silent
+    final 'e' when the word has more than one group; at least 1 for a word
+    with letters, 0 without letters."""
+    w = F.regexp_replace(F.lower(word), "[^a-z]", "")
+    groups = F.regexp_count(w, F.lit("[aeiouy]+"))
+    silent = F.when(w.endswith("e") & (groups > 1), 1).otherwise(0)
+    return F.when(w == "", F.lit(0)).otherwise(F.greatest(groups - silent, F.lit(1)))
+
+
+def fk_grade(text: Column) -> Column:
+    """Flesch-Kincaid grade of a text; NULL when it has no words.
+    Sentences = runs of . ! ? (at least 1)."""
+    words = F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
+    n_words = F.size(words)
+    n_sent = F.greatest(F.regexp_count(text, F.lit("[.!?]+")), F.lit(1))
+    n_syl = F.aggregate(F.transform(words, syllables), F.lit(0), lambda a, x: a + x)
+    grade = (FK_SENTENCE_WEIGHT * (n_words / n_sent) + FK_SYLLABLE_WEIGHT * (n_syl / n_words)
+             - FK_CONSTANT)
+    return F.when(n_words > 0, grade)
+
+
+def bullets_fk(bullets: Column) -> Column:
+    """Bullets -> ARRAY<STRUCT<sentence, fk_grade>>."""
+    return F.transform(bullets, lambda b: F.struct(b.alias("sentence"), fk_grade(b).alias("fk_grade")))

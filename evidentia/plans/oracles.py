@@ -176,3 +176,116 @@ ORACLES["extraction_quality"] = with_(*BASE, PARSED) + """SELECT model, mode, pr
   CAST(count(*) FILTER (WHERE len(bullets) = 0) AS BIGINT) AS missing_bullets,
   CAST(count(*) FILTER (WHERE internal_knowledge IS NULL) AS BIGINT) AS missing_knowledge
 FROM parsed GROUP BY model, mode, prompt"""
+
+# --- statistics ---------------------------------------------------------------
+_G = "mode, model, prompt"
+
+
+def _cnt(cond: str) -> str:
+    return f"CAST(count(*) FILTER (WHERE {cond}) AS BIGINT)"
+
+
+ORACLES["verdict_counts"] = with_(*BASE, PARSED) + f"""SELECT model, mode, prompt,
+  {_cnt("verdict = 'true'")} AS n_true, {_cnt("verdict = 'false'")} AS n_false,
+  {_cnt("verdict = 'maybe'")} AS n_maybe, {_cnt("verdict IS NOT NULL AND verdict <> ''")} AS n_total
+FROM parsed GROUP BY model, mode, prompt"""
+
+
+def _pct_table() -> str:
+    aggs, outs = [], []
+    for mo in S.MODES:
+        aggs.append(f"{_cnt(f'mode = {chr(39)}{mo}{chr(39)}')} AS rows_{mo}")
+        aggs.append(f"{_cnt(f'mode = {chr(39)}{mo}{chr(39)} AND verdict IS NOT NULL AND verdict <> {chr(39)}{chr(39)}')} AS tot_{mo}")
+        for x in ("true", "false", "maybe"):
+            aggs.append(f"{_cnt(f'mode = {chr(39)}{mo}{chr(39)} AND verdict = {chr(39)}{x}{chr(39)}')} AS n_{x}_{mo}")
+            outs.append(f"round(CASE WHEN rows_{mo} = 0 THEN NULL WHEN tot_{mo} = 0 THEN 0.0 "
+                        f"ELSE 100.0 * n_{x}_{mo} / tot_{mo} END, 6) AS pct_{x}_{mo}")
+    return (f"SELECT model, prompt, {', '.join(outs)} FROM (SELECT model, prompt, {', '.join(aggs)} "
+            "FROM parsed GROUP BY model, prompt)")
+
+
+ORACLES["verdict_pct_table"] = with_(*BASE, PARSED) + _pct_table()
+
+
+def _share(column: str, valid: list[str]) -> str:
+    v = f"lower({strip(column)})"
+    vals = ", ".join(f"'{x}'" for x in valid)
+    lab = f"(CASE WHEN {column} IS NULL THEN 'missing' WHEN {v} IN ({vals}) THEN {v} ELSE 'missing' END)"
+    cats = valid + ["missing"]
+    cnts = ", ".join(f"{_cnt(f'lab = {chr(39)}{c}{chr(39)}')} AS c_{c}" for c in cats)
+    pcts = ", ".join(f"round(100.0 * c_{c} / n, 6) AS pct_{c}" for c in cats)
+    return (f"SELECT {_G}, n, {pcts} FROM (SELECT {_G}, CAST(count(*) AS BIGINT) AS n, {cnts} "
+            f"FROM (SELECT {_G}, {lab} AS lab FROM parsed) GROUP BY {_G})")
+
+
+ORACLES["verdict_share_missing"] = with_(*BASE, PARSED) + _share("verdict", ["true", "false", "maybe"])
+ORACLES["internal_share"] = with_(*BASE, PARSED) + _share("internal_knowledge", ["true", "false"])
+
+
+def _mean_sd(source: str, value: str, keys: str = _G, pop: bool = False) -> str:
+    sd = "stddev_pop" if pop else "stddev_samp"
+    return (f"SELECT {keys}, CAST(count(x) AS BIGINT) AS n, round(avg(x), 6) AS mean, "
+            f"round({sd}(x), 6) AS sd FROM (SELECT {keys}, {value} AS x FROM {source}) GROUP BY {keys}")
+
+
+def words(x: str) -> str:
+    return f"len(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> ''))"
+
+
+ITEM_BULLETS = f"""items AS (
+  SELECT {_G}, len(bullets) AS bullet_count,
+    CASE WHEN len(nb) > 0 THEN list_sum(list_transform(nb, lambda b: {words('b')})) / len(nb)
+         ELSE 0.0 END AS avg_bullet_length
+  FROM (SELECT *, list_filter(bullets, lambda b: {strip('b')} <> '') AS nb FROM parsed))"""
+
+ORACLES["confidence_stats"] = with_(*BASE, PARSED) + _mean_sd("parsed", "confidence")
+ORACLES["bullet_count_stats"] = with_(*BASE, PARSED, ITEM_BULLETS) + _mean_sd("items", "bullet_count")
+ORACLES["bullet_length_stats"] = (with_(*BASE, PARSED, ITEM_BULLETS) +
+                                  _mean_sd("items", "avg_bullet_length"))
+
+
+def syllables(w: str) -> str:
+    ww = f"regexp_replace(lower({w}), '[^a-z]', '', 'g')"
+    g = f"len(regexp_extract_all({ww}, '[aeiouy]+'))"
+    return (f"(CASE WHEN {ww} = '' THEN 0 ELSE greatest({g} - "
+            f"(CASE WHEN suffix({ww}, 'e') AND {g} > 1 THEN 1 ELSE 0 END), 1) END)")
+
+
+def fk_grade(x: str) -> str:
+    ws = f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
+    nw = f"len({ws})"
+    ns = f"greatest(len(regexp_extract_all({x}, '[.!?]+')), 1)"
+    nsyl = f"list_sum(list_transform({ws}, lambda w: {syllables('w')}))"
+    return (f"(CASE WHEN {nw} > 0 THEN 0.39 * ({nw} / {ns}) + 11.8 * ({nsyl} / {nw}) - 15.59 END)")
+
+
+ITEM_FK = f"""fk_items AS (
+  SELECT {_G}, CASE WHEN len(g) > 0 THEN list_sum(g) / len(g) END AS fk_grade
+  FROM (SELECT *, list_filter(list_transform(bullets, lambda b: {fk_grade('b')}),
+                              lambda x: x IS NOT NULL) AS g FROM parsed))"""
+
+ORACLES["fk_stats"] = with_(*BASE, PARSED, ITEM_FK) + _mean_sd("fk_items", "fk_grade")
+
+PARSED_B = f"""parsed_b AS (
+  SELECT *, {verdict_strict('response')} AS verdict FROM answers_b)"""
+
+ORACLES["match_rate"] = with_(*BASE, ANSWERS_B, PARSED, PARSED_B) + f"""SELECT {_G},
+  CAST(count(*) AS BIGINT) AS n,
+  round(avg(CASE WHEN a.verdict IS NOT DISTINCT FROM b.verdict THEN 1.0 ELSE 0.0 END) * 100.0, 6) AS match_pct
+FROM parsed a JOIN parsed_b b USING (model, mode, claim_id, prompt)
+WHERE (model, mode) IN (
+  SELECT (x.model, x.mode) FROM
+    (SELECT model, mode, count(*) AS na FROM parsed GROUP BY ALL) x
+    JOIN (SELECT model, mode, count(*) AS nb FROM parsed_b GROUP BY ALL) y USING (model, mode)
+  WHERE na = nb)
+GROUP BY {_G}"""
+
+ORACLES["subset_semi"] = with_(*BASE) + """SELECT model, mode, claim_id, prompt FROM answers a
+WHERE mode = '1refute'
+  AND EXISTS (SELECT 1 FROM answers m WHERE m.mode = 'mix' AND m.model = a.model
+              AND m.claim_id = a.claim_id)"""
+
+ORACLES["sample_sizes"] = with_(*BASE) + """SELECT mode, CAST(count(*) AS BIGINT) AS n_rows,
+  CAST(floor(count(*) / 9) AS BIGINT) AS n_items_compat,
+  CAST(count(DISTINCT claim_id) AS BIGINT) AS n_claims
+FROM answers GROUP BY mode"""

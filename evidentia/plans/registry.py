@@ -63,3 +63,32 @@ QUERIES.update({
     "bullets": q_bullets,
     "extraction_quality": q_extraction_quality,
 })
+
+
+# --- statistics over parsed answers (E3-E14, E22, J4, J5) ---------------------
+from evidentia.plans import stats as ST  # noqa: E402
+
+MODES = S.MODES
+
+
+def _parsed(spark, sf_dir, run=0):
+    return XP.extract_answers(_answers(spark, sf_dir, run), "strict")
+
+
+QUERIES.update({
+    "verdict_counts": lambda spark, d: ST.verdict_counts(_parsed(spark, d)),
+    "verdict_pct_table": lambda spark, d: ST.verdict_pct_table(_parsed(spark, d), MODES),
+    "verdict_share_missing": lambda spark, d: ST.label_share(_parsed(spark, d), "verdict",
+                                                             ["true", "false", "maybe"]),
+    "internal_share": lambda spark, d: ST.label_share(_parsed(spark, d), "internal_knowledge",
+                                                      ["true", "false"]),
+    "confidence_stats": lambda spark, d: ST.mean_sd(_parsed(spark, d), F.col("confidence")),
+    "bullet_count_stats": lambda spark, d: ST.mean_sd(ST.bullet_item_stats(_parsed(spark, d)),
+                                                      F.col("bullet_count")),
+    "bullet_length_stats": lambda spark, d: ST.mean_sd(ST.bullet_item_stats(_parsed(spark, d)),
+                                                       F.col("avg_bullet_length")),
+    "fk_stats": lambda spark, d: ST.mean_sd(ST.fk_item_stats(_parsed(spark, d)), F.col("fk_grade")),
+    "match_rate": lambda spark, d: ST.match_rate(_parsed(spark, d, 0), _parsed(spark, d, 1)),
+    "subset_semi": lambda spark, d: ST.subset_semi(_answers(spark, d)).select(*_K),
+    "sample_sizes": lambda spark, d: ST.sample_sizes(_parsed(spark, d)),
+})
