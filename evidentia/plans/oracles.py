@@ -289,3 +289,124 @@ ORACLES["sample_sizes"] = with_(*BASE) + """SELECT mode, CAST(count(*) AS BIGINT
   CAST(floor(count(*) / 9) AS BIGINT) AS n_items_compat,
   CAST(count(DISTINCT claim_id) AS BIGINT) AS n_claims
 FROM answers GROUP BY mode"""
+
+# --- claims and prompts ---------------------------------------------------------
+from evidentia.operators import prompts as _P  # noqa: E402
+
+_CLAIMS_TEXT = """SELECT claim_id, claim, factcheck_verdict,
+  CAST(len(supports) AS BIGINT) AS n_supports, CAST(len(refutes) AS BIGINT) AS n_refutes,
+  array_to_string(supports, '|') AS supports_text, array_to_string(refutes, '|') AS refutes_text
+FROM {src} WHERE len(supports) > 0 OR len(refutes) > 0"""
+
+ORACLES["claims_grouped"] = with_(EVIDENCE, KEPT, CLAIMS) + _CLAIMS_TEXT.format(src="claims")
+ORACLES["claims_wide"] = ORACLES["claims_grouped"]
+ORACLES["claims_first_row"] = with_(EVIDENCE) + _CLAIMS_TEXT.format(src=f"""(
+  SELECT claim_id,
+    arg_min(claim, ({_ORDER})) AS claim,
+    arg_min(factcheck_verdict, ({_ORDER})) AS factcheck_verdict,
+    coalesce(list(evidence ORDER BY {_ORDER}) FILTER (WHERE evidence_stance = 'supports'), []::VARCHAR[]) AS supports,
+    coalesce(list(evidence ORDER BY {_ORDER}) FILTER (WHERE evidence_stance = 'refutes'), []::VARCHAR[]) AS refutes
+  FROM evidence
+  WHERE relevant AND NOT starts_with(claim_id, 'borderlines-')
+    AND evidence_stance IN ('supports', 'refutes')
+  GROUP BY claim_id)""")
+
+ORACLES["evidence_funnel"] = with_(EVIDENCE) + """SELECT
+  CAST(count(*) AS BIGINT) AS raw_rows,
+  CAST(count(*) FILTER (WHERE relevant) AS BIGINT) AS relevant_rows,
+  CAST(count(*) FILTER (WHERE relevant AND NOT starts_with(claim_id, 'borderlines-')) AS BIGINT)
+    AS relevant_not_borderline_rows,
+  CAST(count(*) FILTER (WHERE relevant AND NOT starts_with(claim_id, 'borderlines-')
+    AND evidence_stance IN ('supports', 'refutes')) AS BIGINT) AS kept_stance_rows,
+  CAST(count(DISTINCT claim_id) FILTER (WHERE relevant AND NOT starts_with(claim_id, 'borderlines-')
+    AND evidence_stance IN ('supports', 'refutes')) AS BIGINT) AS kept_claims
+FROM evidence"""
+
+ORACLES["category_by_mode_total"] = with_(*BASE, FIRST_VERDICT) + """, uni AS (
+  SELECT DISTINCT regexp_extract(claim_id, '^([^-_]*)', 1) AS category FROM per_claim),
+per_cat AS (
+  SELECT regexp_extract(claim_id, '^([^-_]*)', 1) AS category,
+    count(*) FILTER (WHERE mode = '2support') AS c1, count(*) FILTER (WHERE mode = '2refute') AS c2,
+    count(*) FILTER (WHERE mode = 'mix') AS c3, count(*) AS tot
+  FROM answers WHERE model = 'llama' AND prompt = 'basic' GROUP BY 1),
+full_t AS (
+  SELECT u.category, coalesce(c1, 0) AS c1, coalesce(c2, 0) AS c2, coalesce(c3, 0) AS c3,
+         coalesce(tot, 0) AS tot
+  FROM uni u LEFT JOIN per_cat p USING (category))
+SELECT category, CAST(c1 AS BIGINT) AS cnt_2support, CAST(c2 AS BIGINT) AS cnt_2refute,
+       CAST(c3 AS BIGINT) AS cnt_mix, CAST(tot AS BIGINT) AS total_cnt FROM full_t
+UNION ALL
+SELECT 'Total', CAST(sum(c1) AS BIGINT), CAST(sum(c2) AS BIGINT), CAST(sum(c3) AS BIGINT),
+       CAST(sum(tot) AS BIGINT) FROM full_t"""
+
+CLAIMS_V = """claims_v AS (SELECT * FROM claims WHERE factcheck_verdict IS NOT NULL)"""
+
+ORACLES["prompt_inputs"] = with_(EVIDENCE, KEPT, CLAIMS, CLAIMS_V) + """SELECT claim_id,
+  array_to_string(list_reverse(list_concat(supports[1:1], refutes[1:1])), '|') AS selected_text
+FROM claims_v WHERE len(supports) >= 1 AND len(refutes) >= 1"""
+
+
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def prompt_sql(style: str, ptype: str, claim: str, sel: str) -> str:
+    head = f"['<Claim>: ' || {claim} || chr(10)]"
+    ev = ("[]::VARCHAR[]" if ptype == "claim" else
+          f"list_transform({sel}, lambda x, i: '<Evidence ' || i || '>: ' || x || chr(10))")
+    instr = _sql_lit(_P.instruction_text(style, ptype))
+    return f"array_to_string(list_concat({head}, {ev}, [{instr}]), chr(10))"
+
+
+def _prompt_oracle(style: str, n_s: int, n_r: int) -> str:
+    sel = f"list_concat(supports[1:{n_s}], refutes[1:{n_r}])"
+    cols = ", ".join(f"{prompt_sql(style, p, 'claim', sel)} AS {p}_prompt" for p in _P.PROMPT_TYPES)
+    return (with_(EVIDENCE, KEPT, CLAIMS) +
+            f"SELECT claim_id, claim, factcheck_verdict AS fact_check, {cols} FROM claims "
+            f"WHERE factcheck_verdict IN ('True', 'False', 'Half True') "
+            f"AND len(supports) >= {n_s} AND len(refutes) >= {n_r}")
+
+
+ORACLES["prompt_bullet_first"] = _prompt_oracle("bullet_first", 2, 0)
+ORACLES["prompt_verdict_first"] = _prompt_oracle("verdict_first", 0, 2)
+ORACLES["prompt_verdict_conf"] = _prompt_oracle("verdict_conf", 1, 1)
+ORACLES["prompt_verdict_only"] = _prompt_oracle("verdict_only", 1, 1)
+
+_JUDGE_INSTR = _sql_lit(
+    "\n<Instruction>:\nScore the bullet list: 1 if a criterion holds, 0 if "
+    "not. Criterion 1: the bullets do not contradict each other. "
+    "Criterion 2: they are enough to judge the claim. Criterion 3: they "
+    "do not repeat each other. Criterion 4: they are clear. Then count the "
+    "bullets that matter for judging the claim. Output only the scores:\n" + _P.JUDGE_FORMAT)
+
+ORACLES["eval_prompts"] = with_(*BASE, PARSED) + f"""SELECT model, mode, claim_id, prompt,
+  '<Claim>: ' || claim || chr(10) || '<Bullet list>:' || chr(10)
+  || coalesce(array_to_string(list_transform(bullets, lambda b: '- ' || b), chr(10)), '')
+  || {_JUDGE_INSTR} AS eval_prompt
+FROM parsed WHERE mode = 'mix'"""
+
+
+def _chat_sql(model: str, prompt: str) -> str:
+    arms = []
+    for name, tpl in _P.CHAT_TEMPLATES.items():
+        pre, post = tpl.replace("{system}", _P.SYSTEM_TEXT).split("{prompt}")
+        arms.append(f"WHEN {model} = '{name}' THEN {_sql_lit(pre)} || {prompt} || {_sql_lit(post)}")
+    return "(CASE " + " ".join(arms) + " END)"
+
+
+ORACLES["chat_wrapped"] = with_(*BASE) + f"""SELECT model, mode, claim_id,
+  {_chat_sql('model', prompt_sql('bullet_first', 'internal', 'claim', 'sel'))} AS chat_prompt
+FROM answers WHERE prompt = 'internal'"""
+
+
+def _tag(x: str, tag: str, nxt: list[str]) -> str:
+    alts = "|".join(nxt + ["$"])
+    return (f"(CASE WHEN contains({x}, '{tag}') THEN "
+            f"{strip(f'regexp_extract({x}, {_sql_lit(f"(?s){tag}\\s*(.*?)(?:{alts})")}, 1)')} END)")
+
+
+_PB = prompt_sql("bullet_first", "basic", "claim", "sel")
+ORACLES["tagged_evidence"] = with_(*BASE) + f"""SELECT model, mode, claim_id,
+  {_tag('pt', '<Evidence 1>:', ['<Evidence 2>:', '<Instruction>:'])} AS evidence_1,
+  {_tag('pt', '<Evidence 2>:', ['<Instruction>:'])} AS evidence_2
+FROM (SELECT *, {_PB} AS pt FROM answers WHERE prompt = 'basic')"""

@@ -92,3 +92,81 @@ QUERIES.update({
     "subset_semi": lambda spark, d: ST.subset_semi(_answers(spark, d)).select(*_K),
     "sample_sizes": lambda spark, d: ST.sample_sizes(_parsed(spark, d)),
 })
+
+
+# --- claims, prompts (G1-G8, E2, E5, P-1..P-8, X11) -------------------------------
+from evidentia.operators import claims as C  # noqa: E402
+from evidentia.operators import prompts as P  # noqa: E402
+
+
+def _claims(spark, d):
+    return C.group_claims(S.evidence(spark, d))
+
+
+def _claims_text(df):
+    return df.select("claim_id", "claim", "factcheck_verdict",
+                     F.size("supports").cast("bigint").alias("n_supports"),
+                     F.size("refutes").cast("bigint").alias("n_refutes"),
+                     F.array_join("supports", "|").alias("supports_text"),
+                     F.array_join("refutes", "|").alias("refutes_text"))
+
+
+def q_claims_roundtrip(spark, d):
+    """G4 + G5 + G6: wide export and back. The width is the one driver scalar."""
+    cl = _claims(spark, d)
+    n_s, n_r = C.max_list_width(cl)
+    return _claims_text(C.from_wide(C.to_wide(cl, n_s, n_r)))
+
+
+def q_category_by_mode_total(spark, d):
+    universe = CS.category_by_verdict(CS.first_verdict_from_evidence(S.evidence(spark, d)))
+    items = _answers(spark, d).filter((F.col("model") == "llama") & (F.col("prompt") == "basic"))
+    return CS.category_by_mode_total(items, universe, ["2support", "2refute", "mix"])
+
+
+def q_prompt_inputs(spark, d):
+    cl = C.group_claims(S.evidence(spark, d), keep_null_verdict=False)
+    sel = C.select_evidence(cl, 1, 1, inverse=True)
+    return sel.select("claim_id", F.array_join("selected_evidence", "|").alias("selected_text"))
+
+
+def _prompt_query(style, n_s, n_r):
+    def q(spark, d):
+        cl = C.verdict_split(C.group_claims(S.evidence(spark, d), keep_null_verdict=False))
+        return P.build_prompts(cl, style, n_s, n_r)
+    return q
+
+
+def q_eval_prompts(spark, d):
+    parsed = _parsed(spark, d).filter(F.col("mode") == "mix")
+    return parsed.select("model", "mode", "claim_id", "prompt",
+                         P.judge_prompt(F.col("claim"), F.col("bullets")).alias("eval_prompt"))
+
+
+def q_chat_wrapped(spark, d):
+    a = _answers(spark, d).filter(F.col("prompt") == "internal")
+    return a.select("model", "mode", "claim_id", P.chat_wrap(F.col("model"), F.col("prompt_text"))
+                    .alias("chat_prompt"))
+
+
+def q_tagged_evidence(spark, d):
+    a = _answers(spark, d).filter(F.col("prompt") == "basic")
+    e1, e2 = X.evidence_pair(F.col("prompt_text"))
+    return a.select("model", "mode", "claim_id", e1.alias("evidence_1"), e2.alias("evidence_2"))
+
+
+QUERIES.update({
+    "claims_grouped": lambda spark, d: _claims_text(_claims(spark, d)),
+    "claims_first_row": lambda spark, d: _claims_text(C.group_claims_first_row(S.evidence(spark, d))),
+    "claims_wide": q_claims_roundtrip,
+    "evidence_funnel": lambda spark, d: C.funnel(S.evidence(spark, d)),
+    "category_by_mode_total": q_category_by_mode_total,
+    "prompt_inputs": q_prompt_inputs,
+    "prompt_bullet_first": _prompt_query("bullet_first", 2, 0),
+    "prompt_verdict_first": _prompt_query("verdict_first", 0, 2),
+    "prompt_verdict_conf": _prompt_query("verdict_conf", 1, 1),
+    "prompt_verdict_only": _prompt_query("verdict_only", 1, 1),
+    "eval_prompts": q_eval_prompts,
+    "chat_wrapped": q_chat_wrapped,
+    "tagged_evidence": q_tagged_evidence,
+})

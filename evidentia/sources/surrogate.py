@@ -192,12 +192,13 @@ def answers_sql(run: int = 0) -> str:
                    for mi, m in enumerate(MODELS) for pi, p in enumerate(PROMPTS))
     return f"""SELECT model, mode, claim_id, claim, factcheck_verdict, prompt,
   {answer_columns(run)["response"]} AS response,
-  claim_key, model_no, prompt_no, mode_no, ev1, ev2
+  claim_key, model_no, prompt_no, mode_no, ev1, ev2, sel
 FROM (
   SELECT c.claim_id, c.claim, c.factcheck_verdict, m.mode, m.mode_no,
          {claim_key("c.claim_id")} AS claim_key,
          list_concat(c.supports[1:m.n_s], c.refutes[1:m.n_r])[1] AS ev1,
-         list_concat(c.supports[1:m.n_s], c.refutes[1:m.n_r])[2] AS ev2
+         list_concat(c.supports[1:m.n_s], c.refutes[1:m.n_r])[2] AS ev2,
+         list_concat(c.supports[1:m.n_s], c.refutes[1:m.n_r]) AS sel
   FROM claims c, (VALUES {modes}) m(mode, mode_no, n_s, n_r)
   WHERE c.factcheck_verdict IS NOT NULL
     AND len(c.supports) >= m.n_s AND len(c.refutes) >= m.n_r
