@@ -410,3 +410,119 @@ ORACLES["tagged_evidence"] = with_(*BASE) + f"""SELECT model, mode, claim_id,
   {_tag('pt', '<Evidence 1>:', ['<Evidence 2>:', '<Instruction>:'])} AS evidence_1,
   {_tag('pt', '<Evidence 2>:', ['<Instruction>:'])} AS evidence_2
 FROM (SELECT *, {_PB} AS pt FROM answers WHERE prompt = 'basic')"""
+
+# --- logits ---------------------------------------------------------------------
+_TOKS = ["true", "false", "maybe"]
+_PR = ["basic", "internal", "claim"]
+
+
+def _logit_cols() -> str:
+    return ", ".join(f"{S.logit_sql(pi, ti)} AS l_{p}_{t}"
+                     for pi, p in enumerate(_PR) for ti, t in enumerate(_TOKS))
+
+
+def _softmax_cols() -> str:
+    out = []
+    for p in _PR:
+        mx = f"greatest({', '.join(f'l_{p}_{t}' for t in _TOKS)})"
+        s = " + ".join(f"exp(l_{p}_{t} - {mx})" for t in _TOKS)
+        out += [f"exp(l_{p}_{t} - {mx}) / ({s}) AS p_{p}_{t}" for t in _TOKS]
+    return ", ".join(out)
+
+
+def _dp(pw: str, po: str) -> str:
+    return (f"(CASE WHEN {pw} >= {po} THEN (CASE WHEN {po} < 1 THEN ({pw} - {po}) / (1 - {po}) ELSE 0.0 END) "
+            f"ELSE (CASE WHEN {po} > 0 THEN ({pw} - {po}) / {po} ELSE 0.0 END) END)")
+
+
+LOGIT_ITEMS = f"""litems AS (SELECT model, mode, claim_id, {_logit_cols()} FROM answers WHERE prompt = 'basic'),
+probs AS (SELECT model, mode, claim_id, {_softmax_cols()} FROM litems),
+toks AS (
+  SELECT model, mode, claim_id, t.token,
+    CASE t.token WHEN 'true' THEN p_claim_true WHEN 'false' THEN p_claim_false ELSE p_claim_maybe END AS p_claim,
+    CASE t.token WHEN 'true' THEN p_basic_true WHEN 'false' THEN p_basic_false ELSE p_basic_maybe END AS p_basic,
+    CASE t.token WHEN 'true' THEN p_internal_true WHEN 'false' THEN p_internal_false ELSE p_internal_maybe END AS p_internal
+  FROM probs, (VALUES ('true'), ('false'), ('maybe')) t(token)),
+toks2 AS (SELECT *, {_dp('p_basic', 'p_claim')} AS delta_p_basic,
+                    {_dp('p_internal', 'p_claim')} AS delta_p_internal FROM toks),
+dlong AS (
+  SELECT model, mode, claim_id, token, 'basic' AS delta_type, delta_p_basic AS delta_p FROM toks2
+  UNION ALL
+  SELECT model, mode, claim_id, token, 'internal', delta_p_internal FROM toks2),
+acus AS (
+  SELECT model, mode, claim_id,
+    CASE WHEN mode IN ('2support', '2refute') THEN sum(w * delta_p_basic) / count(*) END AS acu_basic,
+    CASE WHEN mode IN ('2support', '2refute') THEN sum(w * delta_p_internal) / count(*) END AS acu_internal
+  FROM (SELECT *, CASE WHEN mode = '2support' THEN (CASE WHEN token = 'true' THEN 1.0 ELSE -1.0 END)
+                       WHEN mode = '2refute' THEN (CASE WHEN token = 'false' THEN 1.0 ELSE -1.0 END) END AS w
+        FROM toks2)
+  GROUP BY model, mode, claim_id)"""
+
+LBASE = (*BASE, LOGIT_ITEMS)
+
+ORACLES["softmax_delta"] = with_(*LBASE) + """SELECT model, mode, claim_id, token,
+  round(p_claim, 6) AS p_claim, round(p_basic, 6) AS p_basic, round(p_internal, 6) AS p_internal,
+  round(delta_p_basic, 6) AS delta_p_basic, round(delta_p_internal, 6) AS delta_p_internal FROM toks2"""
+
+ORACLES["delta_long"] = with_(*LBASE) + """SELECT model, mode, claim_id, token, delta_type,
+  round(delta_p, 6) AS delta_p, model || '-' || delta_type AS model_evidence FROM dlong"""
+
+ORACLES["acu"] = with_(*LBASE) + """SELECT model, mode, claim_id, round(acu_basic, 6) AS acu_basic,
+  round(acu_internal, 6) AS acu_internal FROM acus"""
+
+ORACLES["acu_summary"] = with_(*LBASE) + """SELECT mode, model, round(avg(acu_basic), 6) AS mean,
+  round(stddev_pop(acu_basic), 6) AS sd, CAST(count(acu_basic) AS BIGINT) AS n
+FROM acus WHERE mode IN ('2support', '2refute') AND acu_basic IS NOT NULL GROUP BY mode, model"""
+
+ORACLES["acu_combined"] = with_(*LBASE) + """SELECT acu_type, mode, model, round(avg(acu), 6) AS mean,
+  round(stddev_pop(acu), 6) AS sd, CAST(count(acu) AS BIGINT) AS n
+FROM (SELECT mode, model, 'acu_basic' AS acu_type, acu_basic AS acu FROM acus
+      UNION ALL SELECT mode, model, 'acu_internal', acu_internal FROM acus)
+WHERE mode IN ('2support', '2refute') AND acu IS NOT NULL GROUP BY acu_type, mode, model"""
+
+ORACLES["delta_hist"] = with_(*LBASE) + """, rng AS (
+  SELECT model, mode, delta_type, min(delta_p) AS lo, max(delta_p) AS hi FROM dlong GROUP BY ALL)
+SELECT model, mode, delta_type, token,
+  CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((delta_p - lo) / (hi - lo) * 40), 39) END AS INTEGER) AS bin,
+  CAST(count(*) AS BIGINT) AS n, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi
+FROM dlong JOIN rng USING (model, mode, delta_type) GROUP BY ALL"""
+
+ORACLES["delta_box"] = with_(*LBASE) + """, d AS (SELECT *, model || '-' || delta_type AS model_evidence FROM dlong),
+q AS (SELECT mode, token, model_evidence, quantile_cont(delta_p, 0.25) AS q1,
+        quantile_cont(delta_p, 0.5) AS median, quantile_cont(delta_p, 0.75) AS q3
+      FROM d GROUP BY ALL),
+x AS (SELECT d.*, q1, median, q3,
+        delta_p >= q1 - 1.5 * (q3 - q1) AND delta_p <= q3 + 1.5 * (q3 - q1) AS inside
+      FROM d JOIN q USING (mode, token, model_evidence))
+SELECT mode, token, model_evidence, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+  round(min(delta_p) FILTER (WHERE inside), 6) AS whisker_lo,
+  round(max(delta_p) FILTER (WHERE inside), 6) AS whisker_hi,
+  CAST(count(*) FILTER (WHERE NOT inside) AS BIGINT) AS n_outliers
+FROM x GROUP BY mode, token, model_evidence, q1, median, q3"""
+
+
+def _argmax(p: str) -> str:
+    ls = [f"l_{p}_{t}" for t in _TOKS]
+    best = f"greatest({', '.join(ls)})"
+    return "(CASE " + " ".join(f"WHEN {c} = {best} THEN '{t}'" for c, t in zip(ls, _TOKS)) + " END)"
+
+
+_FT = strip("response")
+ORACLES["first_token_audit"] = with_(*BASE) + f""", li AS (
+  SELECT model, mode, claim_id, {_logit_cols()} FROM answers WHERE prompt = 'basic'),
+x AS (
+  SELECT a.model, a.mode, a.prompt,
+    CASE a.prompt WHEN 'basic' THEN {_argmax('basic')} WHEN 'internal' THEN {_argmax('internal')}
+         ELSE {_argmax('claim')} END AS predicted,
+    CASE WHEN coalesce({_FT}, '') = '' THEN '<EMPTY>' ELSE regexp_extract({_FT}, '^(\\S+)', 1) END AS actual
+  FROM answers a JOIN li USING (model, mode, claim_id))
+SELECT model, mode, prompt, CAST(count(*) AS BIGINT) AS n,
+  CAST(count(*) FILTER (WHERE lower(actual) = predicted) AS BIGINT) AS n_agree,
+  round(100.0 * avg(CASE WHEN lower(actual) = predicted THEN 1.0 ELSE 0.0 END), 6) AS agree_pct
+FROM x GROUP BY model, mode, prompt"""
+
+
+def normalised() -> dict[str, str]:
+    """DuckDB's round keeps the sign of a tiny negative value (-0.0); Spark's does
+    not. Adding 0.0 turns -0.0 into 0.0 and leaves every other value unchanged."""
+    return {k: v.replace("round(", "0.0 + round(") for k, v in ORACLES.items()}

@@ -170,3 +170,49 @@ QUERIES.update({
     "chat_wrapped": q_chat_wrapped,
     "tagged_evidence": q_tagged_evidence,
 })
+
+
+# --- logits: softmax, delta-P, ACU, histogram, box, first-token audit ---------
+from evidentia.functions import logits as LG  # noqa: E402
+from evidentia.plans import logit_stats as LS  # noqa: E402
+
+
+def _probs(spark, d):
+    return LS.probabilities(S.logit_items(spark, d))
+
+
+def _r6(df, cols):
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def q_first_token_audit(spark, d):
+    a = _answers(spark, d)
+    items = S.logit_items(spark, d).select("model", "mode", "claim_id", "logits_basic",
+                                           "logits_internal", "logits_claim")
+    j = a.join(items, ["model", "mode", "claim_id"])
+    lg = (F.when(F.col("prompt") == "basic", F.col("logits_basic"))
+          .when(F.col("prompt") == "internal", F.col("logits_internal"))
+          .otherwise(F.col("logits_claim")))
+    x = j.select("model", "mode", "prompt", LG.argmax_token(lg).alias("predicted"),
+                 X.first_token(F.col("response")).alias("actual"))
+    return x.groupBy("model", "mode", "prompt").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.lower("actual") == F.col("predicted")).alias("n_agree"),
+        F.round(100.0 * F.avg((F.lower("actual") == F.col("predicted")).cast("double")), 6)
+        .alias("agree_pct"))
+
+
+_TOK_COLS = ["p_claim", "p_basic", "p_internal", "delta_p_basic", "delta_p_internal"]
+
+QUERIES.update({
+    "softmax_delta": lambda spark, d: _r6(LS.long_tokens(_probs(spark, d)), _TOK_COLS),
+    "delta_long": lambda spark, d: _r6(LS.delta_long(LS.long_tokens(_probs(spark, d))), ["delta_p"]),
+    "acu": lambda spark, d: _r6(LS.acu_items(_probs(spark, d)), ["acu_basic", "acu_internal"]),
+    "acu_summary": lambda spark, d: LS.acu_summary(LS.acu_items(_probs(spark, d))),
+    "acu_combined": lambda spark, d: LS.acu_combined(LS.acu_items(_probs(spark, d))),
+    "delta_hist": lambda spark, d: LS.histogram(LS.delta_long(LS.long_tokens(_probs(spark, d))),
+                                                "delta_p", ["model", "mode", "delta_type"], ["token"]),
+    "delta_box": lambda spark, d: LS.boxplot(LS.delta_long(LS.long_tokens(_probs(spark, d))),
+                                             "delta_p", ["mode", "token", "model_evidence"]),
+    "first_token_audit": q_first_token_audit,
+})

@@ -204,3 +204,22 @@ FROM (
     AND len(c.supports) >= m.n_s AND len(c.refutes) >= m.n_r
     AND (m.mode <> '1refute' OR c.factcheck_verdict = 'True')) b,
   (VALUES {mp}) mp(model, model_no, prompt, prompt_no)"""
+
+
+def logit_sql(prompt_no: int, token_no: int) -> str:
+    """First-token logit of a candidate token (SQL, both engines), in [-2, 2]."""
+    return (f"(cast((claim_key * 13 + {token_no} * 5 + model_no + {prompt_no} * 3 + mode_no) % 41 "
+            f"as double) / 10 - 2)")
+
+
+def logit_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (model, mode, claim) with ``logits_{basic,internal,claim}``
+    as MAP<STRING, DOUBLE> over the tokens true / false / maybe."""
+    items = answers(spark, sf_dir).filter(F.col("prompt") == "basic")
+    maps = []
+    for pi, p in enumerate(PROMPTS):
+        kv = []
+        for ti, t in enumerate(["true", "false", "maybe"]):
+            kv += [F.lit(t), F.expr(logit_sql(pi, ti))]
+        maps.append(F.create_map(*kv).alias(f"logits_{p}"))
+    return items.select("model", "mode", "claim_id", "claim_key", "model_no", "mode_no", *maps)
