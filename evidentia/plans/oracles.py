@@ -526,3 +526,52 @@ def normalised() -> dict[str, str]:
     """DuckDB's round keeps the sign of a tiny negative value (-0.0); Spark's does
     not. Adding 0.0 turns -0.0 into 0.0 and leaves every other value unchanged."""
     return {k: v.replace("round(", "0.0 + round(") for k, v in ORACLES.items()}
+
+# --- judge --------------------------------------------------------------------------
+JUDGE = f"judge AS ({S.judge_sql()})"
+
+
+def _jf(label: str) -> str:
+    return f"try_cast(nullif(regexp_extract(eval_text, '{label}\\s*-*(-?\\d+)', 1), '') AS INTEGER)"
+
+
+_JCOLS = {"criterion_1": "Criterion 1:", "criterion_2": "Criterion 2:", "criterion_3": "Criterion 3:",
+          "criterion_4": "Criterion 4:", "relevant_bullets": "Number of relevant bullets:"}
+JUDGED = ("judged AS (SELECT generator_model, mode, claim_id, prompt, evaluator, " +
+          ", ".join(f"CASE WHEN eval_text <> '' THEN {_jf(l)} END AS {c}" for c, l in _JCOLS.items()) +
+          " FROM judge)")
+JBASE = (*BASE, JUDGE, JUDGED)
+
+ORACLES["judge_scores"] = with_(*JBASE) + "SELECT * FROM judged"
+
+ORACLES["judge_stats"] = with_(*JBASE) + ", lng AS (" + " UNION ALL ".join(
+    f"SELECT evaluator, '{c}' AS criterion, mode, generator_model, prompt, {c} AS score FROM judged "
+    f"WHERE {c} IS NOT NULL" for c in _JCOLS) + """)
+SELECT evaluator, criterion, mode, generator_model, prompt,
+  CAST(count(v) AS BIGINT) AS n_valid, CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS n_invalid,
+  round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd
+FROM (SELECT *, criterion = 'relevant_bullets' OR score IN (0, 1) AS ok,
+             CASE WHEN criterion = 'relevant_bullets' OR score IN (0, 1) THEN score END AS v FROM lng)
+GROUP BY evaluator, criterion, mode, generator_model, prompt"""
+
+ORACLES["merge_judge"] = with_(*JBASE) + ", pa AS (SELECT generator_model AS model, mode, claim_id, prompt, " \
+    "CAST(count(criterion_1) AS BIGINT) AS n_scored, " + \
+    ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in _JCOLS) + \
+    " FROM judged GROUP BY ALL) SELECT a.model, a.mode, a.claim_id, a.prompt, n_scored, " + \
+    ", ".join(f"mean_{c}" for c in _JCOLS) + \
+    " FROM answers a LEFT JOIN pa USING (model, mode, claim_id, prompt)"
+
+ORACLES["join_coverage"] = with_(*JBASE) + """, lk AS (SELECT DISTINCT model, mode, claim_id FROM answers),
+rk AS (SELECT DISTINCT generator_model AS model, mode, claim_id FROM judge),
+j AS (SELECT lk.claim_id AS lid, rk.claim_id AS rid, coalesce(lk.claim_id, rk.claim_id) AS cid
+      FROM lk FULL OUTER JOIN rk USING (model, mode, claim_id))
+SELECT CAST(count(lid) AS BIGINT) AS n_left, CAST(count(rid) AS BIGINT) AS n_right,
+  CAST(count(*) FILTER (WHERE lid IS NOT NULL AND rid IS NOT NULL) AS BIGINT) AS n_matched,
+  CAST(count(*) FILTER (WHERE lid IS NOT NULL AND rid IS NULL) AS BIGINT) AS n_missing,
+  (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT DISTINCT lid AS c FROM j WHERE rid IS NULL
+     ORDER BY c LIMIT 5)) AS missing_examples
+FROM j"""
+
+ORACLES["unmatched_ids"] = with_(*JBASE) + """SELECT DISTINCT model, mode, claim_id FROM answers a
+WHERE NOT EXISTS (SELECT 1 FROM judge j WHERE j.generator_model = a.model AND j.mode = a.mode
+                  AND j.claim_id = a.claim_id)"""

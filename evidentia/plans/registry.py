@@ -216,3 +216,37 @@ QUERIES.update({
                                              "delta_p", ["mode", "token", "model_evidence"]),
     "first_token_audit": q_first_token_audit,
 })
+
+
+# --- judge and enrichment (X9, X10, E16, F11, J3, J8, E6) -----------------------
+from evidentia.operators import enrich as EN  # noqa: E402
+from evidentia.plans import judge as JG  # noqa: E402
+
+
+def _judged(spark, d):
+    return JG.parse_judge(S.judge(spark, d))
+
+
+def q_merge_judge(spark, d):
+    items = _parsed(spark, d).select(*_K)
+    return EN.left_merge(items, JG.per_answer(_judged(spark, d)), _K)
+
+
+def q_join_coverage(spark, d):
+    return EN.coverage(_answers(spark, d), S.judge(spark, d).withColumnRenamed("generator_model", "model"),
+                       ["model", "mode", "claim_id"])
+
+
+def q_unmatched_ids(spark, d):
+    return EN.unmatched(_answers(spark, d),
+                        S.judge(spark, d).withColumnRenamed("generator_model", "model"),
+                        ["model", "mode", "claim_id"])
+
+
+QUERIES.update({
+    "judge_scores": _judged,
+    "judge_stats": lambda spark, d: JG.judge_stats(_judged(spark, d)),
+    "merge_judge": q_merge_judge,
+    "join_coverage": q_join_coverage,
+    "unmatched_ids": q_unmatched_ids,
+})

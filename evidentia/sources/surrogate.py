@@ -223,3 +223,44 @@ def logit_items(spark: SparkSession, sf_dir: str) -> DataFrame:
             kv += [F.lit(t), F.expr(logit_sql(pi, ti))]
         maps.append(F.create_map(*kv).alias(f"logits_{p}"))
     return items.select("model", "mode", "claim_id", "claim_key", "model_no", "mode_no", *maps)
+
+
+def judge_text_sql() -> str:
+    """Judge answer text for one (answer, evaluator), over columns claim_key,
+    model_no, prompt_no, evaluator_no (SQL, both engines). Five shapes: full,
+    one line missing, empty, single dashes, wrong case."""
+    def a(i: int) -> str:
+        return (f"cast((claim_key * {5 + i} + model_no * 3 + prompt_no + evaluator_no * 2 + {i}) % 4 "
+                f"as string)")
+    rb = "cast((claim_key + evaluator_no) % 6 as string)"
+    n = NL
+    full = (f"concat('Criterion 1: --', {a(1)}, '--', {n}, 'Criterion 2: --', {a(2)}, '--', {n}, "
+            f"'Criterion 3: --', {a(3)}, '--', {n}, 'Criterion 4: --', {a(4)}, '--', {n}, "
+            f"'Number of relevant bullets: --', {rb}, '--')")
+    gap = (f"concat('Criterion 1: --', {a(1)}, '--', {n}, 'Criterion 2: --', {a(2)}, '--', {n}, "
+           f"'Criterion 4: --', {a(4)}, '--', {n}, 'Number of relevant bullets: --', {rb}, '--')")
+    single = (f"concat('Criterion 1: -', {a(1)}, {n}, 'Criterion 2: ', {a(2)}, {n}, "
+              f"'Criterion 3: -', {a(3)}, '-', {n}, 'Criterion 4: ', {a(4)}, {n}, "
+              f"'Number of relevant bullets: -', {rb}, '-')")
+    case = f"concat('criterion 1: --1--', {n}, 'Number of relevant bullets: --', {rb}, '--')"
+    shape = "((claim_key + evaluator_no + prompt_no) % 5)"
+    return (f"(CASE {shape} WHEN 0 THEN {full} WHEN 1 THEN {gap} WHEN 2 THEN '' "
+            f"WHEN 3 THEN {single} ELSE {case} END)")
+
+
+def judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge responses: one row per answer x evaluator (generator_model is the
+    answering model). The judge skipped claims whose key is a multiple of 17,
+    so merges meet unmatched rows."""
+    a = answers(spark, sf_dir).filter(F.col("claim_key") % 17 != 0)
+    ev = a.select("*", _literal_rows(["evaluator", "evaluator_no"],
+                                     [(m, i) for i, m in enumerate(MODELS)]))
+    return ev.select(F.col("model").alias("generator_model"), "mode", "claim_id", "prompt",
+                     "evaluator", F.expr(judge_text_sql()).alias("eval_text"))
+
+
+def judge_sql() -> str:
+    ev = ", ".join(f"('{m}', {i})" for i, m in enumerate(MODELS))
+    return (f"SELECT model AS generator_model, mode, claim_id, prompt, evaluator, "
+            f"{judge_text_sql()} AS eval_text FROM answers, (VALUES {ev}) e(evaluator, evaluator_no) "
+            "WHERE claim_key % 17 <> 0")
