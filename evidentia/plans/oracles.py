@@ -575,3 +575,92 @@ FROM j"""
 ORACLES["unmatched_ids"] = with_(*JBASE) + """SELECT DISTINCT model, mode, claim_id FROM answers a
 WHERE NOT EXISTS (SELECT 1 FROM judge j WHERE j.generator_model = a.model AND j.mode = a.mode
                   AND j.claim_id = a.claim_id)"""
+
+# --- pairs ---------------------------------------------------------------------------
+_PT = prompt_sql("bullet_first", "basic", "claim", "sel")
+
+
+def _tokens(x: str) -> str:
+    return f"list_filter(string_split_regex(lower({x}), '[^\\w]+'), lambda t: t <> '')"
+
+
+def _blank(x: str) -> str:
+    return f"({x} IS NULL OR {strip(x)} = '')"
+
+
+PAIRS = f"""pt AS (SELECT *, coalesce(array_to_string(bullets, ' '), '') AS cand,
+    CASE WHEN prompt = 'internal' THEN {prompt_sql('bullet_first', 'internal', 'claim', 'sel')}
+         ELSE {_PT} END AS ptext FROM parsed),
+pairs AS (
+  SELECT * FROM (
+    SELECT model, mode, claim_id, prompt, 'evidence_1' AS target, cand AS candidate,
+      {_tag('ptext', '<Evidence 1>:', ['<Evidence 2>:', '<Instruction>:'])} AS reference
+    FROM pt WHERE prompt <> 'claim'
+    UNION ALL
+    SELECT model, mode, claim_id, prompt, 'evidence_2', cand,
+      {_tag('ptext', '<Evidence 2>:', ['<Instruction>:'])} FROM pt WHERE prompt <> 'claim'
+    UNION ALL
+    SELECT model, mode, claim_id, prompt, 'claim', cand, claim FROM pt)
+  WHERE NOT {_blank('candidate')} AND NOT {_blank('reference')})"""
+
+
+def _lexical(src: str, keys: str) -> str:
+    return f"""ct AS (SELECT {keys}, tok, count(*) AS c
+  FROM (SELECT {keys}, unnest({_tokens('candidate')}) AS tok FROM {src}) GROUP BY ALL),
+rt AS (SELECT {keys}, tok, count(*) AS r
+  FROM (SELECT {keys}, unnest({_tokens('reference')}) AS tok FROM {src}) GROUP BY ALL),
+per AS (SELECT {keys}, sum(c) AS nc, sum(CASE WHEN r IS NOT NULL THEN c END) AS mc,
+          sum(r) AS nr, sum(CASE WHEN c IS NOT NULL THEN r END) AS mr
+  FROM ct FULL OUTER JOIN rt USING ({keys}, tok) GROUP BY {keys}),
+pr AS (SELECT {keys}, coalesce(mc, 0) / nc AS p, coalesce(mr, 0) / nr AS r FROM per),
+scores AS (SELECT {keys}, round(p, 4) AS precision, round(r, 4) AS recall,
+  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) WHEN p IS NOT NULL AND r IS NOT NULL THEN 0.0 END, 4)
+    AS f1 FROM pr)"""
+
+
+_PK = "model, mode, claim_id, prompt, target"
+PBASE = (*BASE, PARSED, PAIRS)
+ORACLES["pair_inputs"] = with_(*PBASE) + "SELECT * FROM pairs"
+ORACLES["pair_scores"] = with_(*PBASE, _lexical("pairs", _PK)) + "SELECT * FROM scores"
+
+SCORE_COLS = """sc AS (SELECT model, mode, claim_id, prompt, CAST(count(*) AS BIGINT) AS n_targets,
+  any_value(f1) FILTER (WHERE target = 'evidence_1') AS bert_evidence_1,
+  any_value(f1) FILTER (WHERE target = 'evidence_2') AS bert_evidence_2,
+  any_value(f1) FILTER (WHERE target = 'claim') AS bert_claim
+  FROM scores GROUP BY model, mode, claim_id, prompt)"""
+
+ORACLES["pair_scores_map"] = with_(*PBASE, _lexical("pairs", _PK), SCORE_COLS) + "SELECT * FROM sc"
+MERGED = """merged AS (SELECT a.model, a.mode, a.claim_id, a.prompt, bert_evidence_1, bert_evidence_2,
+  bert_claim FROM parsed a LEFT JOIN sc USING (model, mode, claim_id, prompt))"""
+ORACLES["merge_scores"] = with_(*PBASE, _lexical("pairs", _PK), SCORE_COLS, MERGED) + "SELECT * FROM merged"
+ORACLES["bert_diff"] = with_(*PBASE, _lexical("pairs", _PK), SCORE_COLS, MERGED) + _mean_sd(
+    "merged", "CASE WHEN prompt = 'claim' THEN 0.0 ELSE abs(bert_evidence_1 - bert_evidence_2) END")
+
+PARSED_B_FULL = f"""parsed_b2 AS (SELECT *, {bullets('response')} AS bullets FROM answers_b)"""
+INV = """inv AS (SELECT model, mode, claim_id, prompt, 'inverse' AS target,
+    coalesce(array_to_string(a.bullets, ' '), '') AS candidate,
+    coalesce(array_to_string(b.bullets, ' '), '') AS reference
+  FROM parsed a JOIN parsed_b2 b USING (model, mode, claim_id, prompt)),
+inv2 AS (SELECT * FROM inv WHERE candidate <> '' AND reference <> '')"""
+ORACLES["inverse_stats"] = (with_(*BASE, ANSWERS_B, PARSED, PARSED_B_FULL, INV, _lexical("inv2", _PK))
+                            + _mean_sd("scores", "f1"))
+
+ORACLES["key_equality"] = with_(*BASE, ANSWERS_B) + """, ka AS (SELECT DISTINCT model, mode, claim_id FROM answers),
+kb AS (SELECT DISTINCT model, mode, claim_id FROM answers_b),
+j AS (SELECT model, mode, ka.claim_id AS a, kb.claim_id AS b FROM ka FULL OUTER JOIN kb USING (model, mode, claim_id))
+SELECT model, mode, CAST(count(a) AS BIGINT) AS n_a, CAST(count(b) AS BIGINT) AS n_b,
+  CAST(count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS BIGINT) AS n_both,
+  count(a) = count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL)
+    AND count(b) = count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS same_keys
+FROM j GROUP BY model, mode"""
+
+ORACLES["greedy_match"] = """WITH tok AS (
+  SELECT vec_id % 20 AS pair_id, CAST(floor(vec_id / 20) AS BIGINT) % 2 AS side, vec_id AS tok_id,
+         CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+sims AS (SELECT c.pair_id, c.tok_id AS ct, r.tok_id AS rt, list_cosine_similarity(c.vec, r.vec) AS s
+         FROM tok c JOIN tok r ON c.pair_id = r.pair_id AND c.side = 0 AND r.side = 1),
+p AS (SELECT pair_id, avg(m) AS p FROM (SELECT pair_id, ct, max(s) AS m FROM sims GROUP BY ALL) GROUP BY ALL),
+r AS (SELECT pair_id, avg(m) AS r FROM (SELECT pair_id, rt, max(s) AS m FROM sims GROUP BY ALL) GROUP BY ALL)
+SELECT pair_id, round(p, 4) AS precision, round(r, 4) AS recall,
+  round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) END, 4) AS f1
+FROM p JOIN r USING (pair_id)"""

@@ -250,3 +250,61 @@ QUERIES.update({
     "join_coverage": q_join_coverage,
     "unmatched_ids": q_unmatched_ids,
 })
+
+
+# --- pairs: inputs, lexical greedy match, maps, merges, diffs, inverse runs, M12 ----
+from evidentia.operators import pairs as PR  # noqa: E402
+
+
+def _pairs(spark, d, run=0):
+    return PR.pair_inputs(_parsed(spark, d, run))
+
+
+def _scores(spark, d):
+    return PR.lexical_scores(_pairs(spark, d))
+
+
+def _score_cols(spark, d):
+    m = PR.scores_map(_scores(spark, d), _K)
+    return m.select(*_K, F.size("scores").cast("bigint").alias("n_targets"),
+                    *[F.element_at("scores", F.lit(t)).alias(f"bert_{t}")
+                      for t in ("evidence_1", "evidence_2", "claim")])
+
+
+def q_merge_scores(spark, d):
+    items = _parsed(spark, d).select(*_K)
+    return EN.left_merge(items, _score_cols(spark, d).drop("n_targets"), _K)
+
+
+def q_bert_diff(spark, d):
+    m = q_merge_scores(spark, d)
+    diff = F.when(F.col("prompt") == "claim", F.lit(0.0)).otherwise(
+        F.abs(F.col("bert_evidence_1") - F.col("bert_evidence_2")))
+    return ST.mean_sd(m, diff)
+
+
+def q_inverse_stats(spark, d):
+    a = _parsed(spark, d, 0).select(*_K, F.col("bullets").alias("ba"))
+    b = _parsed(spark, d, 1).select(*_K, F.col("bullets").alias("bb"))
+    j = a.join(b, _K).select(*_K, F.lit("inverse").alias("target"),
+                             X_join(F.col("ba")).alias("candidate"), X_join(F.col("bb")).alias("reference"))
+    j = j.filter((F.col("candidate") != "") & (F.col("reference") != ""))
+    return ST.mean_sd(PR.lexical_scores(j), F.col("f1"))
+
+
+def X_join(c):
+    from evidentia.functions.text import join_bullets
+    return join_bullets(c)
+
+
+QUERIES.update({
+    "pair_inputs": _pairs,
+    "pair_scores": _scores,
+    "pair_scores_map": _score_cols,
+    "merge_scores": q_merge_scores,
+    "bert_diff": q_bert_diff,
+    "inverse_stats": q_inverse_stats,
+    "key_equality": lambda spark, d: EN.key_equality(_answers(spark, d, 0), _answers(spark, d, 1),
+                                                     ["model", "mode"]),
+    "greedy_match": lambda spark, d: PR.greedy_match(S.token_vectors(spark, d)),
+})

@@ -264,3 +264,12 @@ def judge_sql() -> str:
     return (f"SELECT model AS generator_model, mode, claim_id, prompt, evaluator, "
             f"{judge_text_sql()} AS eval_text FROM answers, (VALUES {ev}) e(evaluator, evaluator_no) "
             "WHERE claim_key % 17 <> 0")
+
+
+def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token vectors of 20 text pairs from ``embeddings``: pair = vec_id % 20,
+    side 0 (candidate) / 1 (reference) from the next digit."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select((F.col("vec_id") % 20).alias("pair_id"),
+                    (F.floor(F.col("vec_id") / 20) % 2).cast("int").alias("side"),
+                    F.col("vec_id").alias("tok_id"), F.col("embedding").alias("vec"))
