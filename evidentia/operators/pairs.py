@@ -5,8 +5,8 @@ Two scorers:
 * ``lexical_scores`` - greedy token matching with exact-match similarity
   (BERTScore with one-hot token vectors): P = share of candidate tokens found
   in the reference, R the other way round, F1 their harmonic mean. Built as
-  an equi-join on (pair, token) after a map-side count per (pair, token), so a
-  long text or a frequent token never moves more than one row per task.
+  a count per (pair, token) that combines map-side, so a long text or a
+  frequent token never moves more than one row per task.
 * ``greedy_match`` - the same greedy matching over real token vectors
   (cosine similarity). Token vectors are cut into blocks of bounded size;
   each (candidate block, reference block) tile of a pair is one row, scored
@@ -55,18 +55,23 @@ def tokens(c: Column) -> Column:
 
 
 def lexical_scores(pairs: DataFrame, keys: list[str] | None = None, digits: int = 4) -> DataFrame:
-    """M10 / M11 (lexical form): precision, recall, F1 per pair."""
+    """M10 / M11 (lexical form): precision, recall, F1 per pair.
+
+    One explode of side-tagged tokens, a count per (pair, token) that combines
+    map-side, then one aggregate per pair: no join, and the pair input is
+    computed once."""
     keys = keys or PAIR_KEYS
-    cand = pairs.select(*keys, F.explode(tokens(F.col("candidate"))).alias("tok")) \
-        .groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("c"))
-    ref = pairs.select(*keys, F.explode(tokens(F.col("reference"))).alias("tok")) \
-        .groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("r"))
-    j = cand.join(ref, [*keys, "tok"], "full_outer")
-    per = j.groupBy(*keys).agg(
-        F.sum("c").alias("nc"), F.sum(F.when(F.col("r").isNotNull(), F.col("c"))).alias("mc"),
-        F.sum("r").alias("nr"), F.sum(F.when(F.col("c").isNotNull(), F.col("r"))).alias("mr"))
-    p = F.try_divide(F.coalesce(F.col("mc"), F.lit(0)), F.col("nc"))
-    r = F.try_divide(F.coalesce(F.col("mr"), F.lit(0)), F.col("nr"))
+    tagged = F.concat(F.transform(tokens(F.col("candidate")), lambda t: F.struct(F.lit(0).alias("s"), t.alias("t"))),
+                      F.transform(tokens(F.col("reference")), lambda t: F.struct(F.lit(1).alias("s"), t.alias("t"))))
+    x = pairs.select(*keys, F.inline(tagged))
+    per_tok = x.groupBy(*keys, "t").agg(F.count_if(F.col("s") == 0).alias("c"),
+                                         F.count_if(F.col("s") == 1).alias("r"))
+    per = per_tok.groupBy(*keys).agg(
+        F.sum("c").alias("nc"), F.sum(F.when(F.col("r") > 0, F.col("c")).otherwise(0)).alias("mc"),
+        F.sum("r").alias("nr"), F.sum(F.when(F.col("c") > 0, F.col("r")).otherwise(0)).alias("mr"))
+    # a text without tokens has no precision (or recall)
+    p = F.when(F.col("nc") > 0, F.col("mc") / F.col("nc"))
+    r = F.when(F.col("nr") > 0, F.col("mr") / F.col("nr"))
     s = per.select(*keys, p.alias("precision"), r.alias("recall"))
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))) \
