@@ -39,9 +39,13 @@ def long_tokens(probs: DataFrame) -> DataFrame:
 
 
 def delta_long(tokens: DataFrame) -> DataFrame:
-    """M5 + G12: melt the two delta-P columns into (delta_type, delta_p)."""
-    m = tokens.select(*ITEM, "token", F.col("delta_p_basic").alias("basic"),
-                      F.col("delta_p_internal").alias("internal"))
+    """M5 + G12: melt the two delta-P columns into (delta_type, delta_p).
+
+    delta-P is rounded to 12 digits: two mathematically equal probabilities
+    can differ in the last bits after ``exp``, and with a zero IQR that noise
+    alone would decide whether a value is an outlier or which bin it is in."""
+    m = tokens.select(*ITEM, "token", F.round("delta_p_basic", 12).alias("basic"),
+                      F.round("delta_p_internal", 12).alias("internal"))
     u = m.unpivot([*ITEM, "token"], ["basic", "internal"], "delta_type", "delta_p")
     return u.withColumn("model_evidence", F.concat_ws("-", "model", "delta_type"))
 

@@ -446,9 +446,9 @@ toks AS (
 toks2 AS (SELECT *, {_dp('p_basic', 'p_claim')} AS delta_p_basic,
                     {_dp('p_internal', 'p_claim')} AS delta_p_internal FROM toks),
 dlong AS (
-  SELECT model, mode, claim_id, token, 'basic' AS delta_type, delta_p_basic AS delta_p FROM toks2
+  SELECT model, mode, claim_id, token, 'basic' AS delta_type, round(delta_p_basic, 12) AS delta_p FROM toks2
   UNION ALL
-  SELECT model, mode, claim_id, token, 'internal', delta_p_internal FROM toks2),
+  SELECT model, mode, claim_id, token, 'internal', round(delta_p_internal, 12) FROM toks2),
 acus AS (
   SELECT model, mode, claim_id,
     CASE WHEN mode IN ('2support', '2refute') THEN sum(w * delta_p_basic) / count(*) END AS acu_basic,
