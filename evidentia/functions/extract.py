@@ -129,7 +129,13 @@ def bullets(text: Column | str) -> Column:
     """ARRAY<STRING> of bullet items: items start at ``--``, ``-``, ``1.`` or
     ``1)`` not preceded by a word character and followed by whitespace; then
     numbered quotes (``2 "..."``) are appended. Brackets are stripped."""
-    block = bullet_block(text)
+    return bullets_from_block(bullet_block(text), text)
+
+
+def bullets_from_block(block: Column | str, text: Column | str) -> Column:
+    """X6 after ``bullet_block``: lets a job compute the block once in its own
+    projection (it is read twice here)."""
+    block = _as_col(block)
     marked = F.regexp_replace(block, rf"(?U)(?<!\w){BULLET_MARKER}\s+", _SENTINEL)
     pieces = F.filter(F.split(marked, _SENTINEL), lambda x, i: i > 0)
     dash = F.transform(F.filter(pieces, lambda b: strip_ws(b) != ""),

@@ -18,11 +18,14 @@ def extract_answers(answers: DataFrame, dialect: str = "strict", text: str = "re
     """
     t = F.col(text)
     if dialect == "strict":
-        return answers.select(
-            "*",
+        # the bullet block feeds two regex passes: compute it once, in its own
+        # projection (not collapsed into the next one, as it is read twice)
+        staged = answers.withColumn("_bullet_block", X.bullet_block(t))
+        return staged.select(
+            *answers.columns,
             X.verdict_strict(t).alias("verdict"),
             X.confidence_strict(t).alias("confidence"),
-            X.bullets(t).alias("bullets"),
+            X.bullets_from_block(F.col("_bullet_block"), t).alias("bullets"),
             X.internal_knowledge(t).alias("internal_knowledge"))
     if dialect == "loose":
         return answers.select("*", X.verdict_loose(t).alias("verdict"),
