@@ -664,3 +664,9 @@ r AS (SELECT pair_id, avg(m) AS r FROM (SELECT pair_id, rt, max(s) AS m FROM sim
 SELECT pair_id, round(p, 4) AS precision, round(r, 4) AS recall,
   round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) END, 4) AS f1
 FROM p JOIN r USING (pair_id)"""
+
+# --- sources and sinks -------------------------------------------------------------
+ORACLES["claims_split_tsv"] = with_(EVIDENCE, KEPT, CLAIMS) + _CLAIMS_TEXT.format(
+    src="(SELECT * FROM claims WHERE factcheck_verdict IN ('True', 'False', 'Half True'))")
+ORACLES["answers_json_grid"] = with_(*BASE, PARSED) + """SELECT model, mode, claim_id, prompt, verdict,
+  confidence, array_to_string(bullets, ' | ') AS bullets_text FROM parsed"""

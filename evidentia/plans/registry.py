@@ -308,3 +308,52 @@ QUERIES.update({
                                                      ["model", "mode"]),
     "greedy_match": lambda spark, d: PR.greedy_match(S.token_vectors(spark, d)),
 })
+
+
+# --- sources and sinks: written and read back (S1-S8) -------------------------------
+from pyspark.sql import types as T  # noqa: E402
+
+from evidentia.sources import io as IO  # noqa: E402
+
+
+def q_claims_split_tsv(spark, d):
+    """G1 -> wide (G4, G5) -> TSV split by verdict (S5, S6) -> read back with an
+    explicit schema (S1) -> compact lists (G6)."""
+    cl = C.verdict_split(_claims(spark, d))
+    n_s, n_r = C.max_list_width(cl)
+    path = IO.scratch_path(spark, "claims-split")
+    IO.write_split_by_verdict(C.to_wide(cl, n_s, n_r), path)
+    schema = T.StructType(
+        [T.StructField("claim_id", T.StringType()), T.StructField("claim", T.StringType())]
+        + [T.StructField(f"support_evidence_{i + 1}", T.StringType()) for i in range(n_s)]
+        + [T.StructField(f"refute_evidence_{i + 1}", T.StringType()) for i in range(n_r)]
+        + [T.StructField("factcheck_verdict", T.StringType())])
+    back = IO.read_tsv(spark, path, schema).drop("row_ord")
+    return _claims_text(C.from_wide(back))
+
+
+_GRID_SCHEMA = T.StructType([
+    T.StructField("claim_id", T.StringType()), T.StructField("prompt", T.StringType()),
+    T.StructField("verdict", T.StringType()), T.StructField("confidence", T.IntegerType()),
+    T.StructField("bullets", T.ArrayType(T.StringType())),
+    T.StructField("model", T.StringType()), T.StructField("mode", T.StringType())])
+
+
+def q_answers_json_grid(spark, d):
+    """Parsed answers -> JSON stage partitioned by model and mode (S8) -> the
+    model x mode grid, one model never run (S3) -> missing paths skipped (S4)
+    -> one JSON read of the rest (S2)."""
+    parsed = _parsed(spark, d).select("model", "mode", "claim_id", "prompt", "verdict",
+                                      "confidence", "bullets")
+    path = IO.scratch_path(spark, "answers-json")
+    parsed.write.mode("errorifexists").partitionBy("model", "mode").json(path)
+    grid = IO.file_grid(path + "/", S.MODELS + ["gemma"], S.MODES, pattern="model={model}/mode={mode}")
+    back = spark.read.schema(_GRID_SCHEMA).option("basePath", path).json(IO.existing(spark, grid))
+    return back.select("model", "mode", "claim_id", "prompt", "verdict", "confidence",
+                       F.array_join("bullets", " | ").alias("bullets_text"))
+
+
+QUERIES.update({
+    "claims_split_tsv": q_claims_split_tsv,
+    "answers_json_grid": q_answers_json_grid,
+})
