@@ -6,7 +6,7 @@ except the list width of the wide export (``max_list_width``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import strip_ws
@@ -43,20 +43,39 @@ def _ordered(stance: str) -> Column:
     return F.transform(F.array_sort(coll), lambda x: x["e"])
 
 
-def group_claims(evidence: DataFrame, keep_null_verdict: bool = True) -> DataFrame:
+CLAIM_KEYS = ["claim_id", "claim", "factcheck_verdict"]
+
+
+def first_k_per_stance(evidence: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` evidence rows (file order) of each claim and stance.
+
+    ``row_number() <= k`` is planned as a WindowGroupLimit that also runs
+    before the shuffle, so a claim with very much evidence sends at most k
+    rows per map task instead of all of them."""
+    w = Window.partitionBy(*CLAIM_KEYS, "evidence_stance").orderBy("row_ord")
+    return evidence.withColumn("_rank", F.row_number().over(w)) \
+        .filter(F.col("_rank") <= k).drop("_rank")
+
+
+def group_claims(evidence: DataFrame, keep_null_verdict: bool = True,
+                 max_per_stance: int | None = None) -> DataFrame:
     """G1 + F1 + F4 + F5: one row per (claim_id, claim, factcheck_verdict) with
     the ordered supports and refutes lists; claims with neither are dropped.
 
     Null keys are dropped as a pandas group-by does; ``keep_null_verdict``
     keeps claims without a fact-check verdict (the borderlines claims).
     The stance filter runs before the shuffle so that only the evidence that
-    ends up in a list is moved.
+    ends up in a list is moved. With ``max_per_stance`` only the first k
+    supports and refutes are kept (enough for prompts and mode checks, which
+    need at most two), and the lists stay bounded whatever a claim holds.
     """
     ev = supports_or_refutes(relevant_only(evidence))
     ev = ev.filter(F.col("claim_id").isNotNull() & F.col("claim").isNotNull())
     if not keep_null_verdict:
         ev = ev.filter(F.col("factcheck_verdict").isNotNull())
-    out = ev.groupBy("claim_id", "claim", "factcheck_verdict").agg(
+    if max_per_stance is not None:
+        ev = first_k_per_stance(ev, max_per_stance)
+    out = ev.groupBy(*CLAIM_KEYS).agg(
         _ordered("supports").alias("supports"), _ordered("refutes").alias("refutes"))
     return out.filter((F.size("supports") > 0) | (F.size("refutes") > 0))
 

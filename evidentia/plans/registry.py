@@ -125,14 +125,15 @@ def q_category_by_mode_total(spark, d):
 
 
 def q_prompt_inputs(spark, d):
-    cl = C.group_claims(S.evidence(spark, d), keep_null_verdict=False)
+    cl = C.group_claims(S.evidence(spark, d), keep_null_verdict=False, max_per_stance=1)
     sel = C.select_evidence(cl, 1, 1, inverse=True)
     return sel.select("claim_id", F.array_join("selected_evidence", "|").alias("selected_text"))
 
 
 def _prompt_query(style, n_s, n_r):
     def q(spark, d):
-        cl = C.verdict_split(C.group_claims(S.evidence(spark, d), keep_null_verdict=False))
+        cl = C.verdict_split(C.group_claims(S.evidence(spark, d), keep_null_verdict=False,
+                                            max_per_stance=max(n_s, n_r)))
         return P.build_prompts(cl, style, n_s, n_r)
     return q
 

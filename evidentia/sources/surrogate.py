@@ -160,7 +160,8 @@ def answers(spark: SparkSession, sf_dir: str, run: int = 0,
     from evidentia.operators.claims import group_claims
     from evidentia.operators.prompts import prompt_text
 
-    cl = group_claims(evidence(spark, sf_dir)).filter(F.col("factcheck_verdict").isNotNull())
+    # no mode needs more than two pieces of evidence per stance
+    cl = group_claims(evidence(spark, sf_dir), keep_null_verdict=False, max_per_stance=2)
     modes = [(m, i, *MODE_EVIDENCE[m]) for i, m in enumerate(MODES)]
     x = cl.select("*", _literal_rows(["mode", "mode_no", "n_s", "n_r"], modes))
     x = x.filter((F.size("supports") >= F.col("n_s")) & (F.size("refutes") >= F.col("n_r"))
