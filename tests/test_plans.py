@@ -33,3 +33,21 @@ def test_crosstab_without_pivot_pass(spark):
     # evidence join (2 sides unless broadcast), claim aggregate, category aggregate
     assert plan.count("Exchange hashpartitioning") <= 4
     assert "pivot" not in plan.lower()
+
+
+def test_first_k_evidence_is_limited_before_the_shuffle(spark):
+    from evidentia.operators import claims as C
+    df = C.group_claims(S.evidence(spark, SF), keep_null_verdict=False, max_per_stance=2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_pair_scorer_has_no_join(spark):
+    from evidentia.operators import pairs as PR
+    df = spark.createDataFrame([("a", "x y", "y z")], "prompt string, candidate string, reference string")
+    plan = _plan(PR.lexical_scores(df, ["prompt"]))
+    assert "Join" not in plan
