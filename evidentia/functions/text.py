@@ -63,13 +63,25 @@ def syllables(word: Column) -> Column:
     return F.when(w == "", F.lit(0)).otherwise(F.greatest(groups - silent, F.lit(1)))
 
 
+_CONSONANT = "[b-df-hj-np-tv-xz]"
+
+
 def fk_grade(text: Column) -> Column:
     """Flesch-Kincaid grade of a text; NULL when it has no words.
-    Sentences = runs of . ! ? (at least 1)."""
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
-    n_words = F.size(words)
+    Sentences = runs of . ! ? (at least 1); syllables as ``syllables`` per
+    whitespace-separated word.
+
+    Computed on the whole text with native regex counts (no per-word lambda):
+    with words reduced to their letters, the syllable total is
+    vowel groups - words with a silent final e + words with letters but no
+    vowel group (each such word counts 1)."""
+    n_words = F.regexp_count(text, F.lit(r"(?U)\S+"))
     n_sent = F.greatest(F.regexp_count(text, F.lit("[.!?]+")), F.lit(1))
-    n_syl = F.aggregate(F.transform(words, syllables), F.lit(0), lambda a, x: a + x)
+    letters = F.regexp_replace(F.lower(text), r"(?U)[^a-z\s]", "")
+    groups = F.regexp_count(letters, F.lit("[aeiouy]+"))
+    silent = F.regexp_count(letters, F.lit(f"(?<![a-z])[a-z]*[aeiouy]{_CONSONANT}+[a-z]*e(?![a-z])"))
+    no_vowel = F.regexp_count(letters, F.lit(f"(?<![a-z]){_CONSONANT}+(?![a-z])"))
+    n_syl = groups - silent + no_vowel
     grade = (FK_SENTENCE_WEIGHT * (n_words / n_sent) + FK_SYLLABLE_WEIGHT * (n_syl / n_words)
              - FK_CONSTANT)
     return F.when(n_words > 0, grade)

@@ -34,19 +34,34 @@ def _blank(c: Column) -> Column:
     return c.isNull() | (strip_ws(c) == "")
 
 
-def pair_inputs(parsed: DataFrame, prompt_col: str = "prompt_text") -> DataFrame:
+def pair_inputs(parsed: DataFrame, prompt_col: str = "prompt_text",
+                evidence_col: str | None = None) -> DataFrame:
     """M9 + X12: per answer row, the (target, candidate, reference) pairs:
     bullets of an evidence prompt x each evidence and x the claim; bullets of
-    the claim-only prompt x the claim. Blank texts are skipped."""
+    the claim-only prompt x the claim. Blank texts are skipped.
+
+    The evidence texts are cut out of the prompt (X11) unless the job still
+    carries the evidence array the prompt was built from (``evidence_col``):
+    then they are read from it and the long prompt is not parsed again."""
     cand = join_bullets(F.col("bullets"))
-    e1, e2 = evidence_pair(F.col(prompt_col))
+    if evidence_col:
+        ev = F.col(evidence_col)
+        e1, e2 = strip_ws(F.get(ev, 0)), strip_ws(F.get(ev, 1))
+    else:
+        e1, e2 = evidence_pair(F.col(prompt_col))
     tgt = lambda name, ref: F.struct(F.lit(name).alias("target"), ref.alias("reference"))
     with_ev = F.array(tgt("evidence_1", e1), tgt("evidence_2", e2), tgt("claim", F.col("claim")))
     claim_only = F.array(tgt("claim", F.col("claim")))
     arr = F.when(F.col("prompt") == "claim", claim_only).otherwise(with_ev)
-    x = parsed.select("model", "mode", "claim_id", "prompt", cand.alias("candidate"),
-                      F.inline(arr))
-    return x.filter(~_blank(F.col("candidate")) & ~_blank(F.col("reference")))
+    x = parsed.select("model", "mode", "claim_id", "prompt", cand.alias("candidate"), arr.alias("_t"))
+    # The blank test runs inside the generator and only the generator's output
+    # is filtered: a filter on ``candidate`` (or the size filter Spark infers
+    # for a plain inline) would be pushed below the projection and evaluate
+    # the whole bullet extraction a second time.
+    keep = F.filter("_t", lambda s: ~_blank(F.col("candidate")) & ~_blank(s["reference"]))
+    out = x.select("model", "mode", "claim_id", "prompt", "candidate",
+                   F.inline_outer(keep))
+    return out.filter(F.col("target").isNotNull())
 
 
 def tokens(c: Column) -> Column:
@@ -57,13 +72,18 @@ def tokens(c: Column) -> Column:
 def lexical_scores(pairs: DataFrame, keys: list[str] | None = None, digits: int = 4) -> DataFrame:
     """M10 / M11 (lexical form): precision, recall, F1 per pair.
 
-    One explode of side-tagged tokens, a count per (pair, token) that combines
-    map-side, then one aggregate per pair: no join, and the pair input is
-    computed once."""
+    One explode of side-tagged tokens, a count per (pair, token), then one
+    aggregate per pair: no join, the pair input is computed once, and the
+    only shuffle moves pair rows (not token rows)."""
     keys = keys or PAIR_KEYS
+    # all tokens of a pair come from one row: hash-partition the pairs on
+    # their key once, then both aggregates below run without an exchange
+    pairs = pairs.repartition(*keys)
     tagged = F.concat(F.transform(tokens(F.col("candidate")), lambda t: F.struct(F.lit(0).alias("s"), t.alias("t"))),
                       F.transform(tokens(F.col("reference")), lambda t: F.struct(F.lit(1).alias("s"), t.alias("t"))))
-    x = pairs.select(*keys, F.inline(tagged))
+    # inline_outer + a filter on its output: no size filter is pushed into
+    # the (expensive) projection that produced the texts
+    x = pairs.select(*keys, F.inline_outer(tagged)).filter(F.col("t").isNotNull())
     per_tok = x.groupBy(*keys, "t").agg(F.count_if(F.col("s") == 0).alias("c"),
                                          F.count_if(F.col("s") == 1).alias("r"))
     per = per_tok.groupBy(*keys).agg(

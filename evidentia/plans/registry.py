@@ -258,7 +258,7 @@ from evidentia.operators import pairs as PR  # noqa: E402
 
 
 def _pairs(spark, d, run=0):
-    return PR.pair_inputs(_parsed(spark, d, run))
+    return PR.pair_inputs(_parsed(spark, d, run), evidence_col="selected_evidence")
 
 
 def _scores(spark, d):
@@ -287,9 +287,12 @@ def q_bert_diff(spark, d):
 def q_inverse_stats(spark, d):
     a = _parsed(spark, d, 0).select(*_K, F.col("bullets").alias("ba"))
     b = _parsed(spark, d, 1).select(*_K, F.col("bullets").alias("bb"))
-    j = a.join(b, _K).select(*_K, F.lit("inverse").alias("target"),
-                             X_join(F.col("ba")).alias("candidate"), X_join(F.col("bb")).alias("reference"))
-    j = j.filter((F.col("candidate") != "") & (F.col("reference") != ""))
+    # the pair is built inside a generator and only its output is filtered, so
+    # the blank test is not pushed below the join into the bullet extraction
+    pair = F.struct(F.lit("inverse").alias("target"), X_join(F.col("ba")).alias("candidate"),
+                    X_join(F.col("bb")).alias("reference"))
+    keep = F.filter(F.array(pair), lambda s: (s["candidate"] != "") & (s["reference"] != ""))
+    j = a.join(b, _K).select(*_K, F.inline_outer(keep)).filter(F.col("target").isNotNull())
     return ST.mean_sd(PR.lexical_scores(j), F.col("f1"))
 
 

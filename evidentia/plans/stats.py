@@ -80,11 +80,12 @@ def bullet_item_stats(parsed: DataFrame) -> DataFrame:
     """Per item: bullet count (missing -> 0) and mean words per non-blank
     bullet (0 when there is none) (E11, E12, M8)."""
     b = F.coalesce(F.col("bullets"), F.array().cast("array<string>"))
-    nonblank = F.filter(b, lambda x: strip_ws(x) != "")
-    words = F.transform(nonblank, word_count)
-    total = F.aggregate(words, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    avg_len = F.when(F.size(nonblank) > 0, total / F.size(nonblank)).otherwise(F.lit(0.0))
-    return parsed.select(*GROUP, F.size(b).alias("bullet_count"), avg_len.alias("avg_bullet_length"))
+    # the word counts are read twice below: compute them in their own projection
+    staged = parsed.select(*GROUP, F.size(b).alias("bullet_count"),
+                           F.transform(F.filter(b, lambda x: strip_ws(x) != ""), word_count).alias("_w"))
+    total = F.aggregate("_w", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    avg_len = F.when(F.size("_w") > 0, total / F.size("_w")).otherwise(F.lit(0.0))
+    return staged.select(*GROUP, "bullet_count", avg_len.alias("avg_bullet_length"))
 
 
 def match_rate(parsed_a: DataFrame, parsed_b: DataFrame) -> DataFrame:
@@ -126,6 +127,8 @@ def fk_item_stats(parsed: DataFrame) -> DataFrame:
     without bullets are skipped)."""
     from evidentia.functions.text import bullets_fk
     fk = bullets_fk(F.coalesce(F.col("bullets"), F.array().cast("array<string>")))
-    grades = F.filter(F.transform(fk, lambda s: s["fk_grade"]), lambda g: g.isNotNull())
-    total = F.aggregate(grades, F.lit(0.0), lambda a, g: a + g)
-    return parsed.select(*GROUP, F.when(F.size(grades) > 0, total / F.size(grades)).alias("fk_grade"))
+    # the grades are read three times below: compute them in their own projection
+    staged = parsed.select(*GROUP, F.filter(F.transform(fk, lambda s: s["fk_grade"]),
+                                            lambda g: g.isNotNull()).alias("_g"))
+    total = F.aggregate("_g", F.lit(0.0), lambda a, g: a + g)
+    return staged.select(*GROUP, F.when(F.size("_g") > 0, total / F.size("_g")).alias("fk_grade"))

@@ -179,7 +179,7 @@ def answers(spark: SparkSession, sf_dir: str, run: int = 0,
         ptext = F.when(F.col("prompt") == p, e) if ptext is None else ptext.when(F.col("prompt") == p, e)
     return x.select(
         F.lit(style).alias("style"), "model", "mode", "claim_id", "claim", "factcheck_verdict",
-        "prompt", ptext.alias("prompt_text"),
+        "prompt", ptext.alias("prompt_text"), "selected_evidence",
         F.expr(answer_columns(run)["response"]).alias("response"),
         "claim_key", "model_no", "prompt_no", "mode_no")
 

@@ -51,3 +51,5 @@ def test_pair_scorer_has_no_join(spark):
     df = spark.createDataFrame([("a", "x y", "y z")], "prompt string, candidate string, reference string")
     plan = _plan(PR.lexical_scores(df, ["prompt"]))
     assert "Join" not in plan
+    # one exchange: the pairs, hash-partitioned on their key
+    assert plan.count("Exchange") == 1
