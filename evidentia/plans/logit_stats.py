@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import logits as L
+from evidentia.plans.quantiles import exact_quantiles
+from evidentia.session import materialize
 
 ITEM = ["model", "mode", "claim_id"]
 
@@ -81,6 +83,8 @@ def histogram(long: DataFrame, value: str, group: list[str], by: list[str], bins
     """Equal-width histogram with ``bins`` bins per ``group``; the range
     is shared by every ``by`` value (as one plot with hue). The last bin is
     closed (P13)."""
+    # read twice (range, then binning): materialise the narrow input once
+    long = materialize(long.select(*group, *by, value))
     rng = long.groupBy(*group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     x = long.join(F.broadcast(rng), group)
     width = F.col("hi") - F.col("lo")
@@ -94,11 +98,12 @@ def histogram(long: DataFrame, value: str, group: list[str], by: list[str], bins
 
 def boxplot(long: DataFrame, value: str, group: list[str]) -> DataFrame:
     """Quartiles (linear interpolation), whiskers = furthest values inside
-    1.5 IQR fences, number of outliers, per group."""
-    q = long.groupBy(*group).agg(
-        F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                 F.col("q")[2].alias("q3"))
+    1.5 IQR fences, number of outliers, per group. The quartiles are exact and
+    computed without gathering a group in one task (``exact_quantiles``)."""
+    # read by every quantile step and the whisker pass: materialise it once
+    long = materialize(long.select(*group, value))
+    q = exact_quantiles(long, value, group, [0.25, 0.5, 0.75]).select(
+        *group, F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     x = long.join(F.broadcast(q), group).withColumn("inside", (
         (F.col(value) >= F.col("q1") - 1.5 * iqr) & (F.col(value) <= F.col("q3") + 1.5 * iqr)))

@@ -7,7 +7,7 @@ standard deviation (``stddev_samp``), NULL for a single row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import strip_ws, word_count
@@ -92,17 +92,23 @@ def match_rate(parsed_a: DataFrame, parsed_b: DataFrame) -> DataFrame:
     """J5 + E14: verdict agreement (%) between two runs, keyed on
     (model, mode, claim_id, prompt); NULL = NULL counts as a match. A
     (model, mode) pair whose runs differ in size is skipped, as in the
-    reference's positional comparison."""
+    reference's positional comparison.
+
+    One full outer join reads each run once: the run sizes, the matched rows
+    and the agreements are counted in the same aggregate; the size check
+    per (model, mode) is a window over its (at most three) prompt rows."""
     keys = ["model", "mode", "claim_id", "prompt"]
-    a = parsed_a.select(*keys, F.col("verdict").alias("va"))
-    b = parsed_b.select(*keys, F.col("verdict").alias("vb"))
-    size_a = a.groupBy("model", "mode").agg(F.count(F.lit(1)).alias("na"))
-    size_b = b.groupBy("model", "mode").agg(F.count(F.lit(1)).alias("nb"))
-    same = size_a.join(size_b, ["model", "mode"]).filter(F.col("na") == F.col("nb")).select("model", "mode")
-    j = a.join(b, keys).join(same, ["model", "mode"], "left_semi")
-    return j.groupBy(*GROUP).agg(
-        F.count(F.lit(1)).alias("n"),
-        _r(F.avg(F.col("va").eqNullSafe(F.col("vb")).cast("double")) * 100.0).alias("match_pct"))
+    a = parsed_a.select(*keys, F.col("verdict").alias("va"), F.lit(True).alias("in_a"))
+    b = parsed_b.select(*keys, F.col("verdict").alias("vb"), F.lit(True).alias("in_b"))
+    both = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
+    g = a.join(b, keys, "full_outer").groupBy(*GROUP).agg(
+        F.count("in_a").alias("na"), F.count("in_b").alias("nb"),
+        F.count_if(both).alias("n"),
+        F.count_if(both & F.col("va").eqNullSafe(F.col("vb"))).alias("agree"))
+    w = Window.partitionBy("model", "mode")
+    g = g.withColumn("na_all", F.sum("na").over(w)).withColumn("nb_all", F.sum("nb").over(w))
+    return g.filter((F.col("na_all") == F.col("nb_all")) & (F.col("n") > 0)).select(
+        *GROUP, "n", _r(100.0 * F.col("agree") / F.col("n")).alias("match_pct"))
 
 
 def subset_semi(answers: DataFrame, keep_mode: str = "1refute", ref_mode: str = "mix") -> DataFrame:

@@ -55,3 +55,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    For a small derived table that several branches of one plan read: without
+    it each branch recomputes the whole lineage. A reliable checkpoint (not a
+    local one) survives the loss of the executors that computed it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
