@@ -213,6 +213,16 @@ def logit_sql(prompt_no: int, token_no: int) -> str:
             f"as double) / 10 - 2)")
 
 
+def answer_logits() -> Column:
+    """The logits stored with one answer (for its own prompt type), over
+    columns claim_key, model_no, prompt_no, mode_no: the same values that
+    ``logit_items`` lays out per item."""
+    kv = []
+    for ti, t in enumerate(["true", "false", "maybe"]):
+        kv += [F.lit(t), F.expr(logit_sql("prompt_no", ti))]
+    return F.create_map(*kv)
+
+
 def logit_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (model, mode, claim) with ``logits_{basic,internal,claim}``
     as MAP<STRING, DOUBLE> over the tokens true / false / maybe."""
