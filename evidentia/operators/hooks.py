@@ -10,13 +10,19 @@ a deterministic model gives the same output.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 Generate = Callable[[list[str]], list[str]]
+
+# The functions this module runs on Python workers travel by value, so the
+# workers need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 Logits = Callable[[list[str]], list[dict[str, float]]]
 Score = Callable[[list[str], list[str]], list[tuple[float, float, float]]]
 

@@ -17,10 +17,12 @@ Two scorers:
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,10 @@ from evidentia.functions.text import join_bullets, strip_ws
 
 PAIR_KEYS = ["model", "mode", "claim_id", "prompt", "target"]
 
+# The functions this module runs on Python workers travel by value, so the
+# workers need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _blank(c: Column) -> Column:
     return c.isNull() | (strip_ws(c) == "")
