@@ -53,3 +53,16 @@ def test_pair_scorer_has_no_join(spark):
     assert "Join" not in plan
     # one exchange: the pairs, hash-partitioned on their key
     assert plan.count("Exchange") == 1
+
+
+def test_no_cross_join_and_python_only_in_tile_scorer(spark):
+    import __spark_entry__ as E
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name, fn in E.queries().items():
+            plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
+            python = "MapInPandas" in plan or "EvalPython" in plan
+            assert python == (name == "greedy_match"), name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
