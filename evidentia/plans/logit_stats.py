@@ -64,9 +64,12 @@ def acu_summary(acus: DataFrame, column: str = "acu_basic",
     """Mean, population sd and N of the ACU per (mode, model); NULL ACU
     dropped (F12). Only modes with a direction are summarised."""
     x = F.col(column)
-    return acus.filter(F.col("mode").isin(list(modes)) & x.isNotNull()).groupBy("mode", "model").agg(
+    # avg / stddev / count skip NULL ACU by themselves; filtering on the ACU
+    # column would be pushed into the projection and compute it twice
+    g = acus.filter(F.col("mode").isin(list(modes))).groupBy("mode", "model").agg(
         F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("sd"),
         F.count(x).alias("n"))
+    return g.filter(F.col("n") > 0)
 
 
 def acu_combined(acus: DataFrame, modes: tuple[str, ...] = ("2support", "2refute")) -> DataFrame:
