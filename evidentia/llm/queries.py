@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import line_quality, mixing, secret_scan, url_filter, warc_index
+from evidentia.llm import decontam, line_quality, mixing, secret_scan, toxicity, url_filter, warc_index, wrapper_html
 from evidentia.llm.common import table
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
@@ -31,6 +31,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_REPEAT)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(table(spark, sf_dir, "documents"))
 
@@ -39,12 +43,23 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.captures(table(spark, sf_dir, "pages"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op4_secret_scan": op4_secret_scan,
     "op5_source_mix": op5_source_mix,
+    "op6_decontaminate": op6_decontaminate,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
+    "op9_toxicity": op9_toxicity,
+    "op10_html_extract": op10_html_extract,
 }
 
 LLM_ORACLES: dict[str, str] = {
@@ -76,6 +91,25 @@ SELECT d.doc_id, d.size, r.n::BIGINT AS source_size, r.target,
        (least(r.reps + CASE WHEN d.h < coalesce(y.cut, 0) THEN 1 ELSE 0 END, 3) * d.size)::BIGINT AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
        LEFT JOIN y ON d.source IS NOT DISTINCT FROM y.source""",
+    "op6_decontaminate": r"""
+WITH RECURSIVE w AS (
+  SELECT true AS is_doc, doc_id::VARCHAR AS id, text FROM documents
+  UNION ALL SELECT false, coalesce(item_id::VARCHAR, 'null'), text FROM benchmark),
+t AS (SELECT is_doc, id, coalesce(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM w),
+k AS (SELECT DISTINCT least(len(words), 10) AS l FROM t WHERE NOT is_doc AND len(words) > 0),
+v AS (SELECT t.is_doc, t.id, k.l, i, array_to_string(words[i:i + k.l - 1], ' ') AS win
+      FROM t JOIN k ON t.is_doc OR k.l = least(len(words), 10), unnest(range(1, len(words) - k.l + 2)) AS u(i)),
+o AS (SELECT d.id, d.i, d.l, b.id AS item FROM v d JOIN (SELECT DISTINCT id, l, win FROM v WHERE NOT is_doc) b
+      ON d.l = b.l AND d.win = b.win WHERE d.is_doc),
+h AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + l)) AS p FROM o) GROUP BY id),
+m AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+      FROM (SELECT DISTINCT id, item FROM o) GROUP BY id)
+SELECT d.doc_id, len(t.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM documents d JOIN t ON t.is_doc AND t.id = d.doc_id::VARCHAR LEFT JOIN h USING (id) LEFT JOIN m USING (id)""",
     "op8_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
            FROM pages),
