@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import decontam, line_quality, mixing, secret_scan, toxicity, url_filter, warc_index, wrapper_html
+from evidentia.llm import chunk_dedup, decontam, line_quality, mixing, secret_scan, toxicity, url_filter, warc_index, wrapper_html
 from evidentia.llm.common import table
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
@@ -23,6 +23,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_chunk_dedup": op3_chunk_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_source_mix": op5_source_mix,
     "op6_decontaminate": op6_decontaminate,
