@@ -107,7 +107,7 @@ def _select(n1: np.ndarray, n0: np.ndarray, size1: int, size0: int) -> np.ndarra
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, deltas: list[tuple[np.ndarray, np.ndarray]],
-          n: int, penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
+          n: int, penalty: float) -> tuple[np.ndarray, float]:
     """Weights and intercept. rows: feature numbers of each text; deltas: the
     numbers that a swap adds and removes. Minimises the weighted log-loss sum +
     L2/2 |w|^2 + penalty/2 * sum of squared score changes, by Adam steps."""
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     y = np.array([r["toxic"] for r in small])
     weight = np.where(y == 1, n1 / (y == 1).sum(), n0 / (y == 0).sum()) * len(y) / (n1 + n0)
     deltas = [(np.array(a, int), np.array(b, int)) for r in small for a, b in zip(r["plus"], r["minus"]) if a or b]
-    w, bias = train([np.array(r["own"], int) for r in small], y, weight, deltas, len(chosen_buckets))
+    w, bias = train([np.array(r["own"], int) for r in small], y, weight, deltas, len(chosen_buckets), SWAP_PENALTY)
     return {int(b): float(x) for b, x in zip(chosen_buckets, w) if x}, float(bias)
 
 
