@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import strip_ws
-
 KEEP_STANCES = ["supports", "refutes"]
 
 
@@ -46,6 +44,11 @@ def _ordered(stance: str) -> Column:
 CLAIM_KEYS = ["claim_id", "claim", "factcheck_verdict"]
 
 
+def valid_evidence(text: Column) -> Column:
+    """evidence counts for prompts only if it is neither null nor empty."""
+    return text.isNotNull() & (text != "")
+
+
 def first_k_per_stance(evidence: DataFrame, k: int) -> DataFrame:
     """The first ``k`` evidence rows (file order) of each claim and stance.
 
@@ -58,7 +61,7 @@ def first_k_per_stance(evidence: DataFrame, k: int) -> DataFrame:
 
 
 def group_claims(evidence: DataFrame, keep_null_verdict: bool = True,
-                 max_per_stance: int | None = None) -> DataFrame:
+                 max_per_stance: int | None = None, valid_only: bool | None = None) -> DataFrame:
     """G1 + F1 + F4 + F5: one row per (claim_id, claim, factcheck_verdict) with
     the ordered supports and refutes lists; claims with neither are dropped.
 
@@ -67,9 +70,13 @@ def group_claims(evidence: DataFrame, keep_null_verdict: bool = True,
     The stance filter runs before the shuffle so that only the evidence that
     ends up in a list is moved. With ``max_per_stance`` only the first k
     supports and refutes are kept (enough for prompts and mode checks, which
-    need at most two), and the lists stay bounded whatever a claim holds.
+    need at most two), and the lists stay bounded whatever a claim holds. Null
+    and empty texts are dropped before they are ranked (``valid_only``, by
+    default with ``max_per_stance``); the plain exports keep them (P9).
     """
     ev = supports_or_refutes(relevant_only(evidence))
+    if max_per_stance is not None if valid_only is None else valid_only:
+        ev = ev.filter(valid_evidence(F.col("evidence")))
     ev = ev.filter(F.col("claim_id").isNotNull() & F.col("claim").isNotNull())
     if not keep_null_verdict:
         ev = ev.filter(F.col("factcheck_verdict").isNotNull())
@@ -92,28 +99,6 @@ def group_claims_first_row(evidence: DataFrame) -> DataFrame:
     return out.filter((F.size("supports") > 0) | (F.size("refutes") > 0))
 
 
-def claim_counts(evidence: DataFrame, keep_null_verdict: bool = True) -> DataFrame:
-    """Counting form of G1 for statistics: per claim group the number of
-    supports and refutes, without building the lists. Counts combine
-    map-side, so the shuffle carries one small row per claim and task."""
-    ev = supports_or_refutes(relevant_only(evidence))
-    ev = ev.filter(F.col("claim_id").isNotNull() & F.col("claim").isNotNull())
-    if not keep_null_verdict:
-        ev = ev.filter(F.col("factcheck_verdict").isNotNull())
-    return ev.groupBy("claim_id", "claim", "factcheck_verdict").agg(
-        F.count_if(F.col("evidence_stance") == "supports").alias("n_supports"),
-        F.count_if(F.col("evidence_stance") == "refutes").alias("n_refutes"))
-
-
-def first_verdict_per_claim(claims: DataFrame) -> DataFrame:
-    """One row per claim_id with its first non-null verdict, taken in the
-    order the grouped claims file lists them (claim text, then verdict)."""
-    return claims.groupBy("claim_id").agg(
-        F.min_by("factcheck_verdict",
-                 F.when(F.col("factcheck_verdict").isNotNull(),
-                        F.struct("claim", "factcheck_verdict"))).alias("factcheck_verdict"))
-
-
 def max_list_width(claims: DataFrame) -> tuple[int, int]:
     """Longest supports and refutes lists (a single driver scalar pair)."""
     row = claims.agg(F.coalesce(F.max(F.size("supports")), F.lit(0)).alias("s"),
@@ -150,9 +135,10 @@ def from_wide(wide: DataFrame) -> DataFrame:
 
 def select_evidence(claims: DataFrame, n_supports: int, n_refutes: int,
                     inverse: bool = False) -> DataFrame:
-    """F9 + G7 + G8: claims with at least n supports and m refutes, and the
-    first n supports followed by the first m refutes (reversed if asked)."""
-    ok = claims.filter((F.size("supports") >= n_supports) & (F.size("refutes") >= n_refutes))
+    """F9 + G7 + G8: claims with at least n valid supports and m valid refutes, and
+    the first n supports followed by the first m refutes (reversed if asked)."""
+    ok = claims.withColumns({c: F.filter(c, valid_evidence) for c in ("supports", "refutes")})
+    ok = ok.filter((F.size("supports") >= n_supports) & (F.size("refutes") >= n_refutes))
     sel = F.concat(F.slice("supports", 1, n_supports) if n_supports else F.array().cast("array<string>"),
                    F.slice("refutes", 1, n_refutes) if n_refutes else F.array().cast("array<string>"))
     if inverse:
@@ -176,8 +162,3 @@ def funnel(evidence: DataFrame) -> DataFrame:
         F.count_if(rel & nb).alias("relevant_not_borderline_rows"),
         F.count_if(rel & nb & st).alias("kept_stance_rows"),
         F.count_distinct(F.when(rel & nb & st, F.col("claim_id"))).alias("kept_claims"))
-
-
-def clean_label(c: Column) -> Column:
-    """F7 strip (all whitespace, as Python does)."""
-    return strip_ws(c)

@@ -4,9 +4,8 @@ Two scorers:
 
 * ``lexical_scores`` - greedy token matching with exact-match similarity
   (BERTScore with one-hot token vectors): P = share of candidate tokens found
-  in the reference, R the other way round, F1 their harmonic mean. Built as
-  a count per (pair, token) that combines map-side, so a long text or a
-  frequent token never moves more than one row per task.
+  in the reference, R the other way round, F1 their harmonic mean. A
+  projection over the pair row, without a shuffle.
 * ``greedy_match`` - the same greedy matching over real token vectors
   (cosine similarity). Token vectors are cut into blocks of bounded size;
   each (candidate block, reference block) tile of a pair is one row, scored
@@ -75,30 +74,32 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"(?U)[^\w]+"), lambda x: x != "")
 
 
+def _matched(own: Column, other: Column) -> Column:
+    """How many tokens of ``own`` occur in ``other``. Both are sorted together, a
+    reference token before its equals, and walked once: no text is compared
+    with another one token by token."""
+    item = lambda t, g: F.struct(t.alias("t"), F.lit(g).alias("g"))
+    both = F.array_sort(F.concat(F.transform(F.array_distinct(other), lambda t: item(t, 0)),
+                                 F.transform(own, lambda t: item(t, 1))))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"))
+    step = lambda s, x: F.struct(
+        F.when(x["g"] == 0, x["t"]).otherwise(s["last"]).alias("last"),
+        (s["n"] + ((x["g"] == 1) & (x["t"] == s["last"])).cast("int")).alias("n"))
+    return F.aggregate(both, start, step, lambda s: s["n"])
+
+
 def lexical_scores(pairs: DataFrame, keys: list[str] | None = None, digits: int = 4) -> DataFrame:
-    """M10 / M11 (lexical form): precision, recall, F1 per pair.
+    """M10 / M11 (lexical form): precision, recall, F1 of every pair row.
 
-    One explode of side-tagged tokens, a count per (pair, token), then one
-    aggregate per pair: no join, the pair input is computed once, and the
-    only shuffle moves pair rows (not token rows)."""
+    All tokens of a pair are in its row, so the scores are a projection: no
+    shuffle, and rows with equal keys are scored one by one."""
     keys = keys or PAIR_KEYS
-    # all tokens of a pair come from one row: hash-partition the pairs on
-    # their key once, then both aggregates below run without an exchange
-    pairs = pairs.repartition(*keys)
-    tagged = F.concat(F.transform(tokens(F.col("candidate")), lambda t: F.struct(F.lit(0).alias("s"), t.alias("t"))),
-                      F.transform(tokens(F.col("reference")), lambda t: F.struct(F.lit(1).alias("s"), t.alias("t"))))
-    # inline_outer + a filter on its output: no size filter is pushed into
-    # the (expensive) projection that produced the texts
-    x = pairs.select(*keys, F.inline_outer(tagged)).filter(F.col("t").isNotNull())
-    per_tok = x.groupBy(*keys, "t").agg(F.count_if(F.col("s") == 0).alias("c"),
-                                         F.count_if(F.col("s") == 1).alias("r"))
-    per = per_tok.groupBy(*keys).agg(
-        F.sum("c").alias("nc"), F.sum(F.when(F.col("r") > 0, F.col("c")).otherwise(0)).alias("mc"),
-        F.sum("r").alias("nr"), F.sum(F.when(F.col("c") > 0, F.col("r")).otherwise(0)).alias("mr"))
-    # a text without tokens has no precision (or recall)
-    p = F.when(F.col("nc") > 0, F.col("mc") / F.col("nc"))
-    r = F.when(F.col("nr") > 0, F.col("mr") / F.col("nr"))
-    s = per.select(*keys, p.alias("precision"), r.alias("recall"))
+    # the texts and tokens are built once each, in projections of their own
+    x = pairs.select(*keys, tokens(F.col("candidate")).alias("c"), tokens(F.col("reference")).alias("r"))
+    # a text without tokens has no precision (or recall); two of them no row
+    p = F.when(F.size("c") > 0, _matched(F.col("c"), F.col("r")) / F.size("c"))
+    r = F.when(F.size("r") > 0, _matched(F.col("r"), F.col("c")) / F.size("r"))
+    s = x.filter((F.size("c") > 0) | (F.size("r") > 0)).select(*keys, p.alias("precision"), r.alias("recall"))
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))) \
         .when(F.col("precision").isNotNull() & F.col("recall").isNotNull(), F.lit(0.0))
@@ -106,11 +107,24 @@ def lexical_scores(pairs: DataFrame, keys: list[str] | None = None, digits: int
                     F.round("recall", digits).alias("recall"), F.round(f1, digits).alias("f1"))
 
 
-def scores_map(scores: DataFrame, keys: list[str], value: str = "f1") -> DataFrame:
-    """Long pair scores -> MAP<target, score> per answer (at most three
-    entries, so the collected list is bounded)."""
-    return scores.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("target", value))).alias("scores"))
+TARGETS = ["evidence_1", "evidence_2", "claim"]
+
+
+def scores_map(scores: DataFrame, keys: list[str], value: str = "f1", order: str | None = None,
+               targets: list[str] | None = None) -> DataFrame:
+    """Long pair scores -> MAP<target, score> per answer. Of several rows of
+    one (key, target) the last in ``order`` counts (without one, the largest
+    value); one conditional aggregate per target, so nothing is collected."""
+    targets = targets or TARGETS
+    rank = F.struct(order, value) if order else F.struct(value)
+    aggs = []
+    for i, t in enumerate(targets):
+        here = F.col("target") == t
+        aggs += [F.max(F.when(here, rank)).alias(f"_v{i}")]
+    entries = F.array(*[F.when(F.col(f"_v{i}").isNotNull(), F.struct(F.lit(t).alias("k"), F.col(f"_v{i}")[value].alias("v")))
+                        for i, t in enumerate(targets)])
+    return scores.groupBy(*keys).agg(*aggs).select(
+        *keys, F.map_from_entries(F.filter(entries, lambda e: e.isNotNull())).alias("scores"))
 
 
 # --- M12: greedy matching over token vectors -------------------------------------
@@ -164,5 +178,7 @@ def greedy_match(token_vecs: DataFrame, block: int = 256, digits: int = 4) -> Da
         F.avg(F.when(F.col("side") == 0, F.col("sim"))).alias("p"),
         F.avg(F.when(F.col("side") == 1, F.col("sim"))).alias("r"))
     f1 = F.when(F.col("p") + F.col("r") != 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r")))
-    return pr.select("pair_id", F.round("p", digits).alias("precision"),
-                     F.round("r", digits).alias("recall"), F.round(f1, digits).alias("f1"))
+    # a pair with tokens on one side only has no tile, but keeps its row
+    return n.select("pair_id").distinct().join(pr, "pair_id", "left").select(
+        "pair_id", F.round("p", digits).alias("precision"),
+        F.round("r", digits).alias("recall"), F.round(f1, digits).alias("f1"))

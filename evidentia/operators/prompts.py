@@ -46,13 +46,27 @@ _TASK = {
 }
 
 
+# Rules that the parsers and metrics rely on, per style that asks for the part.
+_RULES = {
+    "confidence": "The confidence score is a whole number from 1 (guess) to 100 (certain).",
+    "bullets": ("Each point is one plain statement of fact; do not mention the claim, the evidence "
+                "numbers or these instructions in it."),
+    "knowledge": ("Internal knowledge is true if any point rests on something you know yourself "
+                  "and not on the evidence, else false."),
+}
+_RULES_OF = {"bullet_first": ["bullets", "knowledge", "confidence"],
+             "verdict_first": ["confidence", "bullets", "knowledge"],
+             "verdict_conf": ["confidence"], "verdict_only": []}
+
+
 def instruction_text(style: str, prompt_type: str) -> str:
     lead, source = _SOURCE[prompt_type]
     task, fmt = _TASK[style]
+    rules = "".join(" " + _RULES[r] for r in _RULES_OF[style])
     return (f"<Instruction>: {lead} {task} {source} "
             f"Answer in exactly this format: \n{fmt} "
             "The verdict is one lowercase word: true, false or maybe; use maybe only when "
-            "the information is contradictory or not enough.")
+            f"the information is contradictory or not enough.{rules}")
 
 
 def _instruction_map() -> Column:
@@ -102,22 +116,34 @@ def judge_prompt(claim: Column, bullets: Column) -> Column:
                     F.lit(JUDGE_FORMAT))
 
 
-# P-8: chat wrapping as plain strings; the llama template needs a tokenizer
-# and is not built (see README).
+# P-8: chat wrapping as plain strings, a template per model.
+# The public chat formats of the model families.
 CHAT_TEMPLATES = {
-    "mistral": "<s>[INST] {system}\n\n{prompt} [/INST]",
+    "llama": ("<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\n{system}<|eot_id|>"
+              "<|start_header_id|>user<|end_header_id|>\n\n{prompt}<|eot_id|>"
+              "<|start_header_id|>assistant<|end_header_id|>\n\n"),
+    "mistral": "<s>[INST] <<SYS>>\n{system}\n<</SYS>>\n\n{prompt} [/INST]",
     "qwen": ("<|im_start|>system\n{system}<|im_end|>\n<|im_start|>user\n{prompt}<|im_end|>\n"
              "<|im_start|>assistant\n"),
 }
+# the judge is asked without a system text
+JUDGE_TEMPLATES = {
+    "llama": ("<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n\n{prompt}<|eot_id|>"
+              "<|start_header_id|>assistant<|end_header_id|>\n\n"),
+    "mistral": "<s>[INST] {prompt} [/INST]",
+    "qwen": "<|im_start|>user\n{prompt}<|im_end|>\n<|im_start|>assistant\n",
+}
 SYSTEM_TEXT = "You are a careful fact-checking assistant."
 
 
-def chat_wrap(model: Column, prompt: Column) -> Column:
-    """Wrap a prompt in the chat format of its model; NULL for models without
-    a plain-string template."""
+def chat_wrap(model: Column, prompt: Column, templates: dict[str, str] | None = None) -> Column:
+    """Wrap a prompt in the chat format of its model. ``templates`` maps a model
+    to a text with {prompt} (and {system}); a row whose model has none fails the
+    job instead of going on without a prompt."""
     out = None
-    for name, tpl in CHAT_TEMPLATES.items():
+    for name, tpl in (templates or CHAT_TEMPLATES).items():
         pre, post = tpl.replace("{system}", SYSTEM_TEXT).split("{prompt}")
         expr = F.concat(F.lit(pre), prompt, F.lit(post))
         out = F.when(model == name, expr) if out is None else out.when(model == name, expr)
-    return out
+    return out.otherwise(F.raise_error(F.concat(F.lit("no chat template for model "),
+                                                F.coalesce(model, F.lit("null")))))

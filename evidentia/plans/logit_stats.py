@@ -89,7 +89,7 @@ def histogram(long: DataFrame, value: str, group: list[str], by: list[str], bins
     # read twice (range, then binning): materialise the narrow input once
     long = materialize(long.select(*group, *by, value))
     rng = long.groupBy(*group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    x = long.join(F.broadcast(rng), group)
+    x = long.join(rng, group)
     width = F.col("hi") - F.col("lo")
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(value) - F.col("lo")) / width * bins), F.lit(bins - 1)))
@@ -108,7 +108,7 @@ def boxplot(long: DataFrame, value: str, group: list[str]) -> DataFrame:
     q = exact_quantiles(long, value, group, [0.25, 0.5, 0.75]).select(
         *group, F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"))
     iqr = F.col("q3") - F.col("q1")
-    x = long.join(F.broadcast(q), group).withColumn("inside", (
+    x = long.join(q, group).withColumn("inside", (
         (F.col(value) >= F.col("q1") - 1.5 * iqr) & (F.col(value) <= F.col("q3") + 1.5 * iqr)))
     v = F.col(value)
     return x.groupBy(*group, "q1", "median", "q3").agg(

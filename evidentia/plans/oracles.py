@@ -280,10 +280,11 @@ WHERE (model, mode) IN (
   WHERE na = nb)
 GROUP BY {_G}"""
 
-ORACLES["subset_semi"] = with_(*BASE) + """SELECT model, mode, claim_id, prompt FROM answers a
-WHERE mode = '1refute'
-  AND EXISTS (SELECT 1 FROM answers m WHERE m.mode = 'mix' AND m.model = a.model
-              AND m.claim_id = a.claim_id)"""
+ORACLES["subset_semi"] = with_(
+    EVIDENCE, KEPT, CLAIMS.replace("claims AS (", "claims AS MATERIALIZED (", 1),
+    ANSWERS.replace("answers AS (", "answers AS MATERIALIZED (", 1),
+    "mixed AS MATERIALIZED (SELECT DISTINCT model, claim_id FROM answers WHERE mode = 'mix')") + """
+SELECT model, mode, claim_id, prompt FROM answers SEMI JOIN mixed USING (model, claim_id) WHERE mode = '1refute'"""
 
 ORACLES["sample_sizes"] = with_(*BASE) + """SELECT mode, CAST(count(*) AS BIGINT) AS n_rows,
   CAST(floor(count(*) / 9) AS BIGINT) AS n_items_compat,
@@ -358,19 +359,31 @@ def prompt_sql(style: str, ptype: str, claim: str, sel: str) -> str:
     return f"array_to_string(list_concat({head}, {ev}, [{instr}]), chr(10))"
 
 
-def _prompt_oracle(style: str, n_s: int, n_r: int) -> str:
-    sel = f"list_concat(supports[1:{n_s}], refutes[1:{n_r}])"
-    cols = ", ".join(f"{prompt_sql(style, p, 'claim', sel)} AS {p}_prompt" for p in _P.PROMPT_TYPES)
-    return (with_(EVIDENCE, KEPT, CLAIMS) +
-            f"SELECT claim_id, claim, factcheck_verdict AS fact_check, {cols} FROM claims "
-            f"WHERE factcheck_verdict IN ('True', 'False', 'Half True') "
-            f"AND len(supports) >= {n_s} AND len(refutes) >= {n_r}")
-
-
-ORACLES["prompt_bullet_first"] = _prompt_oracle("bullet_first", 2, 0)
-ORACLES["prompt_verdict_first"] = _prompt_oracle("verdict_first", 0, 2)
-ORACLES["prompt_verdict_conf"] = _prompt_oracle("verdict_conf", 1, 1)
-ORACLES["prompt_verdict_only"] = _prompt_oracle("verdict_only", 1, 1)
+def _prompt_oracle(style: str) -> str:
+    parts = []
+    for mode in S.MODES:
+        n_s, n_r = S.MODE_EVIDENCE[mode]
+        for inverse in (False, True):
+            sel = f"list_concat(supports[1:{n_s}], refutes[1:{n_r}])"
+            sel = f"list_reverse({sel})" if inverse else sel
+            cols = ", ".join(f"{prompt_sql(style, p, 'claim', sel)} AS {p}_prompt" for p in _P.PROMPT_TYPES)
+            parts.append(f"SELECT '{mode}' AS mode, {str(inverse).lower()} AS inverse, claim_id, claim, "
+                         f"factcheck_verdict AS fact_check, {cols} FROM claims "
+                         f"WHERE factcheck_verdict IN ('True', 'False', 'Half True') "
+                         f"AND len(supports) >= {n_s} AND len(refutes) >= {n_r}")
+    return with_(EVIDENCE, KEPT, CLAIMS) + "\nUNION ALL ".join(parts)
+
+
+for _style in _P.STYLES:
+    ORACLES[f"prompt_{_style}"] = _prompt_oracle(_style)
+
+ORACLES["prompt_inputs_gaps"] = with_(
+    f"evidence AS ({S.evidence_gaps_sql()})",
+    KEPT.replace("AND claim_id IS NOT NULL", "AND evidence <> '' AND claim_id IS NOT NULL"),
+    CLAIMS, CLAIMS_V) + """SELECT claim_id,
+  array_to_string(list_reverse(list_concat(supports[1:1], refutes[1:1])), '|') AS selected_text
+FROM claims_v WHERE len(supports) >= 1 AND len(refutes) >= 1"""
+ORACLES["prompt_inputs_gaps_wide"] = ORACLES["prompt_inputs_gaps"]
 
 _JUDGE_INSTR = _sql_lit(
     "\n<Instruction>:\nScore the bullet list: 1 if a criterion holds, 0 if "
@@ -379,24 +392,30 @@ _JUDGE_INSTR = _sql_lit(
     "do not repeat each other. Criterion 4: they are clear. Then count the "
     "bullets that matter for judging the claim. Output only the scores:\n" + _P.JUDGE_FORMAT)
 
-ORACLES["eval_prompts"] = with_(*BASE, PARSED) + f"""SELECT model, mode, claim_id, prompt,
+EVAL_PROMPTS = f"""SELECT model, mode, claim_id, prompt,
   '<Claim>: ' || claim || chr(10) || '<Bullet list>:' || chr(10)
   || coalesce(array_to_string(list_transform(bullets, lambda b: '- ' || b), chr(10)), '')
   || {_JUDGE_INSTR} AS eval_prompt
-FROM parsed WHERE mode = 'mix'"""
+FROM parsed"""
+ORACLES["eval_prompts"] = with_(*BASE, PARSED) + EVAL_PROMPTS
 
 
-def _chat_sql(model: str, prompt: str) -> str:
+def _chat_sql(model: str, prompt: str, templates: dict[str, str]) -> str:
     arms = []
-    for name, tpl in _P.CHAT_TEMPLATES.items():
+    for name, tpl in templates.items():
         pre, post = tpl.replace("{system}", _P.SYSTEM_TEXT).split("{prompt}")
         arms.append(f"WHEN {model} = '{name}' THEN {_sql_lit(pre)} || {prompt} || {_sql_lit(post)}")
     return "(CASE " + " ".join(arms) + " END)"
 
 
-ORACLES["chat_wrapped"] = with_(*BASE) + f"""SELECT model, mode, claim_id,
-  {_chat_sql('model', prompt_sql('bullet_first', 'internal', 'claim', 'sel'))} AS chat_prompt
-FROM answers WHERE prompt = 'internal'"""
+_PTEXT = "(CASE prompt " + " ".join(
+    f"WHEN '{p}' THEN {prompt_sql('bullet_first', p, 'claim', 'sel')}" for p in _P.PROMPT_TYPES) + " END)"
+ORACLES["chat_wrapped"] = with_(*BASE) + f"""SELECT model, mode, claim_id, prompt,
+  {_chat_sql('model', _PTEXT, _P.CHAT_TEMPLATES)} AS chat_prompt FROM answers"""
+_EVALUATORS = ", ".join(f"('{m}')" for m in S.MODELS)
+ORACLES["judge_chat_wrapped"] = with_(*BASE, PARSED, f"ep AS ({EVAL_PROMPTS})") + f"""SELECT model, mode, claim_id, prompt,
+  evaluator, {_chat_sql('evaluator', 'eval_prompt', _P.JUDGE_TEMPLATES)} AS chat_prompt
+FROM ep, (VALUES {_EVALUATORS}) e(evaluator)"""
 
 
 def _tag(x: str, tag: str, nxt: list[str]) -> str:
@@ -541,6 +560,7 @@ JUDGED = ("judged AS (SELECT generator_model, mode, claim_id, prompt, evaluator,
           ", ".join(f"CASE WHEN eval_text <> '' THEN {_jf(l)} END AS {c}" for c, l in _JCOLS.items()) +
           " FROM judge)")
 JBASE = (*BASE, JUDGE, JUDGED)
+JGAPS = (*BASE, f"judge AS ({S.judge_sql(gaps=True)})", JUDGED)
 
 ORACLES["judge_scores"] = with_(*JBASE) + "SELECT * FROM judged"
 
@@ -554,14 +574,14 @@ FROM (SELECT *, criterion = 'relevant_bullets' OR score IN (0, 1) AS ok,
              CASE WHEN criterion = 'relevant_bullets' OR score IN (0, 1) THEN score END AS v FROM lng)
 GROUP BY evaluator, criterion, mode, generator_model, prompt"""
 
-ORACLES["merge_judge"] = with_(*JBASE) + ", pa AS (SELECT generator_model AS model, mode, claim_id, prompt, " \
+ORACLES["merge_judge"] = with_(*JGAPS) + ", pa AS (SELECT generator_model AS model, mode, claim_id, prompt, " \
     "CAST(count(criterion_1) AS BIGINT) AS n_scored, " + \
     ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in _JCOLS) + \
     " FROM judged GROUP BY ALL) SELECT a.model, a.mode, a.claim_id, a.prompt, n_scored, " + \
     ", ".join(f"mean_{c}" for c in _JCOLS) + \
     " FROM answers a LEFT JOIN pa USING (model, mode, claim_id, prompt)"
 
-ORACLES["join_coverage"] = with_(*JBASE) + """, lk AS (SELECT DISTINCT model, mode, claim_id FROM answers),
+ORACLES["join_coverage"] = with_(*JGAPS) + """, lk AS (SELECT DISTINCT model, mode, claim_id FROM answers),
 rk AS (SELECT DISTINCT generator_model AS model, mode, claim_id FROM judge),
 j AS (SELECT lk.claim_id AS lid, rk.claim_id AS rid, coalesce(lk.claim_id, rk.claim_id) AS cid
       FROM lk FULL OUTER JOIN rk USING (model, mode, claim_id))
@@ -572,10 +592,15 @@ SELECT CAST(count(lid) AS BIGINT) AS n_left, CAST(count(rid) AS BIGINT) AS n_rig
      ORDER BY c LIMIT 5)) AS missing_examples
 FROM j"""
 
-ORACLES["unmatched_ids"] = with_(*JBASE) + """SELECT DISTINCT model, mode, claim_id FROM answers a
+ORACLES["unmatched_ids"] = with_(*JGAPS) + """SELECT DISTINCT model, mode, claim_id FROM answers a
 WHERE NOT EXISTS (SELECT 1 FROM judge j WHERE j.generator_model = a.model AND j.mode = a.mode
                   AND j.claim_id = a.claim_id)"""
 
+ORACLES["merge_judge_evaluators"] = with_(*JGAPS) + f"""SELECT a.model, a.mode, a.claim_id, a.prompt, e.evaluator,
+  {", ".join(_JCOLS)}
+FROM answers a CROSS JOIN (VALUES {_EVALUATORS}) e(evaluator) LEFT JOIN judged j ON j.generator_model = a.model
+  AND j.mode = a.mode AND j.claim_id = a.claim_id AND j.prompt = a.prompt AND j.evaluator = e.evaluator"""
+
 # --- pairs ---------------------------------------------------------------------------
 _PT = prompt_sql("bullet_first", "basic", "claim", "sel")
 
@@ -624,26 +649,31 @@ ORACLES["pair_inputs"] = with_(*PBASE) + "SELECT * FROM pairs"
 ORACLES["pair_scores"] = with_(*PBASE, _lexical("pairs", _PK)) + "SELECT * FROM scores"
 
 SCORE_COLS = """sc AS (SELECT model, mode, claim_id, prompt, CAST(count(*) AS BIGINT) AS n_targets,
-  any_value(f1) FILTER (WHERE target = 'evidence_1') AS bert_evidence_1,
-  any_value(f1) FILTER (WHERE target = 'evidence_2') AS bert_evidence_2,
-  any_value(f1) FILTER (WHERE target = 'claim') AS bert_claim
+  any_value(f1) FILTER (WHERE target = 'evidence_1') AS lexical_evidence_1,
+  any_value(f1) FILTER (WHERE target = 'evidence_2') AS lexical_evidence_2,
+  any_value(f1) FILTER (WHERE target = 'claim') AS lexical_claim
   FROM scores GROUP BY model, mode, claim_id, prompt)"""
 
 ORACLES["pair_scores_map"] = with_(*PBASE, _lexical("pairs", _PK), SCORE_COLS) + "SELECT * FROM sc"
-MERGED = """merged AS (SELECT a.model, a.mode, a.claim_id, a.prompt, bert_evidence_1, bert_evidence_2,
-  bert_claim FROM parsed a LEFT JOIN sc USING (model, mode, claim_id, prompt))"""
+MERGED = """merged AS (SELECT a.model, a.mode, a.claim_id, a.prompt, lexical_evidence_1, lexical_evidence_2,
+  lexical_claim FROM parsed a LEFT JOIN sc USING (model, mode, claim_id, prompt))"""
 ORACLES["merge_scores"] = with_(*PBASE, _lexical("pairs", _PK), SCORE_COLS, MERGED) + "SELECT * FROM merged"
 ORACLES["bert_diff"] = with_(*PBASE, _lexical("pairs", _PK), SCORE_COLS, MERGED) + _mean_sd(
-    "merged", "CASE WHEN prompt = 'claim' THEN 0.0 ELSE abs(bert_evidence_1 - bert_evidence_2) END")
+    "merged", "CASE WHEN prompt = 'claim' THEN 0.0 ELSE abs(lexical_evidence_1 - lexical_evidence_2) END")
 
-PARSED_B_FULL = f"""parsed_b2 AS (SELECT *, {bullets('response')} AS bullets FROM answers_b)"""
+ANSWERS_INV = f"answers_i AS ({S.answers_sql(0, inverse=True)})"
+PARSED_INV = f"""parsed_i AS (SELECT *, {bullets('response')} AS bullets FROM answers_i)"""
 INV = """inv AS (SELECT model, mode, claim_id, prompt, 'inverse' AS target,
     coalesce(array_to_string(a.bullets, ' '), '') AS candidate,
     coalesce(array_to_string(b.bullets, ' '), '') AS reference
-  FROM parsed a JOIN parsed_b2 b USING (model, mode, claim_id, prompt)),
+  FROM parsed a JOIN parsed_i b USING (model, mode, claim_id, prompt)),
 inv2 AS (SELECT * FROM inv WHERE candidate <> '' AND reference <> '')"""
-ORACLES["inverse_stats"] = (with_(*BASE, ANSWERS_B, PARSED, PARSED_B_FULL, INV, _lexical("inv2", _PK))
-                            + _mean_sd("scores", "f1"))
+IBASE = (*BASE, ANSWERS_INV, PARSED, PARSED_INV, INV, _lexical("inv2", _PK))
+ORACLES["inverse_stats"] = with_(*IBASE) + _mean_sd("scores", "f1")
+ORACLES["merge_inverse"] = with_(*IBASE) + """SELECT a.model, a.mode, a.claim_id, a.prompt, f1 AS inverse_f1
+FROM parsed a LEFT JOIN scores s USING (model, mode, claim_id, prompt)"""
+ORACLES["merge_scores_last"] = with_(*PBASE, _lexical("pairs", _PK)) + """SELECT a.model, a.mode, a.claim_id, a.prompt, f1
+FROM answers a LEFT JOIN (SELECT * FROM scores WHERE target = 'claim') s USING (model, mode, claim_id, prompt)"""
 
 ORACLES["key_equality"] = with_(*BASE, ANSWERS_B) + """, ka AS (SELECT DISTINCT model, mode, claim_id FROM answers),
 kb AS (SELECT DISTINCT model, mode, claim_id FROM answers_b),
@@ -654,6 +684,9 @@ SELECT model, mode, CAST(count(a) AS BIGINT) AS n_a, CAST(count(b) AS BIGINT) AS
     AND count(b) = count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS same_keys
 FROM j GROUP BY model, mode"""
 
+ORACLES["key_equality_gaps"] = ORACLES["key_equality"].replace(
+    "claim_id FROM answers_b)", "claim_id FROM answers_b WHERE model <> 'qwen' OR claim_key % 17 <> 0)")
+
 ORACLES["greedy_match"] = """WITH tok AS (
   SELECT vec_id % 20 AS pair_id, CAST(floor(vec_id / 20) AS BIGINT) % 2 AS side, vec_id AS tok_id,
          CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),

@@ -126,30 +126,58 @@ def q_category_by_mode_total(spark, d):
     return CS.category_by_mode_total(items, universe, ["2support", "2refute", "mix"])
 
 
+def _selected(claims):
+    sel = C.select_evidence(claims, 1, 1, inverse=True)
+    return sel.select("claim_id", F.array_join("selected_evidence", "|").alias("selected_text"))
+
+
+def q_prompt_inputs_gaps(spark, d):
+    """F9 on evidence with null and empty texts: the first valid ones count."""
+    return _selected(C.group_claims(S.evidence_gaps(spark, d), keep_null_verdict=False, max_per_stance=1))
+
+
+def q_prompt_inputs_gaps_wide(spark, d):
+    """The same through the wide export, which holds the null and empty cells."""
+    cl = materialize(C.group_claims(S.evidence_gaps(spark, d), keep_null_verdict=False))
+    return _selected(C.from_wide(C.to_wide(cl, *C.max_list_width(cl))))
+
+
 def q_prompt_inputs(spark, d):
     cl = C.group_claims(S.evidence(spark, d), keep_null_verdict=False, max_per_stance=1)
     sel = C.select_evidence(cl, 1, 1, inverse=True)
     return sel.select("claim_id", F.array_join("selected_evidence", "|").alias("selected_text"))
 
 
-def _prompt_query(style, n_s, n_r):
+def _prompt_query(style):
+    """Every mode the evidence allows, in file order and reversed."""
     def q(spark, d):
-        cl = C.verdict_split(C.group_claims(S.evidence(spark, d), keep_null_verdict=False,
-                                            max_per_stance=max(n_s, n_r)))
-        return P.build_prompts(cl, style, n_s, n_r)
+        cl = C.verdict_split(C.group_claims(S.evidence(spark, d), keep_null_verdict=False, max_per_stance=2))
+        out = None
+        for mode in S.MODES:
+            for inverse in (False, True):
+                part = P.build_prompts(cl, style, *S.MODE_EVIDENCE[mode], inverse=inverse).select(
+                    F.lit(mode).alias("mode"), F.lit(inverse).alias("inverse"), "*")
+                out = part if out is None else out.unionByName(part)
+        return out
     return q
 
 
 def q_eval_prompts(spark, d):
-    parsed = _parsed(spark, d).filter(F.col("mode") == "mix")
-    return parsed.select("model", "mode", "claim_id", "prompt",
-                         P.judge_prompt(F.col("claim"), F.col("bullets")).alias("eval_prompt"))
+    return _parsed(spark, d).select("model", "mode", "claim_id", "prompt",
+                                    P.judge_prompt(F.col("claim"), F.col("bullets")).alias("eval_prompt"))
 
 
 def q_chat_wrapped(spark, d):
-    a = _answers(spark, d).filter(F.col("prompt") == "internal")
-    return a.select("model", "mode", "claim_id", P.chat_wrap(F.col("model"), F.col("prompt_text"))
-                    .alias("chat_prompt"))
+    a = _answers(spark, d)
+    return a.select("model", "mode", "claim_id", "prompt",
+                    P.chat_wrap(F.col("model"), F.col("prompt_text")).alias("chat_prompt"))
+
+
+def q_judge_chat_wrapped(spark, d):
+    """P-8 for the judge: each evaluator's template, without a system text."""
+    e = q_eval_prompts(spark, d).select("*", F.explode(F.array(*[F.lit(m) for m in S.MODELS])).alias("evaluator"))
+    return e.select("model", "mode", "claim_id", "prompt", "evaluator",
+                    P.chat_wrap(F.col("evaluator"), F.col("eval_prompt"), P.JUDGE_TEMPLATES).alias("chat_prompt"))
 
 
 def q_tagged_evidence(spark, d):
@@ -165,12 +193,12 @@ QUERIES.update({
     "evidence_funnel": lambda spark, d: C.funnel(S.evidence(spark, d)),
     "category_by_mode_total": q_category_by_mode_total,
     "prompt_inputs": q_prompt_inputs,
-    "prompt_bullet_first": _prompt_query("bullet_first", 2, 0),
-    "prompt_verdict_first": _prompt_query("verdict_first", 0, 2),
-    "prompt_verdict_conf": _prompt_query("verdict_conf", 1, 1),
-    "prompt_verdict_only": _prompt_query("verdict_only", 1, 1),
+    "prompt_inputs_gaps": q_prompt_inputs_gaps,
+    "prompt_inputs_gaps_wide": q_prompt_inputs_gaps_wide,
+    **{f"prompt_{s}": _prompt_query(s) for s in P.STYLES},
     "eval_prompts": q_eval_prompts,
     "chat_wrapped": q_chat_wrapped,
+    "judge_chat_wrapped": q_judge_chat_wrapped,
     "tagged_evidence": q_tagged_evidence,
 })
 
@@ -228,17 +256,25 @@ def _judged(spark, d):
 
 def q_merge_judge(spark, d):
     items = _parsed(spark, d).select(*_K)
-    return EN.left_merge(items, JG.per_answer(_judged(spark, d)), _K)
+    return EN.left_merge(items, JG.per_answer(JG.parse_judge(S.judge(spark, d, gaps=True))), _K)
+
+
+def q_merge_judge_evaluators(spark, d):
+    """J3 in full: each answer with the scores of every evaluator, no average."""
+    keys = [*_K, "evaluator"]
+    items = _parsed(spark, d).select(*_K, F.explode(F.array(*[F.lit(m) for m in S.MODELS])).alias("evaluator"))
+    scores = JG.parse_judge(S.judge(spark, d, gaps=True)).withColumnRenamed("generator_model", "model")
+    return EN.left_merge(items, scores, keys)
 
 
 def q_join_coverage(spark, d):
-    return EN.coverage(_answers(spark, d), S.judge(spark, d).withColumnRenamed("generator_model", "model"),
+    return EN.coverage(_answers(spark, d), S.judge(spark, d, gaps=True).withColumnRenamed("generator_model", "model"),
                        ["model", "mode", "claim_id"])
 
 
 def q_unmatched_ids(spark, d):
     return EN.unmatched(_answers(spark, d),
-                        S.judge(spark, d).withColumnRenamed("generator_model", "model"),
+                        S.judge(spark, d, gaps=True).withColumnRenamed("generator_model", "model"),
                         ["model", "mode", "claim_id"])
 
 
@@ -246,6 +282,7 @@ QUERIES.update({
     "judge_scores": _judged,
     "judge_stats": lambda spark, d: JG.judge_stats(_judged(spark, d)),
     "merge_judge": q_merge_judge,
+    "merge_judge_evaluators": q_merge_judge_evaluators,
     "join_coverage": q_join_coverage,
     "unmatched_ids": q_unmatched_ids,
 })
@@ -266,7 +303,7 @@ def _scores(spark, d):
 def _score_cols(spark, d):
     m = PR.scores_map(_scores(spark, d), _K)
     return m.select(*_K, F.size("scores").cast("bigint").alias("n_targets"),
-                    *[F.element_at("scores", F.lit(t)).alias(f"bert_{t}")
+                    *[F.element_at("scores", F.lit(t)).alias(f"lexical_{t}")
                       for t in ("evidence_1", "evidence_2", "claim")])
 
 
@@ -278,20 +315,50 @@ def q_merge_scores(spark, d):
 def q_bert_diff(spark, d):
     m = q_merge_scores(spark, d)
     diff = F.when(F.col("prompt") == "claim", F.lit(0.0)).otherwise(
-        F.abs(F.col("bert_evidence_1") - F.col("bert_evidence_2")))
+        F.abs(F.col("lexical_evidence_1") - F.col("lexical_evidence_2")))
     return ST.mean_sd(m, diff)
 
 
-def q_inverse_stats(spark, d):
+def _parsed_inverse(spark, d):
+    """The answers to the prompts with reversed evidence."""
+    return XP.extract_answers(S.answers(spark, d, inverse=True), "strict")
+
+
+def _inverse_pairs(spark, d):
+    """Bullets of the normal run against those of the reversed run."""
     a = _parsed(spark, d, 0).select(*_K, F.col("bullets").alias("ba"))
-    b = _parsed(spark, d, 1).select(*_K, F.col("bullets").alias("bb"))
+    b = _parsed_inverse(spark, d).select(*_K, F.col("bullets").alias("bb"))
     # the pair is built inside a generator and only its output is filtered, so
     # the blank test is not pushed below the join into the bullet extraction
     pair = F.struct(F.lit("inverse").alias("target"), X_join(F.col("ba")).alias("candidate"),
                     X_join(F.col("bb")).alias("reference"))
     keep = F.filter(F.array(pair), lambda s: (s["candidate"] != "") & (s["reference"] != ""))
-    j = a.join(b, _K).select(*_K, F.inline_outer(keep)).filter(F.col("target").isNotNull())
-    return ST.mean_sd(PR.lexical_scores(j), F.col("f1"))
+    return a.join(b, _K).select(*_K, F.inline_outer(keep)).filter(F.col("target").isNotNull())
+
+
+def q_inverse_stats(spark, d):
+    return ST.mean_sd(PR.lexical_scores(_inverse_pairs(spark, d)), F.col("f1"))
+
+
+def q_merge_inverse(spark, d):
+    """The F1 of the reversed run for every answer; missing ones stay NULL."""
+    items = _parsed(spark, d).select(*_K)
+    scores = PR.lexical_scores(_inverse_pairs(spark, d)).select(*_K, F.col("f1").alias("inverse_f1"))
+    return EN.left_merge(items, scores, _K)
+
+
+def q_merge_scores_last(spark, d):
+    """A score table with repeated keys; the last duplicate (by file order) wins."""
+    s = _scores(spark, d).filter(F.col("target") == "claim")
+    again = s.select(*_K, F.lit(0).alias("row_ord"), F.lit(-1.0).alias("f1")).unionByName(
+        s.select(*_K, F.lit(1).alias("row_ord"), "f1"))
+    return EN.left_merge(_answers(spark, d).select(*_K), again, _K, order="row_ord")
+
+
+def q_key_equality_gaps(spark, d):
+    """J6 where the second run lost claims: the groups that differ say so."""
+    b = _answers(spark, d, 1).filter((F.col("model") != "qwen") | (F.col("claim_key") % 17 != 0))
+    return EN.key_equality(_answers(spark, d, 0), b, ["model", "mode"])
 
 
 def X_join(c):
@@ -306,6 +373,9 @@ QUERIES.update({
     "merge_scores": q_merge_scores,
     "bert_diff": q_bert_diff,
     "inverse_stats": q_inverse_stats,
+    "merge_inverse": q_merge_inverse,
+    "merge_scores_last": q_merge_scores_last,
+    "key_equality_gaps": q_key_equality_gaps,
     "key_equality": lambda spark, d: EN.key_equality(_answers(spark, d, 0), _answers(spark, d, 1),
                                                      ["model", "mode"]),
     "greedy_match": lambda spark, d: PR.greedy_match(S.token_vectors(spark, d)),

@@ -2,7 +2,7 @@
 
 The driver ships TPC-H-like tables, not claim / evidence files. Each view
 below re-reads them as the claim tables the reference works on, so every
-query scales with ``lineitem`` / ``orders`` / ``embeddings`` / ``documents``.
+query scales with ``lineitem`` / ``orders`` / ``embeddings``.
 Every column is a SQL expression that Spark and DuckDB evaluate the same way,
 so the oracle SQL builds the very same input rows.
 
@@ -80,6 +80,22 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(*cols)
 
 
+# Evidence with gaps: every fifth text is null, every fifth empty.
+GAP_EVIDENCE = ("CASE l_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE "
+                + EVIDENCE_COLUMNS["evidence"] + " END")
+
+
+def evidence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``evidence`` with null and empty texts among the others."""
+    li, od = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    cols = [F.expr(GAP_EVIDENCE if n == "evidence" else e).alias(n) for n, e in EVIDENCE_COLUMNS.items()]
+    return li.join(od, li.l_orderkey == od.o_orderkey).select(*cols, F.struct(*EVIDENCE_ORDER).alias("row_ord"))
+
+
+def evidence_gaps_sql() -> str:
+    return evidence_sql().replace(f"{EVIDENCE_COLUMNS['evidence']} AS evidence", f"{GAP_EVIDENCE} AS evidence")
+
+
 def evidence_sql() -> str:
     """DuckDB text of the same view, with the order columns kept flat."""
     cols = ",\n  ".join(f"{e} AS {n}" for n, e in EVIDENCE_COLUMNS.items())
@@ -151,12 +167,12 @@ def _literal_rows(names: list[str], rows: list[tuple]) -> Column:
 
 
 def answers(spark: SparkSession, sf_dir: str, run: int = 0,
-            style: str = "bullet_first") -> DataFrame:
+            style: str = "bullet_first", inverse: bool = False) -> DataFrame:
     """One row per claim x mode x model x prompt type, with the prompt and a
     synthetic response. Built from the grouped claims (G1) with a verdict;
     a claim enters every mode its evidence allows (F9), 1refute only for
     claims whose verdict is True. Modes, models and prompt types are literal
-    generators (inline), not joins."""
+    generators (inline), not joins. ``inverse`` reverses the evidence (G8)."""
     from evidentia.operators.claims import group_claims
     from evidentia.operators.prompts import prompt_text
 
@@ -167,6 +183,8 @@ def answers(spark: SparkSession, sf_dir: str, run: int = 0,
     x = x.filter((F.size("supports") >= F.col("n_s")) & (F.size("refutes") >= F.col("n_r"))
                  & ((F.col("mode") != "1refute") | (F.col("factcheck_verdict") == "True")))
     sel = F.concat(F.slice("supports", 1, F.col("n_s")), F.slice("refutes", 1, F.col("n_r")))
+    if inverse:  # G8: the same evidence, reversed in the prompt
+        sel = F.reverse(sel)
     x = x.select("claim_id", "claim", "factcheck_verdict", "mode", "mode_no",
                  sel.alias("selected_evidence"),
                  F.expr(claim_key()).alias("claim_key"))
@@ -184,22 +202,24 @@ def answers(spark: SparkSession, sf_dir: str, run: int = 0,
         "claim_key", "model_no", "prompt_no", "mode_no")
 
 
-def answers_sql(run: int = 0) -> str:
+def answers_sql(run: int = 0, inverse: bool = False) -> str:
     """DuckDB text of ``answers`` (without the prompt text), reading the CTE
     ``claims`` (claim_id, claim, factcheck_verdict, supports, refutes)."""
     modes = ", ".join(f"('{m}', {i}, {MODE_EVIDENCE[m][0]}, {MODE_EVIDENCE[m][1]})"
                       for i, m in enumerate(MODES))
     mp = ", ".join(f"('{m}', {mi}, '{p}', {pi})"
                    for mi, m in enumerate(MODELS) for pi, p in enumerate(PROMPTS))
+    sel = "list_concat(c.supports[1:m.n_s], c.refutes[1:m.n_r])"
+    sel = f"list_reverse({sel})" if inverse else sel
     return f"""SELECT model, mode, claim_id, claim, factcheck_verdict, prompt,
   {answer_columns(run)["response"]} AS response,
   claim_key, model_no, prompt_no, mode_no, ev1, ev2, sel
 FROM (
   SELECT c.claim_id, c.claim, c.factcheck_verdict, m.mode, m.mode_no,
          {claim_key("c.claim_id")} AS claim_key,
-         list_concat(c.supports[1:m.n_s], c.refutes[1:m.n_r])[1] AS ev1,
-         list_concat(c.supports[1:m.n_s], c.refutes[1:m.n_r])[2] AS ev2,
-         list_concat(c.supports[1:m.n_s], c.refutes[1:m.n_r]) AS sel
+         {sel}[1] AS ev1,
+         {sel}[2] AS ev2,
+         {sel} AS sel
   FROM claims c, (VALUES {modes}) m(mode, mode_no, n_s, n_r)
   WHERE c.factcheck_verdict IS NOT NULL
     AND len(c.supports) >= m.n_s AND len(c.refutes) >= m.n_r
@@ -259,22 +279,24 @@ def judge_text_sql() -> str:
             f"WHEN 3 THEN {single} ELSE {case} END)")
 
 
-def judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+def judge(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
     """Judge responses: one row per answer x evaluator (generator_model is the
-    answering model). The judge skipped claims whose key is a multiple of 17,
-    so merges meet unmatched rows."""
-    a = answers(spark, sf_dir).filter(F.col("claim_key") % 17 != 0)
+    answering model). With ``gaps`` (a fixture for merges and their coverage)
+    the judge skipped the claims whose key is a multiple of 17."""
+    a = answers(spark, sf_dir)
+    if gaps:
+        a = a.filter(F.col("claim_key") % 17 != 0)
     ev = a.select("*", _literal_rows(["evaluator", "evaluator_no"],
                                      [(m, i) for i, m in enumerate(MODELS)]))
     return ev.select(F.col("model").alias("generator_model"), "mode", "claim_id", "prompt",
                      "evaluator", F.expr(judge_text_sql()).alias("eval_text"))
 
 
-def judge_sql() -> str:
+def judge_sql(gaps: bool = False) -> str:
     ev = ", ".join(f"('{m}', {i})" for i, m in enumerate(MODELS))
     return (f"SELECT model AS generator_model, mode, claim_id, prompt, evaluator, "
             f"{judge_text_sql()} AS eval_text FROM answers, (VALUES {ev}) e(evaluator, evaluator_no) "
-            "WHERE claim_key % 17 <> 0")
+            + ("WHERE claim_key % 17 <> 0" if gaps else ""))
 
 
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
