@@ -703,3 +703,55 @@ ORACLES["claims_split_tsv"] = with_(EVIDENCE, KEPT, CLAIMS) + _CLAIMS_TEXT.forma
     src="(SELECT * FROM claims WHERE factcheck_verdict IN ('True', 'False', 'Half True'))")
 ORACLES["answers_json_grid"] = with_(*BASE, PARSED) + """SELECT model, mode, claim_id, prompt, verdict,
   confidence, array_to_string(bullets, ' | ') AS bullets_text FROM parsed"""
+
+
+# --- ingest, nested scores, further statistics, given texts, hooks -----------------------
+ORACLES["responses_ingest"] = with_(*BASE) + f"""SELECT {_K}, factcheck_verdict, {_PTEXT} AS prompt_text, response,
+  {", ".join("(CASE prompt_no " + " ".join(f"WHEN {pi} THEN {S.logit_sql(pi, ti)}" for pi in range(3)) + f" END) AS logit_{t}" for ti, t in enumerate(_TOKS))}
+FROM answers"""
+ORACLES["responses_ingest_wrapped"] = ORACLES["responses_ingest"]
+ORACLES["judge_nested"] = ORACLES["judge_scores"]
+_FALLBACK = (f"(CASE WHEN claim_key % 3 <> 0 THEN {_PB} ELSE "
+             f"{prompt_sql('bullet_first', 'internal', 'claim', 'sel')} END)")
+ORACLES["tagged_evidence_fallback"] = with_(*BASE) + f"""SELECT model, mode, claim_id,
+  {_tag('pt', '<Evidence 1>:', ['<Evidence 2>:', '<Instruction>:'])} AS evidence_1,
+  {_tag('pt', '<Evidence 2>:', ['<Instruction>:'])} AS evidence_2
+FROM (SELECT *, {_FALLBACK} AS pt FROM answers WHERE prompt = 'basic')"""
+ORACLES["loose_quality"] = with_(*BASE) + f"""SELECT model, mode, prompt, CAST(count(*) AS BIGINT) AS n_answers,
+  CAST(count(*) FILTER (WHERE v IS NULL) AS BIGINT) AS missing_verdict,
+  CAST(count(*) FILTER (WHERE c IS NULL) AS BIGINT) AS missing_confidence
+FROM (SELECT *, {verdict_loose('response')} AS v, {confidence_loose('response')} AS c FROM answers)
+GROUP BY model, mode, prompt"""
+_STORED = ("list_filter(list_transform(string_split('-- ' || array_to_string(bullets, ' -- '), '--'), "
+           f"lambda x: {strip('x')}), lambda x: x <> '')")
+ORACLES["bullet_string_stats"] = with_(
+    *BASE, PARSED, f"parsed2 AS (SELECT {_K}, {_STORED} AS bullets FROM parsed)",
+    ITEM_BULLETS.replace("FROM parsed)", "FROM parsed2)")) + f"""SELECT {_G}, CAST(count(*) AS BIGINT) AS n,
+  round(avg(bullet_count), 6) AS mean_count, round(avg(avg_bullet_length), 6) AS mean_length FROM items GROUP BY {_G}"""
+ORACLES["acu_hist"] = with_(*LBASE) + """, al AS (
+  SELECT model, mode, 'acu_basic' AS acu_type, round(acu_basic, 12) AS acu FROM acus WHERE acu_basic IS NOT NULL
+  UNION ALL SELECT model, mode, 'acu_internal', round(acu_internal, 12) FROM acus WHERE acu_internal IS NOT NULL),
+rng AS (SELECT model, acu_type, min(acu) AS lo, max(acu) AS hi FROM al GROUP BY ALL)
+SELECT model, acu_type, mode,
+  CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((acu - lo) / (hi - lo) * 40), 39) END AS INTEGER) AS bin,
+  CAST(count(*) AS BIGINT) AS n, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi
+FROM al JOIN rng USING (model, acu_type) GROUP BY ALL"""
+ORACLES["category_by_mode_verdict"] = with_(*BASE) + f"""SELECT model,
+  regexp_extract(claim_id, '^([^-_]*)', 1) AS category, factcheck_verdict,
+  {", ".join(f"CAST(count(*) FILTER (WHERE mode = '{m}') AS BIGINT) AS cnt_{m}" for m in S.MODES)},
+  CAST(count(*) AS BIGINT) AS total_cnt FROM answers WHERE prompt = 'basic' GROUP BY ALL"""
+ORACLES["documents_readability"] = f"""SELECT doc_id, CAST({words('text')} AS BIGINT) AS n_words,
+  round({fk_grade('text')}, 6) AS fk_grade FROM documents"""
+ORACLES["conversations_extraction"] = f"""SELECT conv_id, turn, {verdict_strict('text')} AS verdict,
+  {verdict_loose('text')} AS verdict_loose, {confidence_strict('text')} AS confidence,
+  {internal_knowledge('text')} AS internal_knowledge, CAST(len({bullets('text')}) AS BIGINT) AS n_bullets
+FROM conversations"""
+ORACLES["hook_complete"] = with_(*BASE) + f"""SELECT {_K},
+  CASE length(pt) % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'maybe' END AS verdict,
+  CAST(length(pt) % 101 AS INTEGER) AS confidence FROM (SELECT *, {_PTEXT} AS pt FROM answers)"""
+ORACLES["hook_logits"] = with_(*BASE) + f"""SELECT {_K},
+  round(exp(a) / (exp(a) + exp(b) + exp(c)), 6) AS p_true, round(exp(b) / (exp(a) + exp(b) + exp(c)), 6) AS p_false,
+  round(exp(c) / (exp(a) + exp(b) + exp(c)), 6) AS p_maybe
+FROM (SELECT *, length({_PTEXT}) % 7 AS a, length({_PTEXT}) % 5 AS b, length({_PTEXT}) % 3 AS c FROM answers)"""
+ORACLES["hook_scores"] = with_(*BASE) + f"""SELECT {_K}, round(length(claim) / (length(claim) + length(response)), 6) AS precision,
+  round(length(response) / (length(claim) + length(response)), 6) AS recall FROM answers"""

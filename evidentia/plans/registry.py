@@ -429,3 +429,133 @@ QUERIES.update({
     "claims_split_tsv": q_claims_split_tsv,
     "answers_json_grid": q_answers_json_grid,
 })
+
+
+# --- ingest of result files, nested scores, further statistics, given texts, hooks ----
+from evidentia.functions import text as TX  # noqa: E402
+from evidentia.operators import hooks as HK  # noqa: E402
+from evidentia.plans import ingest as IN  # noqa: E402
+
+ITEMS_PER_FILE = 2000
+
+
+def _items(spark, d):
+    a = _answers(spark, d).withColumn("logits", S.answer_logits())
+    return IN.answers_to_items(a)
+
+
+def _responses_ingest(wrapped):
+    """T-3 result files written, read back (S2, list or wrapped root) and unpivoted."""
+    def q(spark, d):
+        items = materialize(_items(spark, d))
+        path = IO.scratch_path(spark, "result-files")
+        IN.write_item_files(items, path, max(1, items.count() // ITEMS_PER_FILE), wrapped)
+        back = IN.items_to_answers(IO.read_results_json(spark, path, IN.ITEM_SCHEMA, wrapped))
+        logit = [F.element_at("logits", F.lit(t)).alias(f"logit_{t}") for t in ("true", "false", "maybe")]
+        return back.select(*_K, "factcheck_verdict", "prompt_text", "response", *logit)
+    return q
+
+
+def q_tagged_evidence_fallback(spark, d):
+    """X11 with F14: every third item has no basic prompt and uses the internal one."""
+    items = _items(spark, d).withColumn("prompt_basic", F.when(F.expr(S.claim_key()) % 3 != 0, F.col("prompt_basic")))
+    e1, e2 = X.evidence_pair(IN.evidence_prompt(F.col("prompt_basic"), F.col("prompt_internal")))
+    return items.select("model", "mode", "claim_id", e1.alias("evidence_1"), e2.alias("evidence_2"))
+
+
+def q_loose_quality(spark, d):
+    """X8 + E7: the verdict + confidence job over every answer."""
+    p = XP.extract_answers(_answers(spark, d), "loose")
+    return p.groupBy("model", "mode", "prompt").agg(
+        F.count(F.lit(1)).alias("n_answers"), F.count_if(F.col("verdict").isNull()).alias("missing_verdict"),
+        F.count_if(F.col("confidence").isNull()).alias("missing_confidence"))
+
+
+def q_bullet_string_stats(spark, d):
+    """G20 in E11 / E12: bullets stored as one string with '--' before each."""
+    stored = _parsed(spark, d).select(*_K, F.concat(F.lit("-- "), F.array_join("bullets", " -- ")).alias("b"))
+    items = ST.bullet_item_stats(stored.withColumn("bullets", TX.split_bullet_string(F.col("b"))))
+    return items.groupBy(*ST.GROUP).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("bullet_count"), 6).alias("mean_count"),
+        F.round(F.avg("avg_bullet_length"), 6).alias("mean_length"))
+
+
+def q_acu_hist(spark, d):
+    """E20 for the ACU values."""
+    a = LS.acu_items(_probs(spark, d)).unpivot(["model", "mode", "claim_id"], ["acu_basic", "acu_internal"], "acu_type", "acu")
+    return LS.histogram(a.filter(F.col("acu").isNotNull()).withColumn("acu", F.round("acu", 12)), "acu", ["model", "acu_type"], ["mode"])
+
+
+def q_category_by_mode_verdict(spark, d):
+    """E2 per fact-check verdict, every mode and model."""
+    items = _answers(spark, d).filter(F.col("prompt") == "basic")
+    g = items.groupBy("model", C.category("claim_id").alias("category"), "factcheck_verdict").agg(
+        *[F.count_if(F.col("mode") == m).alias(f"cnt_{m}") for m in S.MODES], F.count(F.lit(1)).alias("total_cnt"))
+    return g
+
+
+def q_documents_readability(spark, d):
+    """M7 and M8 over the whole given texts."""
+    docs = S.table(spark, d, "documents")
+    return docs.select("doc_id", TX.word_count(F.col("text")).cast("bigint").alias("n_words"),
+                       F.round(TX.fk_grade(F.col("text")), 6).alias("fk_grade"))
+
+
+def q_conversations_extraction(spark, d):
+    """X1-X6 over every turn of the given conversations."""
+    t = F.col("text")
+    return S.table(spark, d, "conversations").select(
+        "conv_id", "turn", X.verdict_strict(t).alias("verdict"), X.verdict_loose(t).alias("verdict_loose"),
+        X.confidence_strict(t).alias("confidence"), X.internal_knowledge(t).alias("internal_knowledge"),
+        F.size(X.bullets(t)).cast("bigint").alias("n_bullets"))
+
+
+def _stub_answer():
+    """A deterministic stand-in for a model: the answer depends on the prompt's length."""
+    return lambda texts: [f"Verdict: [{('true', 'false', 'maybe')[len(t) % 3]}] Confidence score: [{len(t) % 101}]" for t in texts]
+
+
+def _stub_logits():
+    return lambda texts: [{"true": float(len(t) % 7), "false": float(len(t) % 5), "maybe": float(len(t) % 3)} for t in texts]
+
+
+def _stub_score():
+    return lambda c, r: [(len(a) / (len(a) + len(b)), len(b) / (len(a) + len(b)), 0.5) for a, b in zip(c, r)]
+
+
+def q_hook_complete(spark, d):
+    """U1 over the whole prompt table, answers extracted again."""
+    a = HK.complete(_answers(spark, d).select(*_K, "prompt_text"), _stub_answer, out_col="answer", batch_size=64)
+    return a.select(*_K, X.verdict_strict(F.col("answer")).alias("verdict"),
+                    X.confidence_strict(F.col("answer")).alias("confidence"))
+
+
+def q_hook_logits(spark, d):
+    """U2 over the whole prompt table, to softmax."""
+    a = HK.first_token_logits(_answers(spark, d).select(*_K, "prompt_text"), _stub_logits, batch_size=64)
+    return a.select(*_K, *[F.round(F.element_at(LG.softmax(F.col("logits")), F.lit(t)), 6).alias(f"p_{t}")
+                           for t in ("true", "false", "maybe")])
+
+
+def q_hook_scores(spark, d):
+    """U3 over every (claim, response) pair with a response."""
+    a = _answers(spark, d).select(*_K, F.col("claim").alias("candidate"), F.col("response").alias("reference"))
+    s = HK.score_pairs(a, _stub_score)
+    return s.select(*_K, F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+QUERIES.update({
+    "responses_ingest": _responses_ingest(False),
+    "responses_ingest_wrapped": _responses_ingest(True),
+    "judge_nested": lambda spark, d: JG.parse_judge(IN.explode_judge(IN.nested_judge(S.judge(spark, d)))),
+    "tagged_evidence_fallback": q_tagged_evidence_fallback,
+    "loose_quality": q_loose_quality,
+    "bullet_string_stats": q_bullet_string_stats,
+    "acu_hist": q_acu_hist,
+    "category_by_mode_verdict": q_category_by_mode_verdict,
+    "documents_readability": q_documents_readability,
+    "conversations_extraction": q_conversations_extraction,
+    "hook_complete": q_hook_complete,
+    "hook_logits": q_hook_logits,
+    "hook_scores": q_hook_scores,
+})
