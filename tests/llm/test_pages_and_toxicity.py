@@ -70,6 +70,9 @@ def test_extract_places():
     assert H.extract(page) == "Head line One twothree & four five Six seven a b"
     assert H.extract("<body><p>x<p>y <a href='>'>z</a></body><") == "x y z <"
     assert H.extract("<p>a</div></p>b<p hidden>c</p><p style='display: none'>d<p>e<p") == "a b e"
+    assert H.extract("""<body class="has-sidebar"><main class="with-sidebar"><div class="entry-header"><h1>T</h1></div>
+        <p title="the hidden class='ad' nav" data-role="navigation">a</p><article class="comment">no</article>
+        <ol class='commentlist'><li>no</ol><div class="cookie-bar">no</div><section id=related-posts>no</section></main>""") == "T a"
     assert H.extract(None) == H.extract("") == H.extract("<script>1") == ""
     assert H.extract("plain &lt;text&gt; &unknown; 1 < 2") == "plain <text> &unknown; 1 < 2"
     assert H.extract("<div>" * 3000 + "deep") == "deep"
