@@ -14,21 +14,23 @@ common passages from making large buckets. It comes from the n-gram counts of a
 bounded sample of documents.
 
 A block is stored sparsely as the XOR of its set bits' 64-bit codes. The keys
-travel packed, eight bytes each, to ``2 x spark.sql.shuffle.partitions``
-partitions by hash. Documents with equal sets are one node; a task sends the
-keys of a node once.
-
-Links are found in two steps, and no bucket is expanded into all its pairs:
-first every node is verified against the smallest node of one bucket (the one
-it shares most blocks with) and linked sets are merged into components. Then
-only buckets that still hold several components are looked at again, and the
-pairs across components are all verified. What is never tested lies within one
-component already, so the components are exact.
-
-Verification compares whole n-gram sets. The texts of nodes that need it are
-picked in a second scan by a bit filter of fixed size (2**26 bits; false hits
-cost time, not results). They are read from a staged table, a much-linked node
-is dealt out in slices of pairs.
+travel packed, to ``2 x spark.sql.shuffle.partitions`` partitions by hash. A
+task sends the keys of equal sets (one node) once. Of the buckets only the
+distinct lists of two nodes or more go on; near copies share many blocks, but
+few different lists. A dense sketch of up to 4,096 bits then drops the pairs of
+a list whose Hamming distance is larger than similar sets can have.
+
+What is left is verified on whole n-gram sets, without expanding a group of
+near copies into all its pairs: a list with more than ``DENSE`` candidates a node
+first links each node to its nearest predecessor only. Linked sets are merged
+into components; then the dense lists are looked at again and all candidates
+across components are verified. What is never tested lies within one component
+already, so the components are exact.
+
+The texts that need verification are picked in a second scan by a bit filter of
+fixed size (2**26 bits; false hits cost time, not results). A node with many
+pairs is dealt out in slices. Comparing the sketches of one list takes time with
+the square of its length; memory with its length.
 
 N-grams and sets are told apart by 64-bit hashes. Defined results: null texts
 and texts without words have the empty set and are linked with nothing; a text
@@ -58,8 +60,9 @@ BAND_RATIO = 1.75
 SLACK = 0.25                       # blocks beyond d + 1, for hot ones to be left out
 SAMPLE_DOCS, HOT_MIN, HOT_MAX = 5_000, 4, 65_536
 FILTER_BITS = 26
+DENSE = 8                          # candidates per node from which a list counts as dense
 SLICE = 64                         # pairs of one node that are verified together
-_CACHE = 500_000
+_CACHE = 200_000
 U = np.uint64
 
 
@@ -70,31 +73,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def ngrams(text: str | None, cache: dict[bytes, int]) -> np.ndarray:
+class WordHashes(dict):
+    """64-bit word hashes, remembered for up to _CACHE words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _CACHE:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+# odd multipliers, one for each place in an n-gram
+_PLACES = np.array([xxhash.xxh3_64_intdigest(bytes([k])) | 1 for k in range(NGRAM)], U)
+
+
+def ngrams(text: str | None, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct n-gram hashes. bytes.lower() changes A-Z only, and
     bytes.split() splits at space and 0x09-0x0D."""
     words = text.encode("utf-8").lower().split() if text else []
     if not words:
         return np.empty(0, U)
-    if len(cache) > _CACHE:
-        cache.clear()
-    h = np.empty(len(words), U)
-    get = cache.get
-    for i, w in enumerate(words):
-        v = get(w)
-        if v is None:
-            v = cache[w] = xxhash.xxh3_64_intdigest(w)
-        h[i] = v
+    h = np.fromiter(map(hashes.__getitem__, words), U, len(words))
     n = min(NGRAM, len(words))
-    out = np.full(len(words) - n + 1, n, U)
-    for k in range(n):
-        out = mix(out * U(0x9E3779B97F4A7C15) + h[k:len(words) - n + 1 + k])
-    return np.unique(out)
+    out = h[:len(h) - n + 1] * _PLACES[0]
+    for k in range(1, n):
+        out += h[k:len(h) - n + 1 + k] * _PLACES[k]
+    out = mix(out + U(n))
+    out.sort()
+    return out if len(out) < 2 else out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def node_of(s: np.ndarray) -> int:
-    """One signed 64-bit name for a set."""
-    return int(mix(np.array([np.bitwise_xor.reduce(mix(s)) + U(len(s))], U) + np.sum(s, dtype=U))[0].astype(np.int64)) if len(s) else 0
+    """One signed 64-bit name for a set: from the sum and the XOR of its codes."""
+    if not len(s):
+        return 0
+    code = mix(s)
+    whole = np.bitwise_xor.reduce(code, keepdims=True) * U(3) + np.add.reduce(code, keepdims=True) + U(len(s))
+    return int(mix(whole).view(np.int64)[0])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -159,7 +174,7 @@ def block_keys(s: np.ndarray, hot: np.ndarray, hot_count: np.ndarray, starts: li
 
 def sketch_bits(starts: list[int], j: int) -> int:
     """Width of the dense sketch that is compared within band j: a power of two."""
-    return min(max(1 << (2 * starts[j + 1] - 1).bit_length(), 256), 16_384)
+    return min(max(1 << (2 * starts[j + 1] - 1).bit_length(), 256), 4_096)
 
 
 def sketch(s: np.ndarray, starts: list[int]) -> bytes:
@@ -185,9 +200,9 @@ def _hot_ngrams(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
         part = docs.filter(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < SAMPLE_DOCS * 1_000_000 // n_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
+        hashes = WordHashes()
         for b in batches:
-            sets = [ngrams(t, cache) for t in b.column("text").to_pylist()]
+            sets = [ngrams(t, hashes) for t in b.column("text").to_pylist()]
             g, n = np.unique(np.concatenate([*sets, np.empty(0, U)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n)], names=["gram", "n"])
     rows = part.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(
@@ -198,15 +213,14 @@ def _hot_ngrams(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(docs: DataFrame, hot, parts: int) -> DataFrame:
-    """Two kinds of rows: a document (doc_id, n, node, and the sketch where a task
-    meets the node first) and a pack of keys (part, pack)."""
+    """Two kinds of rows: a document (doc_id, row, mark of its text, n, node, and the
+    sketch where a task meets the node first) and a pack of keys (part, pack)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
-        sent: set[int] = set()
+        hashes, sent = WordHashes(), set()
         gram, count = hot.value
-        names = ["doc_id", "row", "n", "node", "sketch", "part", "pack"]
+        names = ["doc_id", "row", "mark", "n", "node", "sketch", "part", "pack"]
         starts = band_starts(64)
         for b in batches:
             ns, nodes, sketches, fresh, keys = [], [], [], [], []
@@ -234,10 +248,10 @@ def _scan(docs: DataFrame, hot, parts: int) -> DataFrame:
                 keys.clear(), fresh.clear()
                 k = len(at)
                 return pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, b.schema.field("doc_id").type), *[pa.nulls(k, pa.int64())] * 3, pa.nulls(k, pa.binary()),
+                    [pa.nulls(k, b.schema.field("doc_id").type), *[pa.nulls(k, pa.int64())] * 4, pa.nulls(k, pa.binary()),
                      pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=names)
             for text in b.column("text").to_pylist():
-                s = ngrams(text, cache)
+                s = ngrams(text, hashes)
                 node = node_of(s)
                 ns.append(len(s))
                 nodes.append(node if len(s) else None)
@@ -250,16 +264,16 @@ def _scan(docs: DataFrame, hot, parts: int) -> DataFrame:
                     fresh.append(node)
                     keys.append(block_keys(s, gram, count, starts))
                     held += len(keys[-1])
-                    if held > 4_000_000:
+                    if held > 500_000:
                         yield packs()
                         held = 0
             k = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()),
+                [b.column("doc_id"), b.column("row"), b.column("mark"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()),
                  pa.array(sketches, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
             if fresh:
                 yield packs()
-    return docs.mapInArrow(run, f"doc_id {id_type}, row long, n long, node long, sketch binary, part int, pack binary")
+    return docs.mapInArrow(run, f"doc_id {id_type}, row long, mark long, n long, node long, sketch binary, part int, pack binary")
 
 
 # --- buckets --------------------------------------------------------------------------
@@ -279,85 +293,101 @@ def _unpack(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The buckets of one partition that hold two nodes or more: node names and
-    bucket sizes; and how many buckets link a node to the smallest node there."""
+    """The distinct node lists of one partition's buckets with two nodes or more."""
     key, node = _unpack(pdf["pack"].tolist())
     by = np.lexsort((node, key))
     key, node = key[by], node[by]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
     key, node = key[new], node[new]
-    begin = np.concatenate(([0], np.nonzero(key[1:] != key[:-1])[0] + 1))
-    size = np.diff(np.append(begin, len(key)))
-    many = size > 1
-    member = np.repeat(many, size)
-    size = size[many]
-    node = node[member]
-    first = np.cumsum(size) - size
-    head = np.zeros(len(node), bool)
-    head[first] = True
-    links = np.stack((np.repeat(node[first], size)[~head], node[~head]))
-    links, count = np.unique(links, axis=1, return_counts=True)
-    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "nodes": [node.tobytes()],
-                         "sizes": [size.astype(np.int32).tobytes()], "centers": [links[0].tobytes()],
-                         "others": [links[1].tobytes()], "counts": [count.astype(np.int64).tobytes()]})
-
-
-def _rows(df: DataFrame, blobs: list[str], names: list[str], keep: tuple[str, ...] = (), unique: bool = False) -> DataFrame:
-    """The 64-bit numbers of the given blobs as rows."""
+    begin = np.concatenate(([0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]))
+    many = np.nonzero(np.diff(begin) > 1)[0]
+    lists = sorted({node[begin[i]:begin[i + 1]].tobytes() for i in many})
+    digest = np.array([xxhash.xxh3_64_intdigest(x) for x in lists], U).astype(np.int64)
+    return pd.DataFrame({"list": digest, "nodes": lists})
+
+
+def _members(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row per list and node, with what ``nodes`` knows of the node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                cols = [np.frombuffer(b.column(c)[i].as_py(), np.int64) for c in blobs]
-                cols = [np.unique(cols[0])] if unique else cols
-                kept = [pa.repeat(b.column(c)[i], len(cols[0])) for c in keep]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c) for c in cols)], names=[*keep, *names])
-    return df.select(*keep, *blobs).mapInArrow(run, ", ".join([f"{c} int" for c in keep] + [f"{c} long" for c in names]))
-
-
-def _across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one partition's buckets that lie in different components and that
-    size and sketch allow. left: the buckets; right: node, comp, n, sketch."""
-    out = np.empty((2, 0), np.int64)
-    if len(left) and len(right):
-        right = right.sort_values("node")
-        name, comp = right["node"].to_numpy(), right["comp"].to_numpy()
-        n, sketches = right["n"].to_numpy(np.int64), right["sketch"].tolist()
-        node = np.searchsorted(name, np.frombuffer(left["nodes"].iloc[0], np.int64))
-        ends = np.cumsum(np.frombuffer(left["sizes"].iloc[0], np.int32), dtype=np.int64)
-        found = []
-        waiting = 0
-        for begin, end in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()):
-            m = node[begin:end]
-            c = comp[m]
-            if (c == c[0]).all():
-                continue
-            words, size = folded([sketches[i] for i in m]), n[m]
-            for i in range(len(m) - 1):
-                j = i + 1 + np.nonzero((c[i + 1:] != c[i]) & (DEN * np.minimum(size[i + 1:], size[i])
-                                                              >= NUM * np.maximum(size[i + 1:], size[i])))[0]
-                if len(j):
-                    far = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
-                    j = j[far <= _differ(size[j], size[i])]
-                    if len(j):
-                        found.append(m[i] * len(name) + m[j])
-                        waiting += len(j)
-            if waiting > 1_000_000:  # the same pairs come from many buckets
-                found = [np.unique(np.concatenate(found))]
-                waiting = 0
-        if found:
-            pair = np.unique(np.concatenate(found))
-            out = np.stack((name[pair // len(name)], name[pair % len(name)]))
-    return pd.DataFrame({"a": out[0], "b": out[1]})
+            own = [np.frombuffer(x, np.int64) for x in b.column("nodes").to_pylist()]
+            if own:
+                name = np.repeat(b.column("list").to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.concatenate(own))], names=["list", "node"])
+    return lists.mapInArrow(run, "list long, node long").join(nodes, "node")
+
+
+def _near(words: np.ndarray, size: np.ndarray, i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the members j may be similar to member i by size and sketch, and how far they are."""
+    j = j[DEN * np.minimum(size[j], size[i]) >= NUM * np.maximum(size[j], size[i])]
+    far = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
+    ok = far <= _differ(size[j], size[i])
+    return j[ok], far[ok]
+
+
+def _lists(pdf: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    pdf = pdf.sort_values(["list", "node"], ignore_index=True)
+    name = pdf["list"].to_numpy()
+    begin = np.concatenate(([0], np.nonzero(name[1:] != name[:-1])[0] + 1, [len(name)])) if len(name) else [0]
+    for b, e in zip(begin[:-1], begin[1:]):
+        yield int(name[b]), pdf.iloc[b:e]
+
+
+def _inside(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Candidate pairs of the lists of one partition. A list with few candidates
+    gives them all. A dense one (most likely near copies) links each node to its
+    nearest predecessor and is named in ``dense``; its nodes come as (a, a) too."""
+    pairs: set[tuple[int, int]] = set()
+    thin: list[tuple[int, int, int]] = []
+    for name, part in _lists(pdf):
+        node, size = part["node"].tolist(), part["n"].to_numpy(np.int64)
+        words = folded(part["sketch"].tolist())
+        m, total = len(node), 0
+        every: list[tuple[int, int]] = []
+        nearest: list[tuple[int, int]] = []
+        used: set[int] = set()
+        for i in range(1, m):
+            j, far = _near(words, size, i, np.arange(i))
+            if len(j):
+                total += len(j)
+                nearest.append((node[j[np.argmin(far)]], node[i]))
+                if total <= DENSE * m:
+                    every += [(node[x], node[i]) for x in j.tolist()]
+                elif len(used) < i:
+                    used.update(j.tolist())
+        if total <= DENSE * m:
+            pairs.update(every)
+        else:
+            thin += [(a, b, name) for a, b in nearest]
+            ends = {x for p in every for x in p} | {node[i] for i in used}
+            thin += [(a, a, name) for a in sorted(ends)]
+    a, b, dense = zip(*[(x, y, None) for x, y in sorted(pairs)], *thin) if pairs or thin else ((), (), ())
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "dense": pd.array(dense, dtype="Int64")})
+
+
+def _across(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All candidate pairs of one partition's dense lists that lie in different components."""
+    pairs: set[tuple[int, int]] = set()
+    for _, part in _lists(pdf):
+        comp = part["comp"].to_numpy()
+        if (comp != comp[0]).any():
+            node, size = part["node"].tolist(), part["n"].to_numpy(np.int64)
+            words = folded(part["sketch"].tolist())
+            for i in range(1, len(node)):
+                j, _ = _near(words, size, i, np.nonzero(comp[:i] != comp[i])[0])
+                pairs.update((node[x], node[i]) for x in j.tolist())
+    a, b = zip(*sorted(pairs)) if pairs else ((), ())
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
 # --- verification and components --------------------------------------------------------
 
-def _node_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit for each value of the nodes' first FILTER_BITS bits."""
-    bit = F.shiftrightunsigned("node", 64 - FILTER_BITS)
-    rows = nodes.select(F.floor(bit / 64).cast("int").alias("word"),
-                        F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - FILTER_BITS}) % 64 as int))").alias("bit"))
+def _mark_filter(marks: DataFrame) -> np.ndarray:
+    """A bit for each value of the first FILTER_BITS bits of the text marks."""
+    shift = 64 - FILTER_BITS
+    rows = marks.select(F.expr(f"cast(shiftrightunsigned(mark, {shift + 6}) as int)").alias("word"),
+                        F.expr(f"shiftleft(1L, cast(shiftrightunsigned(mark, {shift}) % 64 as int))").alias("bit"))
     got = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most 2**(FILTER_BITS - 6) rows
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     bits[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
@@ -365,25 +395,15 @@ def _node_filter(nodes: DataFrame) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """node, text of the nodes that the filter lets through, one row each."""
-    bits = docs.sparkSession.sparkContext.broadcast(_node_filter(needed))  # 2**FILTER_BITS bits
+    """node, text of the needed (node, mark). The filter keeps the other texts out of the shuffle."""
+    bits = docs.sparkSession.sparkContext.broadcast(_mark_filter(needed))  # 2**FILTER_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
-        sent: set[int] = set()
         for b in batches:
-            nodes, texts = [], []
-            for text in b.column("text").to_pylist():
-                s = ngrams(text, cache)
-                node = node_of(s)
-                at = (node & ((1 << 64) - 1)) >> (64 - FILTER_BITS)
-                if len(s) and node not in sent and int(bits.value[at >> 6]) >> (at & 63) & 1:
-                    sent.add(node)
-                    nodes.append(node)
-                    texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())],
-                                             names=["node", "text"])
-    return docs.select("text").mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+            at = b.column("mark").to_numpy().view(U) >> U(64 - FILTER_BITS)
+            yield b.filter(pa.array((bits.value[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == 1))
+    found = docs.select("mark", "text").filter("text is not null").mapInArrow(run, "mark long, text string")
+    return found.dropDuplicates(["mark"]).join(needed, "mark").select("node", "text")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -396,12 +416,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = left.unionAll(right).repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
+        hashes = WordHashes()
         own = np.empty(0, U)
         for batch in batches:
             out = []
             for a, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text"))):
-                s = ngrams(text, cache)
+                s = ngrams(text, hashes)
                 if b is None:
                     own = s
                 elif similar(own, s):
@@ -438,31 +458,33 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     node (null for the empty set), comp and component_id of every row; links are
     the verified pairs of nodes (a, b) that make the components."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-                       (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
+                       (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
+                       F.xxhash64(text_col).alias("mark"))
     spark = docs.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = spark.sparkContext.broadcast(_hot_ngrams(docs, docs.count()))  # HOT_MAX numbers at most
     scan = stage(_scan(docs, hot, parts), "scan")
-    rows = scan.filter("part is null").select("doc_id", "row", "n", "node", "sketch")
-    buckets = stage(scan.filter("part is not null").select("part", "pack").groupBy("part").applyInPandas(
-        _bucket, "part int, nodes binary, sizes binary, centers binary, others binary, counts binary"), "buckets")
-    stars = _rows(buckets, ["centers", "others", "counts"], ["a", "b", "n"])
-    stars = stars.groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy("b").agg(
-        F.max_by("a", F.struct("n", "a")).alias("a"))
-    stars = stage(stars.select("a", "b"), "stars")
-    needed = stars.select(F.col("a").alias("node")).unionAll(stars.select(F.col("b").alias("node")))
-    texts = stage(_texts(docs, needed), "texts")
-    first = stage(_verified(stars, texts), "links")
-    found = stage(components(first), "components")
-    nodes = rows.filter("sketch is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    places = _rows(buckets, ["nodes"], ["node"], keep=("part",), unique=True)
-    known = places.join(nodes, "node").join(found, "node", "left").select(
-        "part", "node", F.coalesce("comp", "node").alias("comp"), "n", "sketch")
-    across = buckets.select("part", "nodes", "sizes").groupBy("part").cogroup(known.groupBy("part")).applyInPandas(
-        _across, "a long, b long").distinct()
-    second = stage(_verified(stage(across, "across"), texts), "links")
-    links = first.unionAll(second)
-    found = stage(components(links), "components")
+    rows = scan.filter("part is null").select("doc_id", "row", "mark", "n", "node", "sketch")
+    lists = stage(scan.filter("part is not null").select("part", "pack").groupBy("part").applyInPandas(
+        _bucket, "list long, nodes binary").dropDuplicates(["list"]), "lists")
+    nodes = rows.filter("sketch is not null").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    by_part = F.pmod("list", F.lit(parts)).cast("int").alias("part")
+    inside = stage(_members(lists, nodes).groupBy(by_part).applyInPandas(_inside, "a long, b long, dense long"), "pairs")
+    ends = inside.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    marks = rows.filter("sketch is not null").groupBy("node").agg(F.min("mark").alias("mark"))
+    texts = stage(_texts(docs, stage(ends.join(marks, "node"), "ends")), "texts")
+    links = stage(_verified(inside.filter("a <> b").select("a", "b").distinct(), texts), "links")
+    found = components(links)
+    dense = inside.filter("dense is not null").select(F.col("dense").alias("list")).distinct()
+    again = lists.join(dense, "list", "left_semi")
+    if not dense.isEmpty():
+        known = _members(again, nodes.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        across = known.groupBy(by_part).applyInPandas(_across, "a long, b long").distinct()
+        more = stage(_verified(stage(across, "across"), texts), "links")
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            found = components(links)
     names = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     members = names.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = members.groupBy("comp").agg(F.min("least_id").alias("component_id"))
