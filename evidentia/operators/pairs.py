@@ -94,12 +94,15 @@ def lexical_scores(pairs: DataFrame, keys: list[str] | None = None, digits: int
     All tokens of a pair are in its row, so the scores are a projection: no
     shuffle, and rows with equal keys are scored one by one."""
     keys = keys or PAIR_KEYS
-    # the texts and tokens are built once each, in projections of their own
-    x = pairs.select(*keys, tokens(F.col("candidate")).alias("c"), tokens(F.col("reference")).alias("r"))
-    # a text without tokens has no precision (or recall); two of them no row
+    # a text without tokens has no precision (or recall); two of them no row. The
+    # test runs inside a generator, and only its output is filtered: a filter on
+    # the token columns would be pushed down and build them a second time
+    both = F.struct(tokens(F.col("candidate")).alias("c"), tokens(F.col("reference")).alias("r"))
+    some = F.filter(F.array(both), lambda s: (F.size(s["c"]) > 0) | (F.size(s["r"]) > 0))
+    x = pairs.select(*keys, F.inline_outer(some)).filter(F.col("c").isNotNull())
     p = F.when(F.size("c") > 0, _matched(F.col("c"), F.col("r")) / F.size("c"))
     r = F.when(F.size("r") > 0, _matched(F.col("r"), F.col("c")) / F.size("r"))
-    s = x.filter((F.size("c") > 0) | (F.size("r") > 0)).select(*keys, p.alias("precision"), r.alias("recall"))
+    s = x.select(*keys, p.alias("precision"), r.alias("recall"))
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))) \
         .when(F.col("precision").isNotNull() & F.col("recall").isNotNull(), F.lit(0.0))

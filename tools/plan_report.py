@@ -12,7 +12,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from evidentia.plans.registry import QUERIES  # noqa: E402
 from evidentia.session import get_session  # noqa: E402
 
 NODES = {
@@ -24,7 +24,7 @@ NODES = {
     "bhj": r"BroadcastHashJoin",
     "nested": r"BroadcastNestedLoopJoin|CartesianProduct",
     "wgl_partial": r"WindowGroupLimit .*Partial",
-    "python": r"MapInPandas|ArrowEvalPython|BatchEvalPython",
+    "python": r"MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython",
 }
 
 
@@ -41,7 +41,7 @@ def main() -> None:
     print("| query | hash exch. | range | single | broadcast | SMJ | BHJ | nested loop "
           "| partial window limit | Python | lineitem pushed filters |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         plan = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
         counts = {k: len(re.findall(v, plan)) for k, v in NODES.items()}
         m = re.search(r"lineitem\.parquet.*?PushedFilters: \[([^\]]*)\]", plan, re.S)
