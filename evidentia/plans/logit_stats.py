@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import logits as L
 from evidentia.plans.quantiles import exact_quantiles
-from evidentia.session import materialize
+from evidentia.session import materialize, stage_table
 
 ITEM = ["model", "mode", "claim_id"]
 
@@ -107,6 +107,7 @@ def boxplot(long: DataFrame, value: str, group: list[str]) -> DataFrame:
     long = materialize(long.select(*group, value))
     q = exact_quantiles(long, value, group, [0.25, 0.5, 0.75]).select(
         *group, F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"))
+    q = stage_table(q, "box-quartiles")
     iqr = F.col("q3") - F.col("q1")
     x = long.join(q, group).withColumn("inside", (
         (F.col(value) >= F.col("q1") - 1.5 * iqr) & (F.col(value) <= F.col("q3") + 1.5 * iqr)))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -69,3 +70,15 @@ def materialize(df):
     local one) survives the loss of the executors that computed it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_table(df, label: str):
+    """Write a small derived table as Parquet into the shared folder and read it
+    back: unlike a checkpoint its size is known to the planner, which can then
+    broadcast it if it is small. Removed when the session's file systems close."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
