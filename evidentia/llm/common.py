@@ -42,13 +42,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 
 
+def _folder(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder of ``spark.checkpoint.dir``; it is
     removed when the session's file systems close."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    fs, hpath = _folder(spark, path)
+    fs.deleteOnExit(hpath)
     return path
 
 
@@ -59,7 +64,41 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     planner its real size, and keeps column pruning for later reads."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def stage_split(df: DataFrame, label: str, flag: str) -> tuple[DataFrame, DataFrame]:
+    """``stage`` for two kinds of rows in one pass: (rows where the boolean column
+    ``flag`` is true, rows where it is false), each a table of its own."""
+    path = shared_path(df.sparkSession, label)
+    df.write.partitionBy(flag).parquet(path)
+    schema = T.StructType([f for f in df.schema.fields if f.name != flag])
+    out = []
+    for value in ("true", "false"):
+        fs, hpath = _folder(df.sparkSession, f"{path}/{flag}={value}")
+        fs.mkdirs(hpath)  # there may be no such rows
+        out.append(df.sparkSession.read.schema(schema).parquet(f"{path}/{flag}={value}"))
+        out[-1].staged_at = f"{path}/{flag}={value}"
+    return out[0], out[1]
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: what was made of them
+    has been staged itself."""
+    for df in staged:
+        fs, hpath = _folder(df.sparkSession, df.staged_at)
+        fs.delete(hpath, True)
+
+
+def marked(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``docs`` as (doc, mark_1, mark_2): all columns in one struct, and a 128-bit
+    hash of the given columns by which rows are found again. Rows that are equal
+    in them have equal marks."""
+    cols = [F.col(c) for c in columns]
+    return docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(*cols).alias("mark_1"),
+                       F.xxhash64(F.lit(1), *reversed(cols)).alias("mark_2"))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Sequence[pa.Array]], out: str,

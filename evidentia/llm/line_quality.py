@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import ASCII_LOWER, WORD, arrow_map, by_value, stage
+from evidentia.llm.common import ASCII_LOWER, WORD, arrow_map, by_value, marked, release, stage
 
 by_value(__name__)
 
@@ -104,7 +104,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
             rows.append((*m, low[0], low[1]))
         kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.int64()] * 2
         return [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-    narrow = docs.select(*[F.col(c) for c in docs.columns if c in ("row", "doc")], F.col(id_col).alias("doc_id"),
+    narrow = docs.select(*[F.col(c) for c in docs.columns if c in ("mark_1", "mark_2")], F.col(id_col).alias("doc_id"),
                          F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     return arrow_map(narrow, run, "n_words long, word_chars long, n_symbols long, n_dup_lines long, "
                      "n_repeat_words long, lines array<long>, sizes array<long>, low1 long, low2 long",
@@ -153,20 +153,23 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
           length_col: str = "n_chars", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """The kept documents without their frequent lines; columns unchanged. The
-    length column follows a text that lost lines."""
-    whole = stage(docs.select(F.struct(*docs.columns).alias("doc")).withColumn(
-        "row", F.monotonically_increasing_id()), "documents")
-    measured = _measured(whole.select("row", f"doc.{id_col}", f"doc.{text_col}", f"doc.{host_col}"),
+    length column follows a text that lost lines. Rows with equal id, host and
+    text are kept or rejected alike."""
+    whole = marked(docs, [id_col, host_col, text_col])
+    measured = _measured(whole.select("mark_1", "mark_2", f"doc.{id_col}", f"doc.{text_col}", f"doc.{host_col}"),
                          id_col, text_col, host_col)
-    rows = stage(measured, "measures")
+    rows = stage(measured.withColumn("row", F.monotonically_increasing_id()), "measures")
     removed = F.coalesce("removed_lines", F.array().cast("array<long>"))
-    kept = _verdicts(rows, frequent_lines(rows, max_docs, max_share)).filter("kept").select(
-        "row", "lines", removed.alias("removed"))
+    lines = F.when(F.size(removed) > 0, F.col("lines"))
+    kept = stage(_verdicts(rows, frequent_lines(rows, max_docs, max_share)).filter("kept").select(
+        "mark_1", "mark_2", lines.alias("lines"), removed.alias("removed")).dropDuplicates(["mark_1", "mark_2"]), "kept")
+    release(rows)
     text = F.col(f"doc.{text_col}")
     goes = F.size("removed") > 0
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(
         F.array_contains("removed", F.get("lines", i)), F.lit(False))), "\n")
-    out = whole.join(kept, "row").select("doc", F.when(goes, left).otherwise(text).alias("new_text"), goes.alias("goes"))
+    out = whole.join(kept, ["mark_1", "mark_2"]).select(
+        "doc", F.when(goes, left).otherwise(text).alias("new_text"), goes.alias("goes"))
     new = {text_col: F.col("new_text")}
     if length_col in docs.columns:
         old = F.col(f"doc.{length_col}")

@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import by_value, stage
+from evidentia.llm.common import by_value, marked, release, stage, stage_split
 
 by_value(__name__)
 
@@ -213,14 +213,14 @@ def _hot_ngrams(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(docs: DataFrame, hot, parts: int) -> DataFrame:
-    """Two kinds of rows: a document (doc_id, row, mark of its text, n, node, and the
-    sketch where a task meets the node first) and a pack of keys (part, pack)."""
+    """Two kinds of rows: a document (doc_id, the marks, n, node, and the sketch where
+    a task meets the node first) and a pack of keys (is_pack, part, pack)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sent = WordHashes(), set()
         gram, count = hot.value
-        names = ["doc_id", "row", "mark", "n", "node", "sketch", "part", "pack"]
+        names = ["doc_id", "mark", "mark_2", "n", "node", "sketch", "part", "pack", "is_pack"]
         starts = band_starts(64)
         for b in batches:
             ns, nodes, sketches, fresh, keys = [], [], [], [], []
@@ -249,7 +249,8 @@ def _scan(docs: DataFrame, hot, parts: int) -> DataFrame:
                 k = len(at)
                 return pa.RecordBatch.from_arrays(
                     [pa.nulls(k, b.schema.field("doc_id").type), *[pa.nulls(k, pa.int64())] * 4, pa.nulls(k, pa.binary()),
-                     pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+                     pa.array(at, pa.int32()), pa.array(blobs, pa.binary()),
+                     pa.array([True] * k, pa.bool_())], names=names)
             for text in b.column("text").to_pylist():
                 s = ngrams(text, hashes)
                 node = node_of(s)
@@ -269,11 +270,13 @@ def _scan(docs: DataFrame, hot, parts: int) -> DataFrame:
                         held = 0
             k = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row"), b.column("mark"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()),
-                 pa.array(sketches, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+                [b.column("doc_id"), b.column("mark"), b.column("mark_2"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()),
+                 pa.array(sketches, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
+                 pa.array([False] * k, pa.bool_())], names=names)
             if fresh:
                 yield packs()
-    return docs.mapInArrow(run, f"doc_id {id_type}, row long, mark long, n long, node long, sketch binary, part int, pack binary")
+    return docs.mapInArrow(run, f"doc_id {id_type}, mark long, mark_2 long, n long, node long, sketch binary, part int, "
+                          "pack binary, is_pack boolean")
 
 
 # --- buckets --------------------------------------------------------------------------
@@ -337,9 +340,11 @@ def _lists(pdf: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
 def _inside(pdf: pd.DataFrame) -> pd.DataFrame:
     """Candidate pairs of the lists of one partition. A list with few candidates
     gives them all. A dense one (most likely near copies) links each node to its
-    nearest predecessor and is named in ``dense``; its nodes come as (a, a) too."""
+    nearest predecessor; it is named in a row of its own, and its nodes that have
+    candidates come as (a, a) too."""
     pairs: set[tuple[int, int]] = set()
-    thin: list[tuple[int, int, int]] = []
+    ends: set[int] = set()
+    names: list[int] = []
     for name, part in _lists(pdf):
         node, size = part["node"].tolist(), part["n"].to_numpy(np.int64)
         words = folded(part["sketch"].tolist())
@@ -359,11 +364,14 @@ def _inside(pdf: pd.DataFrame) -> pd.DataFrame:
         if total <= DENSE * m:
             pairs.update(every)
         else:
-            thin += [(a, b, name) for a, b in nearest]
-            ends = {x for p in every for x in p} | {node[i] for i in used}
-            thin += [(a, a, name) for a in sorted(ends)]
-    a, b, dense = zip(*[(x, y, None) for x, y in sorted(pairs)], *thin) if pairs or thin else ((), (), ())
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "dense": pd.array(dense, dtype="Int64")})
+            pairs.update(nearest)
+            names.append(name)
+            ends.update(x for p in every for x in p)
+            ends.update(node[i] for i in used)
+    rows = [(a, b, None) for a, b in sorted(pairs)] + [(a, a, None) for a in sorted(ends)] + [
+        (None, None, name) for name in names]
+    cols = list(zip(*rows)) or [(), (), ()]
+    return pd.DataFrame({c: pd.array(v, dtype="Int64") for c, v in zip(("a", "b", "dense"), cols)})
 
 
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -395,25 +403,38 @@ def _mark_filter(marks: DataFrame) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """node, text of the needed (node, mark). The filter keeps the other texts out of the shuffle."""
+    """node, text of the documents with the needed marks, without a shuffle: the bit
+    filter drops nearly all others, and what it lets through by chance is a text
+    that no pair asks for."""
     bits = docs.sparkSession.sparkContext.broadcast(_mark_filter(needed))  # 2**FILTER_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, sent = WordHashes(), set()
         for b in batches:
             at = b.column("mark").to_numpy().view(U) >> U(64 - FILTER_BITS)
-            yield b.filter(pa.array((bits.value[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == 1))
-    found = docs.select("mark", "text").filter("text is not null").mapInArrow(run, "mark long, text string")
-    return found.dropDuplicates(["mark"]).join(needed, "mark").select("node", "text")
+            hit = (bits.value[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == 1
+            out = []
+            for text in b.filter(pa.array(hit)).column("text").to_pylist():
+                node = node_of(ngrams(text, hashes))
+                if node not in sent:
+                    sent.add(node)
+                    out.append((node, text))
+            cols = list(zip(*out)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string())],
+                                             names=["node", "text"])
+    return docs.select("mark", "text").filter("text is not null").mapInArrow(run, "node long, text string")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Each a meets its b's in slices."""
+    """The pairs (a, b) whose sets are similar. Each a meets its b's in slices; the
+    texts are joined once to all that is to be delivered, then dealt by slice."""
     spread = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
-    left = spread.join(texts, F.col("a") == F.col("node")).select(
-        "a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("long").alias("b"), "text")
-    right = pairs.join(spread, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), "b")
-    right = right.join(texts, F.col("b") == F.col("node")).select("a", "slice", "b", "text")
-    rows = left.unionAll(right).repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
+    own = spread.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
+                        F.lit(None).cast("long").alias("b"))
+    other = pairs.join(spread, "a").select(
+        F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), "b")
+    rows = own.unionAll(other).join(texts, "node").select("a", "slice", "b", "text").repartition(
+        "a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -432,8 +453,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the smallest node reachable) of all nodes with an edge (a, b):
-    large-star and small-star steps until the edges are stars."""
+    """Staged (node, comp): the smallest node reachable, for all nodes with an edge
+    (a, b), from large-star and small-star steps until the edges are stars."""
     e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
     last = None
     while True:
@@ -446,53 +467,61 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        e = stage(small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").unionAll(
+        old, e = e, stage(small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").unionAll(
             low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(old)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(roots)
-
-
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows has doc_id, row (the values of ``row_col``), n_shingles,
-    node (null for the empty set), comp and component_id of every row; links are
-    the verified pairs of nodes (a, b) that make the components."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-                       (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
-                       F.xxhash64(text_col).alias("mark"))
+    found = stage(e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(roots), "components")
+    release(e)
+    return found
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(rows, links, staged): rows has doc_id, mark and mark_2 (hashes of id and
+    text), n_shingles, node (null for the empty set), comp and component_id of
+    every row; links are the verified pairs of nodes (a, b) that make the
+    components; staged are the tables that rows reads."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mark"),
+                       F.xxhash64(F.lit(1), "text", "doc_id").alias("mark_2"))
     spark = docs.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = spark.sparkContext.broadcast(_hot_ngrams(docs, docs.count()))  # HOT_MAX numbers at most
-    scan = stage(_scan(docs, hot, parts), "scan")
-    rows = scan.filter("part is null").select("doc_id", "row", "mark", "n", "node", "sketch")
-    lists = stage(scan.filter("part is not null").select("part", "pack").groupBy("part").applyInPandas(
+    packs, rows = stage_split(_scan(docs, hot, parts), "scan", "is_pack")
+    lists = stage(packs.select("part", "pack").groupBy("part").applyInPandas(
         _bucket, "list long, nodes binary").dropDuplicates(["list"]), "lists")
+    release(packs)
     nodes = rows.filter("sketch is not null").groupBy("node").agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     by_part = F.pmod("list", F.lit(parts)).cast("int").alias("part")
     inside = stage(_members(lists, nodes).groupBy(by_part).applyInPandas(_inside, "a long, b long, dense long"), "pairs")
-    ends = inside.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = inside.filter("a is not null").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     marks = rows.filter("sketch is not null").groupBy("node").agg(F.min("mark").alias("mark"))
-    texts = stage(_texts(docs, stage(ends.join(marks, "node"), "ends")), "texts")
+    ends = stage(ends.join(marks, "node"), "ends")
+    texts = stage(_texts(docs, ends), "texts")
     links = stage(_verified(inside.filter("a <> b").select("a", "b").distinct(), texts), "links")
     found = components(links)
     dense = inside.filter("dense is not null").select(F.col("dense").alias("list")).distinct()
-    again = lists.join(dense, "list", "left_semi")
     if not dense.isEmpty():
-        known = _members(again, nodes.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-        across = known.groupBy(by_part).applyInPandas(_across, "a long, b long").distinct()
-        more = stage(_verified(stage(across, "across"), texts), "links")
+        known = nodes.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        known = _members(lists.join(dense, "list", "left_semi"), known)
+        across = stage(known.groupBy(by_part).applyInPandas(_across, "a long, b long").distinct(), "across")
+        more = stage(_verified(across, texts), "links")
+        release(across)
         if not more.isEmpty():
             links = links.unionAll(more)
+            release(found)
             found = components(links)
+    release(lists, inside, ends, texts)
     names = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     members = names.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = members.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     labels = stage(members.join(ids, "comp").select(F.col("node").alias("l_node"), "comp", "component_id"), "labels")
+    release(found)
     out = rows.join(labels, F.col("node") == F.col("l_node"), "left").select(
-        "doc_id", "row", F.col("n").alias("n_shingles"), "node", "comp",
+        "doc_id", "mark", "mark_2", F.col("n").alias("n_shingles"), "node", "comp",
         F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out, links
+    return out, links, [rows, labels]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -502,12 +531,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest id; documents
-    without words all stay. Columns unchanged."""
-    whole = stage(docs.select(F.struct(*docs.columns).alias("doc")).withColumn(
-        "row", F.monotonically_increasing_id()), "documents")
-    flat = whole.select(F.col(f"doc.{id_col}").alias("doc_id"), F.col(f"doc.{text_col}").alias("text"), "row")
-    rows = join(flat, row_col="row")[0]
+    without words all stay. Rows with equal id and text are one document. Columns
+    unchanged."""
+    rows, _, staged = join(docs, id_col, text_col)
     best = rows.filter("node is not null").groupBy("comp").agg(
-        F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row")).select("row")
-    kept = stage(best.unionAll(rows.filter("node is null").select("row")), "kept")
-    return whole.join(kept, "row", "left_semi").select("doc.*")
+        F.min_by(F.struct("mark", "mark_2"), F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "mark_2")).alias("m"))
+    empty = rows.filter("node is null").select("mark", "mark_2")
+    kept = stage(best.select("m.*").unionAll(empty).select(
+        F.col("mark").alias("mark_1"), "mark_2").distinct(), "kept")
+    release(*staged)
+    whole = marked(docs, [id_col, text_col])
+    return whole.join(kept, ["mark_1", "mark_2"]).dropDuplicates(["mark_1", "mark_2"]).select("doc.*")
