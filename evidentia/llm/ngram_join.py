@@ -16,7 +16,7 @@ bounded sample of documents.
 A block is stored sparsely as the XOR of its set bits' 64-bit codes. The keys
 travel packed, to ``2 x spark.sql.shuffle.partitions`` partitions by hash. A
 task sends the keys of equal sets (one node) once. Of the buckets only the
-distinct lists of two nodes or more go on; near copies share many blocks, but
+distinct lists of two members or more go on; near copies share many blocks, but
 few different lists. A dense sketch of up to 4,096 bits then drops the pairs of
 a list whose Hamming distance is larger than similar sets can have.
 
@@ -48,6 +48,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,42 +214,42 @@ def _hot_ngrams(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(docs: DataFrame, hot, parts: int) -> DataFrame:
-    """Two kinds of rows: a document (doc_id, the marks, n, node, and the sketch where
-    a task meets the node first) and a pack of keys (is_pack, part, pack)."""
+    """Two kinds of rows: a document (doc_id, the marks, n, node, and a handle and the
+    sketch where a task meets the node first) and a pack of keys (is_pack, part,
+    pack). In a pack a set is named by its handle: partition, pack round and place
+    in it, of which only the place (two bytes) goes with each key."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sent = WordHashes(), set()
         gram, count = hot.value
-        names = ["doc_id", "mark", "mark_2", "n", "node", "sketch", "part", "pack", "is_pack"]
+        names = ["doc_id", "mark", "mark_2", "n", "node", "handle", "sketch", "part", "pack", "is_pack"]
+        task, rounds = TaskContext.get().partitionId(), 0
         starts = band_starts(64)
         for b in batches:
-            ns, nodes, sketches, fresh, keys = [], [], [], [], []
+            ns, nodes, handles, sketches, keys = [], [], [], [], []
             held = 0
 
             def packs():
                 all_keys = np.concatenate(keys)
-                of = np.repeat(np.arange(len(fresh), dtype=np.uint32), [len(k) for k in keys])
+                of = np.repeat(np.arange(len(keys), dtype=np.uint16), [len(k) for k in keys])
                 part = ((all_keys >> U(48)) % U(parts)).astype(np.int64)
                 by = np.argsort(part, kind="stable")
                 bounds = np.searchsorted(part[by], np.arange(parts + 1))
-                name = np.array(fresh, np.int64)
                 blobs, at = [], []
                 for p in range(parts):
                     i = by[bounds[p]:bounds[p + 1]]
                     if len(i):
-                        k, o = all_keys[i], of[i]
-                        used, local = np.unique(o, return_inverse=True)
-                        # 48 bits of the key besides those that chose the partition, and a local node number
+                        k = all_keys[i]
                         at.append(p)
-                        blobs.append(np.array([len(used), len(i)], np.int64).tobytes() + name[used].tobytes()
+                        # 48 bits of the key besides those that chose the partition
+                        blobs.append(np.array([task << 20 | rounds, len(i)], np.int64).tobytes()
                                      + (k & U(0xFFFFFFFF)).astype(np.uint32).tobytes()
-                                     + ((k >> U(32)) & U(0xFFFF)).astype(np.uint16).tobytes()
-                                     + local.astype(np.uint32).tobytes())
-                keys.clear(), fresh.clear()
+                                     + ((k >> U(32)) & U(0xFFFF)).astype(np.uint16).tobytes() + of[i].tobytes())
+                keys.clear()
                 k = len(at)
                 return pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, b.schema.field("doc_id").type), *[pa.nulls(k, pa.int64())] * 4, pa.nulls(k, pa.binary()),
+                    [pa.nulls(k, b.schema.field("doc_id").type), *[pa.nulls(k, pa.int64())] * 5, pa.nulls(k, pa.binary()),
                      pa.array(at, pa.int32()), pa.array(blobs, pa.binary()),
                      pa.array([True] * k, pa.bool_())], names=names)
             for text in b.column("text").to_pylist():
@@ -256,47 +257,47 @@ def _scan(docs: DataFrame, hot, parts: int) -> DataFrame:
                 node = node_of(s)
                 ns.append(len(s))
                 nodes.append(node if len(s) else None)
+                handles.append(None)
                 sketches.append(None)
                 if len(s) and node not in sent:
                     sent.add(node)
                     if len(s) >= starts[-1]:
                         starts = band_starts(2 * len(s))
                     sketches[-1] = sketch(s, starts)
-                    fresh.append(node)
+                    handles[-1] = (task << 20 | rounds) << 16 | len(keys)
                     keys.append(block_keys(s, gram, count, starts))
                     held += len(keys[-1])
-                    if held > 500_000:
+                    if held > 500_000 or len(keys) == 1 << 16:
                         yield packs()
-                        held = 0
+                        held, rounds = 0, rounds + 1
             k = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("mark"), b.column("mark_2"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()),
+                [b.column("doc_id"), b.column("mark"), b.column("mark_2"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(handles, pa.int64()),
                  pa.array(sketches, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
                  pa.array([False] * k, pa.bool_())], names=names)
-            if fresh:
+            if keys:
                 yield packs()
-    return docs.mapInArrow(run, f"doc_id {id_type}, mark long, mark_2 long, n long, node long, sketch binary, part int, "
+                rounds += 1
+    return docs.mapInArrow(run, f"doc_id {id_type}, mark long, mark_2 long, n long, node long, handle long, sketch binary, part int, "
                           "pack binary, is_pack boolean")
 
 
 # --- buckets --------------------------------------------------------------------------
 
 def _unpack(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and nodes of all entries."""
-    keys, nodes = [], []
+    """Keys and handles of all entries."""
+    keys, handles = [], []
     for p in packs:
-        used, n = np.frombuffer(p, np.int64, 2)
-        at = 16 + 8 * used
-        names = np.frombuffer(p, np.int64, used, 16)
-        low = np.frombuffer(p, np.uint32, n, at).astype(U)
-        high = np.frombuffer(p, np.uint16, n, at + 4 * n).astype(U)
+        source, n = np.frombuffer(p, np.int64, 2)
+        low = np.frombuffer(p, np.uint32, n, 16).astype(U)
+        high = np.frombuffer(p, np.uint16, n, 16 + 4 * n).astype(U)
         keys.append(low | (high << U(32)))
-        nodes.append(names[np.frombuffer(p, np.uint32, n, at + 6 * n)])
-    return np.concatenate(keys), np.concatenate(nodes)
+        handles.append(np.frombuffer(p, np.uint16, n, 16 + 6 * n).astype(np.int64) | (source << 16))
+    return np.concatenate(keys), np.concatenate(handles)
 
 
 def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The distinct node lists of one partition's buckets with two nodes or more."""
+    """The distinct member lists (handles) of one partition's buckets with two or more."""
     key, node = _unpack(pdf["pack"].tolist())
     by = np.lexsort((node, key))
     key, node = key[by], node[by]
@@ -307,18 +308,18 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     many = np.nonzero(np.diff(begin) > 1)[0]
     lists = sorted({node[begin[i]:begin[i + 1]].tobytes() for i in many})
     digest = np.array([xxhash.xxh3_64_intdigest(x) for x in lists], U).astype(np.int64)
-    return pd.DataFrame({"list": digest, "nodes": lists})
+    return pd.DataFrame({"list": digest, "handles": lists})
 
 
 def _members(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row per list and node, with what ``nodes`` knows of the node."""
+    """One row per list and member, with what ``nodes`` (by handle) knows of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [np.frombuffer(x, np.int64) for x in b.column("nodes").to_pylist()]
+            own = [np.frombuffer(x, np.int64) for x in b.column("handles").to_pylist()]
             if own:
                 name = np.repeat(b.column("list").to_numpy(), [len(x) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.concatenate(own))], names=["list", "node"])
-    return lists.mapInArrow(run, "list long, node long").join(nodes, "node")
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.concatenate(own))], names=["list", "handle"])
+    return lists.mapInArrow(run, "list long, handle long").join(nodes, "handle").drop("handle")
 
 
 def _near(words: np.ndarray, size: np.ndarray, i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -330,7 +331,8 @@ def _near(words: np.ndarray, size: np.ndarray, i: int, j: np.ndarray) -> tuple[n
 
 
 def _lists(pdf: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
-    pdf = pdf.sort_values(["list", "node"], ignore_index=True)
+    # equal sets that different tasks met are one node
+    pdf = pdf.sort_values(["list", "node"], ignore_index=True).drop_duplicates(["list", "node"], ignore_index=True)
     name = pdf["list"].to_numpy()
     begin = np.concatenate(([0], np.nonzero(name[1:] != name[:-1])[0] + 1, [len(name)])) if len(name) else [0]
     for b, e in zip(begin[:-1], begin[1:]):
@@ -489,14 +491,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     hot = spark.sparkContext.broadcast(_hot_ngrams(docs, docs.count()))  # HOT_MAX numbers at most
     packs, rows = stage_split(_scan(docs, hot, parts), "scan", "is_pack")
     lists = stage(packs.select("part", "pack").groupBy("part").applyInPandas(
-        _bucket, "list long, nodes binary").dropDuplicates(["list"]), "lists")
+        _bucket, "list long, handles binary").dropDuplicates(["list"]), "lists")
     release(packs)
-    nodes = rows.filter("sketch is not null").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = rows.filter("handle is not null").select("handle", "node", "n", "sketch")
     by_part = F.pmod("list", F.lit(parts)).cast("int").alias("part")
     inside = stage(_members(lists, nodes).groupBy(by_part).applyInPandas(_inside, "a long, b long, dense long"), "pairs")
     ends = inside.filter("a is not null").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    marks = rows.filter("sketch is not null").groupBy("node").agg(F.min("mark").alias("mark"))
+    marks = rows.filter("handle is not null").groupBy("node").agg(F.min("mark").alias("mark"))
     ends = stage(ends.join(marks, "node"), "ends")
     texts = stage(_texts(docs, ends), "texts")
     links = stage(_verified(inside.filter("a <> b").select("a", "b").distinct(), texts), "links")
