@@ -6,12 +6,13 @@ more documents than the limit are removed, and a document that loses half its
 words or more, and keeps fewer than 10 of them or 30 %, is rejected as depleted.
 
 Copies of a document must not make its own lines look like boilerplate, so
-copies count once: for a line, a document stands for its smallest line hash
-*other than that line's*. Copies, and near copies that differ elsewhere, agree
-on it; different documents that share a line do not.
+copies count once: a document stands for the hash of its whole normalised text, both where a line's documents and where
+the host's documents are counted. Documents that differ in any line count each,
+however many lines they share, so near copies with a word of their own count
+each, too: by their lines they are no different from stubs of shared lines.
 
-The limit is ``max_docs`` documents, or ``max_share`` of the host's documents
-where that is more. Lines with fewer than ``min_line_words`` words are never
+The limit is ``max_docs`` distinct documents, or ``max_share`` of the host's
+distinct documents where that is more. Lines with fewer than ``min_line_words`` words are never
 counted: short lines repeat by chance.
 
 Counts are combined before each shuffle and keyed by (host, line, document
@@ -95,30 +96,28 @@ def measures(text: str) -> tuple[int, int, int, int, int, list[int | None], list
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """Per row its base measures, line hashes and sizes, and two smallest line hashes."""
+    """Per row its base measures, line hashes and sizes, and the hash of its normalised text."""
     def run(b: pa.RecordBatch) -> list[pa.Array]:
         rows = []
         for text in b.column("text").to_pylist():
             m = measures(text or "")
-            low = sorted({h for h in m[5] if h is not None})[:2] + [None, None]
-            rows.append((*m, low[0], low[1]))
-        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.int64()] * 2
+            rows.append((*m, line_hash(text or "")))
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.int64()]
         return [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
     narrow = docs.select(*[F.col(c) for c in docs.columns if c in ("mark_1", "mark_2")], F.col(id_col).alias("doc_id"),
                          F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     return arrow_map(narrow, run, "n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-                     "n_repeat_words long, lines array<long>, sizes array<long>, low1 long, low2 long",
+                     "n_repeat_words long, lines array<long>, sizes array<long>, mark long",
                      keep=[c for c in narrow.columns if c != "text"])
 
 
 def frequent_lines(measured: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """host, line, n_docs of the lines above the limit; copies count once."""
-    rows = measured.select("host", "low1", "low2", F.explode(F.array_distinct("lines")).alias("line")).filter(
+    rows = measured.select("host", "mark", F.explode(F.array_distinct("lines")).alias("line")).filter(
         "line is not null")
-    other = F.when(F.col("line") == F.col("low1"), F.col("low2")).otherwise(F.col("low1"))
-    lines = rows.select("host", "line", other.alias("mark")).distinct().groupBy("host", "line").agg(
-        F.count(F.lit(1)).alias("n_docs"))
-    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")).withColumnRenamed("host", "h")
+    lines = rows.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    hosts = measured.select("host", "mark").distinct().groupBy("host").agg(
+        F.count(F.lit(1)).alias("host_docs")).withColumnRenamed("host", "h")
     limit = F.greatest(F.lit(max_docs), F.lit(max_share) * F.col("host_docs"))
     return lines.filter(F.col("n_docs") > max_docs).join(hosts, F.col("host").eqNullSafe(F.col("h"))).filter(
         F.col("n_docs") > limit).select("host", "line", "n_docs")

@@ -255,6 +255,21 @@ def test_frequent_lines_go_and_copies_count_once(make_docs):
         assert r.n_chars == len(r.text)
 
 
+def test_lines_are_counted_by_distinct_documents(make_docs):
+    rng = random.Random(11)
+    notice, shared = "please accept our cookies to read the rest of this page today", [prose(rng, 8) for _ in range(10)]
+    docs = [(i, notice + "\n" + prose(rng, 3), "only line") for i in range(30)]
+    docs += [(100 + i, "\n".join([prose(rng, 12), *shared]), "one own line") for i in range(30)]
+    docs += [(200 + i, notice + "\n" + prose(rng, 30), "few") for i in range(20)]
+    docs += [(300 + i, docs[60][1], "few") for i in range(40)]  # copies of one of them
+    rows = {r.doc_id: r for r in Q.judge(make_docs(docs)).collect()}
+    assert all(rows[i].removed_words == 12 and not rows[i].base_failed and not rows[i].kept for i in range(30))
+    assert all(rows[100 + i].removed_words == 80 and not rows[100 + i].kept for i in range(30))
+    assert all(rows[i].removed_words == 0 and rows[i].kept for i in [*range(200, 220), *range(300, 340)])
+    n = {r.host: r.n_docs for r in Q.frequent_lines(Q._measured(make_docs(docs), "doc_id", "text", "source")).collect()}
+    assert n == {"only line": 30, "one own line": 30}
+
+
 @pytest.mark.parametrize("n", [0, 1, 4, 5, 6, 9, 10])
 def test_repeat_words_short(n):
     assert Q.repeat_words(["a"] * n) == (n if n >= 6 else 0)
