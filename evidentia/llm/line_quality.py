@@ -6,14 +6,18 @@ more documents than the limit are removed, and a document that loses half its
 words or more, and keeps fewer than 10 of them or 30 %, is rejected as depleted.
 
 Copies of a document must not make its own lines look like boilerplate, so
-copies count once: a document stands for the hash of its whole normalised text, both where a line's documents and where
+copies count once: a document stands for the hash of its whole normalised text (its
+normalised lines in order), both where a line's documents and where
 the host's documents are counted. Documents that differ in any line count each,
 however many lines they share, so near copies with a word of their own count
 each, too: by their lines they are no different from stubs of shared lines.
 
 The limit is ``max_docs`` distinct documents, or ``max_share`` of the host's
-distinct documents where that is more. Lines with fewer than ``min_line_words`` words are never
-counted: short lines repeat by chance.
+distinct documents where that is more. Every line that has a word is counted. Short lines
+(under ``SHORT_WORDS`` words and under ``SHORT_CHARS`` code points when
+normalised) repeat by chance, so for them ``SHORT_SHARE`` takes the place of
+``max_share``; a paragraph in a script without spaces is one word, but not short.
+A line without letters stands for itself, digits and punctuation included.
 
 Counts are combined before each shuffle and keyed by (host, line, document
 mark), so neither a hot host nor a hot line meets in one task.
@@ -40,7 +44,8 @@ from evidentia.llm.common import ASCII_LOWER, WORD, arrow_map, by_value, marked,
 
 by_value(__name__)
 
-MAX_DOCS, MAX_SHARE, MIN_LINE_WORDS = 20, 0.001, 4
+MAX_DOCS, MAX_SHARE = 20, 0.001
+SHORT_WORDS, SHORT_CHARS, SHORT_SHARE = 4, 12, 0.01
 MIN_LEFT_WORDS, MIN_LEFT_SHARE = 10, 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -75,12 +80,21 @@ def repeat_words(words: list[str]) -> int:
 
 
 def line_hash(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(_FOLD.sub(" ", line.translate(ASCII_LOWER)).strip()) - (1 << 63)
+    """Hash of the normalised line; odd if it is a short one."""
+    folded = _FOLD.sub(" ", line.translate(ASCII_LOWER)).strip() or line.strip()
+    short = len(folded) < SHORT_CHARS and folded.count(" ") + 1 < SHORT_WORDS
+    return (xxhash.xxh3_64_intdigest(folded) - (1 << 63)) & ~1 | short
+
+
+def text_mark(hashes: list[int | None]) -> int:
+    """Hash of the whole normalised text, from its line hashes in order."""
+    lines = np.array([h for h in hashes if h is not None], np.int64)
+    return xxhash.xxh3_64_intdigest(lines.tobytes()) - (1 << 63)
 
 
 def measures(text: str) -> tuple[int, int, int, int, int, list[int | None], list[int]]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and for every
-    line its hash (None if it has too few words to be counted) and word count."""
+    line its hash (None if it has no word) and word count."""
     words = WORD.findall(text)
     seen: set[str] = set()
     dup = 0
@@ -90,7 +104,7 @@ def measures(text: str) -> tuple[int, int, int, int, int, list[int | None], list
         if n:
             dup += line in seen
             seen.add(line)
-        hashes.append(line_hash(line) if n >= MIN_LINE_WORDS else None)
+        hashes.append(line_hash(line) if n else None)
         sizes.append(n)
     return (len(words), sum(map(len, words)), len(SYMBOL.findall(text)), dup, repeat_words(words), hashes, sizes)
 
@@ -101,7 +115,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
         rows = []
         for text in b.column("text").to_pylist():
             m = measures(text or "")
-            rows.append((*m, line_hash(text or "")))
+            rows.append((*m, text_mark(m[5])))
         kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.int64()]
         return [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
     narrow = docs.select(*[F.col(c) for c in docs.columns if c in ("mark_1", "mark_2")], F.col(id_col).alias("doc_id"),
@@ -118,7 +132,8 @@ def frequent_lines(measured: DataFrame, max_docs: int = MAX_DOCS, max_share: flo
     lines = rows.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
     hosts = measured.select("host", "mark").distinct().groupBy("host").agg(
         F.count(F.lit(1)).alias("host_docs")).withColumnRenamed("host", "h")
-    limit = F.greatest(F.lit(max_docs), F.lit(max_share) * F.col("host_docs"))
+    share = F.when(F.col("line").bitwiseAND(F.lit(1)) == 1, F.greatest(F.lit(SHORT_SHARE), F.lit(max_share))).otherwise(max_share)
+    limit = F.greatest(F.lit(max_docs), share * F.col("host_docs"))
     return lines.filter(F.col("n_docs") > max_docs).join(hosts, F.col("host").eqNullSafe(F.col("h"))).filter(
         F.col("n_docs") > limit).select("host", "line", "n_docs")
 

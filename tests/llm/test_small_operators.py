@@ -270,6 +270,24 @@ def test_lines_are_counted_by_distinct_documents(make_docs):
     assert n == {"only line": 30, "one own line": 30}
 
 
+def test_short_lines_and_scripts_without_spaces(make_docs):
+    rng = random.Random(12)
+    menu = ["Home", "Read more", "All rights reserved", "Contact us", "Sign in", "Site map", "About us now"]
+    chinese = "本网站使用饼干以改善您的体验请接受全部条款后继续阅读"
+    docs = [(i, "\n".join([*menu, prose(rng, 2)]), "menu") for i in range(30)]
+    docs += [(100 + i, chinese + "\n" + prose(rng, 15), "zh") for i in range(30)]
+    docs += [(1000 + i, prose(rng, 15) + ("\nYes." if i < 25 else "\n" + "1" * (i % 7 + 1)), "chance") for i in range(3000)]
+    docs += [(10_000 + i, prose(rng, 15) + ("\n" + chinese if i < 25 else ""), "long") for i in range(3000)]
+    rows = {r.doc_id: r for r in Q.judge(make_docs(docs)).collect()}
+    assert all(rows[i].removed_words == 15 and not rows[i].base_failed and not rows[i].kept for i in range(30))
+    assert all(rows[100 + i].removed_words == 1 and rows[100 + i].kept for i in range(30))
+    assert all(rows[1000 + i].removed_words == 0 for i in range(25))  # above 20 documents, not above 1 % of 3,000
+    assert all(rows[1100 + i].removed_words == 1 for i in range(25))  # each of the seven numbers stands on 14 %
+    assert all(rows[10_000 + i].removed_words == 1 for i in range(25))
+    cut = {r.doc_id: r.text for r in Q.clean(make_docs(docs)).collect()}
+    assert not set(cut) & set(range(30)) and all(chinese not in cut[100 + i] for i in range(30))
+
+
 @pytest.mark.parametrize("n", [0, 1, 4, 5, 6, 9, 10])
 def test_repeat_words_short(n):
     assert Q.repeat_words(["a"] * n) == (n if n >= 6 else 0)
