@@ -3,14 +3,17 @@
 Two smoothed variable-order Markov models over URL characters are fitted, one
 on accepted and one on rejected URLs (the URLs a rule allows or blocks). A URL
 that no rule fits is judged by the mean log-likelihood difference per symbol
-against a threshold calibrated on labelled URLs left out of the fit.
+against a threshold calibrated on labelled URLs left out of a first fit. What is
+scored is the whole URL after its scheme, query string and fragment included, or
+all of it if it has no scheme.
 
-The n-gram counts cover every labelled URL of the table. Symbols are folded to
+The final models' n-gram counts cover every labelled URL of the table, the
+calibrating fold included. Symbols are folded to
 an alphabet of 40, so a model of order 3 has at most 40**4 counts: the table
 that reaches the driver and the broadcast has a bound that no input exceeds.
 
-Defined results: a null URL, or one without ``://``, has empty host and path
-and is scored as the empty string (its end symbol only); repeated rows are
+Defined results: a null URL, or one without ``://``, has empty host and path;
+a null URL is scored as the empty string (its end symbol only); repeated rows are
 judged alike; an empty table gives an empty result; without labelled URLs of a
 class that class's model is uniform; with none at all every score is 0, which
 is allowed. Only the id and URL columns are read, so other columns of any name
@@ -45,6 +48,12 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(u, pat, 1)), F.regexp_extract(u, pat, 2)
 
 
+def model_text(url: Column) -> Column:
+    """What the models score: the URL after its scheme (all of it without one),
+    host lower-cased or not; the models fold case."""
+    return F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)^[^/?#]*?://", "")
+
+
 def rule_column(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """The longest fitting rule as struct(action, rule), else null. A rule
     ``host/path`` fits its host and all subdomains when the path starts alike."""
@@ -119,11 +128,16 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(labelled: DataFrame) -> np.ndarray:
     """``labelled``: lm_text, label (1 accepted, 0 rejected). All rows count."""
+    return llr_table(*_counts(labelled)[::-1])
+
+
+def _counts(labelled: DataFrame) -> np.ndarray:
+    """n-gram counts by label; counts of disjoint sets of rows add up."""
     rows = (labelled.mapInPandas(_count_batches, "label int, code long, n long")
             .groupBy("label", "code").agg(F.sum("n").alias("n")).toPandas())  # at most 2 * 40**4 rows
     counts = np.zeros((2, A ** (ORDER + 1)))
     counts[rows["label"].to_numpy(int), rows["code"].to_numpy(int)] = rows["n"].to_numpy(float)
-    return llr_table(counts[1], counts[0])
+    return counts
 
 
 def score_column(df: DataFrame, llr) -> DataFrame:
@@ -154,16 +168,21 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str =
                url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, score, threshold for every row."""
     host, path = split_url(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"),
+                        model_text(F.col(url_col)).alias("lm_text"))
     rows = rows.withColumn("fit", rule_column(F.col("host"), F.col("path"), rules)).select(
-        "page_id", "host", "path", F.concat("host", "path").alias("lm_text"), F.col("fit.rule").alias("rule"),
+        "page_id", "host", "path", "lm_text", F.col("fit.rule").alias("rule"),
         F.when(F.col("fit.action") == "allow", 1).when(F.col("fit.action") == "block", 0).alias("label"))
     rows = stage(rows, "urls")
     sc = rows.sparkSession.sparkContext
     labelled = rows.filter("label is not null").select("lm_text", "label")
     held = F.pmod(F.xxhash64("lm_text"), F.lit(FOLDS)) == 0
-    model = sc.broadcast(fit(labelled.filter(~held)))  # 40**4 float32, 10 MB whatever the input
+    fitted = _counts(labelled.filter(~held))
+    model = sc.broadcast(llr_table(fitted[1], fitted[0]))  # 40**4 float32, 10 MB whatever the input
     threshold = calibrate(score_column(labelled.filter(held), model))
+    model.unpersist()
+    every = fitted + _counts(labelled.filter(held))
+    model = sc.broadcast(llr_table(every[1], every[0]))
     verdict = F.when(F.col("label") == 1, "allow").when(F.col("label") == 0, "block").when(
         F.col("score") >= threshold, "allow").otherwise("block")
     return score_column(rows, model).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score",

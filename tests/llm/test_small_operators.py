@@ -82,6 +82,22 @@ def test_unknown_urls_follow_the_model(spark):
     assert right >= 95
 
 
+def test_model_reads_whole_urls_and_all_labels(spark):
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
+    labelled = [f"http://a.org/i?cat={word('abcde')}" for _ in range(200)]
+    labelled += [f"http://a.com/de/i#cat={word('vwxyz')}" for _ in range(200)]
+    new = [u.format(word(x)) for u in ("http://b.net/i?cat={}", "b.net/i?cat={}") for x in ("abcde", "vwxyz") * 25]
+    pages = spark.createDataFrame(list(enumerate(labelled + new)), "page_id long, url string")
+    rows = {r.page_id: r for r in U.judge_urls(pages, URL_RULES).collect()}
+    assert sum((rows[400 + i].verdict == "allow") == (i % 2 == 0) for i in range(100)) >= 95
+    assert rows[450].host == rows[450].path == "" and rows[450].rule is None
+    texts = [u.split("://")[1] for u in labelled]
+    every = U.fit(spark.createDataFrame([(t, int(i < 200)) for i, t in enumerate(texts)], "lm_text string, label int"))
+    want = U.scores([u.split("://")[-1] for u in labelled + new], every)
+    assert np.allclose([rows[i].score for i in range(500)], want)
+
+
 # --- chunk dedup ----------------------------------------------------------------------
 
 def prose(rng, n):
