@@ -1,11 +1,15 @@
 """Secret scan: fixed patterns plus sliding-window entropy.
 
 Three patterns give the base spans (kinds assign, access, hex). The entropy
-method then adds spans: a candidate string is a long run of key characters; a
-window slides over it and its Shannon entropy is kept from incremental
-character counts. Each character class (hex digits, base-36, mixed base-64) has
-its own threshold. Candidates on the allow-list (UUIDs, dates, placeholders,
-plain words, paths) are suppressed, and so are those a base span touches.
+method then adds spans: base spans and the segments of the allow-list (UUIDs,
+dates, placeholder words) are cut out of each long run of key characters, and
+what is left of it, on either side, is a candidate. A window slides over it and
+its Shannon entropy is kept from incremental character counts. Each character
+class (hex digits, base-36, mixed base-64) has its own threshold, and pieces of
+16 to 19 characters have a shorter window with its own thresholds. Numbers are
+suppressed, and so are words: a piece whose letters are mostly in pairs that are
+common in written languages, if it is short, has no digit or is a slug or path
+that ends in a number.
 
 Defined results: a null or empty text has no spans; texts are scanned whole;
 spans are code points, end exclusive; equal spans of one kind cannot occur.
@@ -36,20 +40,26 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGN = 6
 KINDS = ("assign", "access", "hex", "entropy")
 
-WINDOW = 20
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
-# class, its characters, bits of entropy that one window must reach
-CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+\Z"), 3.0),
-           ("base36", re.compile(r"(?:[0-9a-z]+|[0-9A-Z]+)\Z"), 3.6),
-           ("base64", re.compile(r"[A-Za-z0-9+/_=-]+\Z"), 3.9))
-ALLOWED = tuple(re.compile(p) for p in (
-    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z",       # UUID
-    r"(?:[^0-9]*|[0-9_=+/-]*)\Z",                                     # no digit, or nothing but digits
-    r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_-].*)?\Z",                      # a date and what is named after it
-    r"(?:[A-Za-z]{2,}[/_=+-]+)*[A-Za-z]{2,}[/_=+-]+[0-9]{1,6}\Z",     # path or slug with a number
-    r"(?i:.*(?:example|placeholder|changeme|xxxxxx|123456789).*)\Z",  # documented placeholders
-))
-_C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+WINDOW, SHORT_WINDOW = 20, 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORT_WINDOW)
+# class, its characters, bits of entropy that one window must reach (long, short)
+CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+\Z"), 3.0, 2.9),
+           ("base36", re.compile(r"(?:[0-9a-z]+|[0-9A-Z]+)\Z"), 3.6, 3.3),
+           ("base64", re.compile(r"[A-Za-z0-9+/_=-]+\Z"), 3.9, 3.5))
+# segments that are cut out of a run
+ALLOWED = re.compile(
+    r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])"  # UUID
+    r"|(?<![0-9A-Za-z])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_-][0-9]{2}(?:[_-]?[0-9]{2})*Z?)?(?![0-9A-Za-z])"  # date, time
+    r"|wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLE(?:KEY)?"  # documented placeholders
+    r"|(?i:example|placeholder|changeme|x{6,}|123456789)")
+NUMBER = re.compile(r"[0-9_=+/-]*\Z")
+SLUG = re.compile(r"(?:[A-Za-z]{2,}[/_=+-]+)*[A-Za-z]{2,}[/_=+-]+[0-9]{1,6}\Z")  # path or slug with a number
+# the commonest letter pairs of running text (English, German, French, Spanish)
+PAIRS = frozenset("""th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa
+si ar ve ra ld ur ch ie ei un ic be ge di ll ss ue el ta me io li ri co ro em ma us la om ne no ce pe tr so ho ac ec
+il ot wa rs ns ee ai ad id am ca ct po pr ut ig ul im mi na lo qu""".split())
+WORDY, WORDY_SHORT, LETTERS = 0.4, 0.5, 0.6
+_C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]  # for both windows
 
 
 def max_window_entropy(s: str, width: int = WINDOW) -> float:
@@ -58,7 +68,7 @@ def max_window_entropy(s: str, width: int = WINDOW) -> float:
     counts: dict[str, int] = {}
     total = 0.0
     best = 0.0
-    f = _C_LOG_C if width == WINDOW else [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+    f = _C_LOG_C if width <= WINDOW else [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
     for i, ch in enumerate(s):
         if i >= width:
             old = s[i - width]
@@ -82,17 +92,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def wordy(s: str, share: float) -> bool:
+    """Whether ``share`` of the pairs of neighbouring letters are common in words."""
+    pairs = [a + b for a, b in zip(s.lower(), s[1:].lower()) if a.isalpha() and b.isalpha()]
+    return sum(p in PAIRS for p in pairs) >= share * len(pairs)
+
+
+def pieces(start: int, end: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the cuts leave of start:end, in order."""
+    for a, b in sorted(cuts):
+        if b > start and a < end:
+            if a > start:
+                yield start, a
+            start = b
+    if start < end:
+        yield start, end
+
+
+def _secret(s: str) -> bool:
+    """Whether a candidate looks random."""
+    digits = any("0" <= c <= "9" for c in s)
+    short = len(s) < WINDOW
+    if NUMBER.match(s) or (not digits or SLUG.match(s)) and wordy(s, WORDY):
+        return False
+    if short and sum(map(str.isalpha, s)) >= LETTERS * len(s) and wordy(s, WORDY_SHORT):
+        return False
+    limit = next(limits[short] for _, chars, *limits in CLASSES if chars.match(s))
+    return max_window_entropy(s, SHORT_WINDOW if short else WINDOW) >= limit
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = []
+    taken = [(b[0], b[2]) for b in base]
     for m in CANDIDATE.finditer(text):
-        s = m.group()
-        if any(p.match(s) for p in ALLOWED):
-            continue
-        if any(b[0] < m.end() and m.start() < b[2] for b in base):
-            continue
-        limit = next(bits for _, chars, bits in CLASSES if chars.match(s))
-        if max_window_entropy(s) >= limit:
-            out.append((m.start(), 3, m.end()))
+        cuts = [c for c in taken if c[0] < m.end() and m.start() < c[1]]
+        cuts += [(m.start() + a.start(), m.start() + a.end()) for a in ALLOWED.finditer(m.group())]
+        for start, end in pieces(m.start(), m.end(), cuts):
+            if cuts:  # separators next to what was cut out
+                while start < end and text[start] in "/_=+-":
+                    start += 1
+                while start < end and text[end - 1] in "/_+-":
+                    end -= 1
+            if end - start >= SHORT_WINDOW and _secret(text[start:end]):
+                out.append((start, 3, end))
     return out
 
 

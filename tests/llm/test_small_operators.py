@@ -179,6 +179,23 @@ def test_entropy_is_incremental_and_suppressed():
         assert S.entropy_spans(fine, []) == []
 
 
+def test_secrets_next_to_others_without_digits_and_short():
+    def found(text):
+        return [text[s:e] for s, _, e in S.entropy_spans(text, S.base_spans(text))]
+    key = "9fQ2xZ7LmK4vB8nT1cRw5yHs3Dg6Jp0AkE7uWqLz"
+    for before in ("0a1b2c3d4e5f" * 2 + "/", "AKIA" + "Q7" * 8 + "/", "2024-05-01_", "example/",
+                   "123e4567-e89b-42d3-a456-426614174000/"):
+        assert found(f"see {before}{key} there") == [key]
+    assert found("a " + key + "/" + "0a1b2c3d4e5f" * 2) == [key]
+    assert found("cookie qzxwvkjhgpmtbfdrcnly") == ["qzxwvkjhgpmtbfdrcnly"]
+    assert found("QwXzRtKpLmVbNcFgHjDsYuTqZxWvKjMn") == ["QwXzRtKpLmVbNcFgHjDsYuTqZxWvKjMn"]
+    assert found("k 9fQ2xZ7LmK4vB8nT, 7h2kq9x4m1z8v3bw5") == ["9fQ2xZ7LmK4vB8nT", "7h2kq9x4m1z8v3bw5"]
+    for fine in ("internationalization", "getInternationalStatesAndTheirNames", "see/the/other/pages/of/this/12", "telecommunications",
+                 "chapter-3-section-4", "1234-5678-9012-3456", "2024-05-01_report_of_the_meeting", "example/placeholder/changeme",
+                 "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"):
+        assert found(fine) == [], fine
+
+
 def test_redaction_keeps_the_rest(make_docs):
     docs = [(1, "a token=abcdef12 b"), (2, None), (3, "clean"), (4, "")]
     rows = {r.doc_id: r for r in S.redact_documents(make_docs(docs, extra=True)).collect()}
