@@ -4,7 +4,8 @@ A gear rolling hash over the UTF-8 bytes cuts each text where the hash of the
 last 16 bytes falls under a limit, so an insertion moves only the cuts next to
 it. Chunks (32 bytes on average) are compared by digest. A chunk that occurs in
 two or more documents is kept in the one with the smallest id and is a
-duplicate in the others; neighbouring duplicates of a document are merged, and
+duplicate in the others; one that occurs in a text more than once is kept where
+it stands first and is a duplicate further on. Neighbouring duplicates of a document are merged, and
 runs of ``MIN_WORDS`` words or more are the repeated spans.
 
 A passage shared by two documents is cut alike but for the chunks at its two
@@ -15,12 +16,14 @@ The chunk list of a document is one row of a staged table; the exploded chunks
 are aggregated to (digest, smallest id, largest id) with partial sums before
 the shuffle. The repeated digests are staged, so that the join that finds their
 occurrences reads two exchanges and a digest that a third of all documents hold
-is split by adaptive execution. A document's duplicates are gathered in one
+is split by adaptive execution. Repeats inside a text are found where it is cut,
+without a shuffle. A document's duplicates are gathered in one
 row, bounded by its own length.
 
 Defined results: null and empty texts have no chunks; rows with equal ids are
 one document (they are never duplicates of one another) but each row's spans
-are its own; a row without an id is a duplicate of any document that has one;
+are its own; a row without an id is a duplicate of any document that has one, and
+is not named where it keeps the first of its own repeats;
 texts are chunked whole; an empty table gives an empty result. Columns other
 than the two named are not read by ``repeated_spans``.
 """
@@ -87,11 +90,17 @@ def chunk(text: str) -> tuple[list[int], list[int], list[int]]:
     return digests, chars.tolist(), words.tolist()
 
 
+def repeats(digests: list[int]) -> list[int]:
+    """Numbers of the chunks that the text has had before."""
+    seen: set[int] = set()
+    return [i for i, d in enumerate(digests) if d in seen or seen.add(d)]
+
+
 def _chunked(docs: DataFrame) -> DataFrame:
     def run(b: pa.RecordBatch) -> list[pa.Array]:
-        rows = [chunk(t) for t in b.column("text").to_pylist()]
-        return [pa.array(c, pa.list_(k)) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32()))]
-    return arrow_map(docs, run, "digests array<long>, chars array<int>, words array<int>",
+        rows = [(*c, repeats(c[0])) for c in map(chunk, b.column("text").to_pylist())]
+        return [pa.array(c, pa.list_(k)) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
+    return arrow_map(docs, run, "digests array<long>, chars array<int>, words array<int>, repeats array<int>",
                      keep=[c for c in docs.columns if c != "text"])
 
 
@@ -108,13 +117,19 @@ def _spans(rows: DataFrame, min_words: int) -> DataFrame:
     again = F.coalesce(F.col("doc_id") != F.col("first_id"), F.lit(True))
     found = places.join(shared, F.col("digest") == F.col("s_digest")).filter(again)
     lists = found.groupBy("row").agg(F.collect_list(F.struct("seq", "words", "first_id")).alias("found"))
-    whole = rows.select("row", "doc_id", "chars").join(lists, "row")
+    # the words of its repeats go along with a text, so that those found in no other document have theirs
+    own = F.transform("repeats", lambda i: F.struct(i.alias("seq"), F.get("words", i).alias("words")))
+    whole = rows.select("row", "doc_id", "chars", own.alias("own")).join(lists, "row", "left").filter(
+        F.col("found").isNotNull() | (F.size("own") > 0))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     out = f"spans array<struct<first: long, last: long, n_words: long, first_doc_ids: array<{id_type}>>>"
 
     def merge(b: pa.RecordBatch) -> list[pa.Array]:
         rows_out = []
-        for chars, found in zip(b.column("chars").to_pylist(), b.column("found").to_pylist()):
+        for doc_id, chars, found, own in zip(*(b.column(c).to_pylist() for c in ("doc_id", "chars", "found", "own"))):
+            found = found or []
+            shared = {f["seq"] for f in found}
+            found += [{**f, "first_id": doc_id} for f in own if f["seq"] not in shared]
             ends = np.concatenate(([0], np.cumsum(chars))).tolist()
             spans, run = [], []
             for f in [*sorted(found, key=lambda f: f["seq"]), None]:
@@ -122,7 +137,7 @@ def _spans(rows: DataFrame, min_words: int) -> DataFrame:
                     n = sum(x["words"] for x in run)
                     if n >= min_words:
                         spans.append({"first": ends[run[0]["seq"]], "last": ends[run[-1]["seq"] + 1], "n_words": n,
-                                      "first_doc_ids": sorted({x["first_id"] for x in run})})
+                                      "first_doc_ids": sorted({x["first_id"] for x in run} - {None})})
                     run = []
                 run.append(f)
             rows_out.append(spans)

@@ -145,6 +145,22 @@ def test_repeated_passages(make_docs):
     assert C.repeated_spans(make_docs([])).count() == 0
 
 
+def test_passages_repeated_inside_one_document(make_docs):
+    rng = random.Random(16)
+    passage, parts = prose(rng, 80), [prose(rng, 30) for _ in range(4)]
+    text = f" {passage} ".join(parts)
+    docs = [(1, text), (2, prose(rng, 300)), (None, f"{prose(rng, 20)} {passage[::-1]} {parts[0][::-1]} {passage[::-1]}")]
+    rows = sorted(C.repeated_spans(make_docs(docs)).collect(), key=lambda r: (r.doc_id is None, r.start))
+    assert [(r.doc_id, r.first_doc_ids) for r in rows] == [(1, [1]), (1, [1]), (None, [])]
+    for r in rows[:2]:
+        piece = text[r.start:r.end]
+        assert text.index(piece[100:-100]) < text.index(parts[1]) < r.start and r.n_words >= C.MIN_WORDS
+    cut = {r.doc_id: r.text for r in C.without_repeats(make_docs(docs)).collect()}
+    middle = passage[len(passage) // 3:2 * len(passage) // 3]
+    assert cut[1].count(middle) == 1 and all(p[60:-60] in cut[1] for p in parts)
+    assert cut[2] == docs[1][1] and cut[None].count(middle[::-1]) == 1
+
+
 # --- secret scan -----------------------------------------------------------------------
 
 def test_base_spans_by_hand(make_docs):
