@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import chunk_dedup, decontam, line_quality, mixing, ngram_join, secret_scan, toxicity, url_filter, warc_index, wrapper_html
+from evidentia.llm import (chunk_dedup, decontam, line_quality, mixing, ngram_join, resampling, secret_scan, simhash, toxicity,
+                           url_filter, warc_index, whitening, wrapper_html)
 from evidentia.llm.common import table
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
@@ -59,6 +60,18 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper_html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_join": op2_ngram_join,
@@ -70,6 +83,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_html_extract": op10_html_extract,
+    "op11_whitening": op11_whitening,
+    "op12_resampling": op12_resampling,
+    "op13_simhash": op13_simhash,
 }
 
 LLM_ORACLES: dict[str, str] = {
