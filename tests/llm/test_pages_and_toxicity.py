@@ -76,9 +76,58 @@ def test_extract_places():
     assert H.extract(None) == H.extract("") == H.extract("<script>1") == ""
     assert H.extract("plain &lt;text&gt; &unknown; 1 < 2") == "plain <text> &unknown; 1 < 2"
     assert H.extract("<div>" * 3000 + "deep") == "deep"
+    assert H.extract("<b>" * 3000 + "deep<p>x") == "deep x"
 
 
-def test_template_texts_are_induced():
+def plain_match(a, b):
+    """Textbook simple tree matching of (kind, children) trees with equal roots."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1]):
+        for j, y in enumerate(b[1]):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_match(x, y))
+    return 1 + best[-1][-1]
+
+
+def random_tree(rng, depth=0):
+    kinds = rng.sample("abcdefg", rng.randrange(0, 6 - depth) if depth < 4 else 0)
+    return [(k, random_tree(rng, depth + 1)) for k in kinds]
+
+
+def as_place(children):
+    out = H.Place()
+    out.children = {k: as_place(c) for k, c in children}
+    return out
+
+
+def test_match_equals_simple_tree_matching():
+    rng = random.Random(4)
+    for _ in range(400):
+        a, b = random_tree(rng), random_tree(rng)
+        x, y = as_place(a), as_place(b)
+        size, pairs = H.match(x, y)
+        assert size == plain_match(("#", a), ("#", b)) == len(pairs)
+        # a match: parents of pairs are pairs, and the order of siblings is kept
+        of = {id(p): q for p, q in pairs}
+        for p, q in pairs:
+            at = [list(q.children.values()).index(of[id(c)]) for c in p.children.values() if id(c) in of]
+            assert at == sorted(at)
+
+
+def test_template_keeps_nodes_of_half_the_pages():
+    pages = ["<div class=a>1</div><p>x</p>"] * 3 + ["<div class=b>2</div><p>y<i>z</i></p>"] * 2 + ["<ul><li>q</ul>"]
+    flat = H.induce(pages)
+    assert [k for _, k in flat] == ["#root", "div.a", "p"] and H.induce(pages[:3]) == []
+    assert [c.name for c in H.rebuilt(flat).children.values()] == [1, 2]
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, "http://h.org/x", h) for i, h in enumerate(pages)], PAGE)
+    return [r.text for r in H.extract_pages(df).orderBy("page_id").collect()]
+
+
+def test_template_texts_are_induced(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(6))
     words = lambda n: " ".join(word() for _ in range(n))
@@ -89,12 +138,50 @@ def test_template_texts_are_induced():
         pages.append("<body><div class=top>Welcome to our site</div><div class=x>" + "".join(f"<p>{t}</p>" for t in text)
                      + "</div><div class=x2><span>All rights</span> reserved</div></body>")
         want.append(" ".join(text))
-    found = H.induce(pages)
-    assert [t for _, t in found] == ["Welcome to our site", "All rights reserved"] or sorted(t for _, t in found) == [
-        "All rights reserved", "Welcome to our site"]
-    assert [H.extract(p, set(found)) for p in pages] == want
-    assert H.induce(pages[:1] * 9) == []  # copies of one page are no template
-    assert H.match(("a", (), [("b", (), []), ("c", (), [])]), ("a", (), [("c", (), [])]))[0] == 2
+    assert texts_of(spark, pages) == want
+    whole = "Welcome to our site " + want[0] + " All rights reserved"
+    assert texts_of(spark, pages[:1] * 9) == [whole] * 9  # copies of one page are no template
+
+
+def test_notices_near_copies_and_places(spark):
+    notice = "this long notice stands on every page of the host and is no article text"
+    rng = random.Random(6)
+    para = lambda: " ".join(f"w{rng.randrange(10_000)}" for _ in range(20))
+    own = [para() for _ in range(60)]
+    assert texts_of(spark, [f"<div>{notice}</div><section>{t}</section>" for t in own]) == own
+    assert texts_of(spark, [f"<div><p>{notice}</p><p>{t}</p></div>" for t in own]) == own
+    # one article in many near copies is no template, however many
+    article = [para() for _ in range(6)]
+    copies = []
+    for k in range(40):
+        some = list(article)
+        some[k % 6] = para()
+        copies.append("<div>" + "".join(f"<p>{t}</p>" for t in some) + "</div>")
+    assert all(t.count("w") == 120 for t in texts_of(spark, copies))
+    # a re-crawl that differs in dropped places is one page
+    again = [f"<div class=ad>{k}</div><p>{own[0]}</p><div>{own[1]}</div>" for k in range(30)]
+    assert texts_of(spark, again) == [f"{own[0]} {own[1]}"] * 30
+    # a text is template only at its template node
+    yes = [f"<div class=vote><p>Yes</p></div><article><h1>{t}</h1><p>{'Yes' if k % 9 == 3 else k}</p></article>"
+           for k, t in enumerate(own[:20])]
+    assert texts_of(spark, yes) == [f"{t} {'Yes' if k % 9 == 3 else k}" for k, t in enumerate(own[:20])]
+    plain = [f"<div class=vote><p>Yes</p></div><div class=body><p>{t}</p>" + "<p>Yes</p>" * (k == 3) + "</div>" for k, t in enumerate(own[:20])]
+    assert texts_of(spark, plain) == [t + " Yes" * (k == 3) for k, t in enumerate(own[:20])]
+    # long texts of an article element stay, also when all pages have them
+    law = [f"<article><h1>{t}</h1><blockquote>{notice}</blockquote></article>" for t in own[:20]]
+    assert texts_of(spark, law) == [f"{t} {notice}" for t in own[:20]]
+
+
+def test_deep_and_wide_pages(spark):
+    deep = ["<div>" * 3_000 + f"deep {k}" + "</div>" * 3_000 + f"<p>after {k}" for k in range(6)]
+    wide = ["".join(f"<h2>h{k} {i}</h2><p>p{k} {i}</p>" for i in range(20_000)) for k in range(2)]
+    kinds = ["".join(f"<div id=n{(i * 7919 + k) % 20_000}>d{k} {i}</div>" for i in range(20_000)) for k in range(4)]
+    got = texts_of(spark, deep + wide + kinds)
+    assert got[:6] == [f"deep {k} after {k}" for k in range(6)]
+    assert got[6:8] == [" ".join(f"h{k} {i} p{k} {i}" for i in range(20_000)) for k in range(2)]
+    assert got[8:] == [" ".join(f"d{k} {i}" for i in range(20_000)) for k in range(4)]
+    inline = "<b>" * 2_000 + "".join(f"<i>{i} " for i in range(2_000)) + "</q>" * 2_000
+    assert H.extract(inline).split() == [str(i) for i in range(2_000)]
 
 
 def test_pages_table(spark):
