@@ -5,11 +5,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from evidentia.llm import toxicity as X
 from evidentia.llm import warc_index as W
 from evidentia.llm import wrapper_html as H
-from evidentia.llm.common import shared_path
+from evidentia.llm.common import shared_path, stage
 
 PAGE = "page_id long, url string, html string"
 
@@ -38,23 +39,47 @@ def test_lookup_finds_exactly_the_captures(spark):
     rng = random.Random(1)
     rows = [(i, f"http://{rng.choice('abc')}.example.{rng.choice(['org', 'com'])}/{rng.randrange(60)}", f"<p>{i}" + "x" * rng.randrange(300))
             for i in range(400)]
+    rows += [(1000 + i, "http://long/" + "k" * 300 + "ab"[i % 2], f"long {i}") for i in range(30)]
     root = shared_path(spark, "test-warc")
-    W.write_archives(spark.createDataFrame(rows, PAGE).repartition(3), f"{root}/a", records_per_file=50)
-    W.build_index(W.read_archives(spark, f"{root}/a"), f"{root}/i", block_lines=7)
-    assert W.entries(spark, f"{root}/i").count() == 400
-    urls = sorted({u for _, u, _ in rows})[::5] + ["http://not.there/", None]
+    W.write_archives(spark.createDataFrame(rows, PAGE).repartition(3), f"{root}/a", archive_bytes=20_000)
+    lines = stage(W.index_lines(spark, f"{root}/a"), "test-lines")
+    W.build_index(lines, f"{root}/i", block_lines=7)
+    assert lines.count() == len(rows) == lines.distinct().count()
+    urls = sorted({u for _, u, _ in rows})[::5] + ["http://not.there/", None, "http://long/" + "k" * 300 + "b"]
+    table = spark.createDataFrame([(u, "x") for u in urls + urls], "address string, url_key string")
     got = []
-    for r in W.lookup(spark, f"{root}/i", urls).collect():
+    for r in W.lookup(spark, f"{root}/i", table, "address").collect():
         head, block, end = W.parse_record(bytes(r.record))
         assert end - 4 == r.length == len(r.record)
         got.append((int(head["warc-record-id"][10:-1]), head["warc-target-uri"], W.payload_of(head, block)[0].decode()))
     assert sorted(got) == sorted(r for r in rows if r[1] in urls)
-    assert W.lookup(spark, f"{root}/i", ["http://zzz/"]).count() == 0
-    blocks = spark.read.parquet(f"{root}/i/blocks").orderBy("first_key").collect()
+    assert W.lookup(spark, f"{root}/i", spark.createDataFrame([("http://zzz/",)], "url string")).count() == 0
+    blocks = spark.read.parquet(f"{root}/i/blocks").orderBy("block_id").collect()
     keys = [line[0] for b in blocks for line in W._lines(bytes(b.block))]
     assert keys == sorted(keys) and all(len(zlib.decompress(b.block)) for b in blocks)
 
 
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(W, "SMALL_RECORD", 1 << 14)
+    rows = [(i, f"http://h/{i}", chr(97 + i % 26) * (3_000_000 if i % 9 == 0 else 40_000 if i % 4 == 0 else 500) + str(i)) for i in range(90)]
+    root = shared_path(spark, "test-warc")
+    W.write_archives(spark.createDataFrame(rows, PAGE).repartition(2), f"{root}/a", archive_bytes=1 << 20)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{root}/a").select("path", "length").collect()
+    assert max(f.length for f in files) < 3_001_000 and sum(f.length > (1 << 20) + 5_000 for f in files) == 10
+    assert W.index_lines(spark, f"{root}/a").count() == 90
+    got = {r.page_id: r for r in W.captures(spark.createDataFrame(rows, PAGE)).collect()}
+    assert {i: (r.payload_bytes, r.payload_digest) for i, r in got.items()} == {
+        i: (len(h), hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows}
+
+
+def test_heads_with_a_small_buffer(monkeypatch):
+    monkeypatch.setattr(W, "BUFFER", 16)
+    records = [f"WARC/1.1\r\nContent-Length: {n}\r\nX: {'y' * n}\r\n\r\n" + "\r" * n for n in (0, 3, 200, 1, 5_000)]
+    data = "".join(r + "\r\n\r\n" for r in records).encode()
+    got = list(W.heads(pa.BufferReader(data), len(data)))
+    assert [data[at:at + n].decode() for at, n, _ in got] == records and list(W.heads(pa.BufferReader(b""), 0)) == []
+
+
 def test_url_key():
     assert W.url_key("http://www.A.org/b?c") == "org,a,www)/b?c"
     assert (W.url_key(None), W.url_key("x"), W.url_key("s://h#f")) == (")", ")x", "h)#f")
