@@ -14,23 +14,29 @@ common passages from making large buckets. It comes from the n-gram counts of a
 bounded sample of documents.
 
 A block is stored sparsely as the XOR of its set bits' 64-bit codes. The keys
-travel packed, to ``2 x spark.sql.shuffle.partitions`` partitions by hash. A
+travel packed, to partitions by hash (``PART_CHARS`` of text each at most). A
 task sends the keys of equal sets (one node) once. Of the buckets only the
 distinct lists of two members or more go on; near copies share many blocks, but
 few different lists. A dense sketch of up to 4,096 bits then drops the pairs of
 a list whose Hamming distance is larger than similar sets can have.
 
 What is left is verified on whole n-gram sets, without expanding a group of
-near copies into all its pairs: a list with more than ``DENSE`` candidates a node
-first links each node to its nearest predecessor only. Linked sets are merged
-into components; then the dense lists are looked at again and all candidates
-across components are verified. What is never tested lies within one component
-already, so the components are exact.
+near copies into all its pairs and without a list as the work of one task. A list
+of up to ``SHORT`` members gives all its candidates, or, with more than ``DENSE`` of
+them a node, each node's nearest predecessor. Of the longer lists a node takes part
+in one (the one of the smallest digest, so near copies meet in the same), cut
+into slices that compare their members with ``PIVOTS`` members of the list. Linked
+sets are merged into components. The long and the dense lists that still hold
+several components are then cut into tiles (a slice of the members outside the
+list's largest component with another such slice, or with a slice of the largest):
+each tile links its nodes to their nearest node of another component, again while
+that merges anything, and at last gives all candidates across components. What is
+never tested lies within one component already, so the components are exact.
 
 The texts that need verification are picked in a second scan by a bit filter of
 fixed size (2**26 bits; false hits cost time, not results). A node with many
-pairs is dealt out in slices. Comparing the sketches of one list takes time with
-the square of its length; memory with its length.
+pairs is dealt out in slices, and the keys to partitions whose number grows with
+the texts.
 
 N-grams and sets are told apart by 64-bit hashes. Defined results: null texts
 and texts without words have the empty set and are linked with nothing; a text
@@ -63,6 +69,8 @@ SAMPLE_DOCS, HOT_MIN, HOT_MAX = 5_000, 4, 65_536
 FILTER_BITS = 26
 DENSE = 8                          # candidates per node from which a list counts as dense
 SLICE = 64                         # pairs of one node that are verified together
+SHORT, PIVOTS, TILE = 64, 8, 2_048 # members of a short list, pivots of a long one, members of a slice
+PART_CHARS = 32 << 20
 _CACHE = 200_000
 U = np.uint64
 
@@ -311,15 +319,15 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"list": digest, "handles": lists})
 
 
-def _members(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row per list and member, with what ``nodes`` (by handle) knows of it."""
+def _exploded(lists: DataFrame) -> DataFrame:
+    """(list, handle): one row per list and member."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [np.frombuffer(x, np.int64) for x in b.column("handles").to_pylist()]
             if own:
                 name = np.repeat(b.column("list").to_numpy(), [len(x) for x in own])
                 yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.concatenate(own))], names=["list", "handle"])
-    return lists.mapInArrow(run, "list long, handle long").join(nodes, "handle").drop("handle")
+    return lists.mapInArrow(run, "list long, handle long")
 
 
 def _near(words: np.ndarray, size: np.ndarray, i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -330,65 +338,135 @@ def _near(words: np.ndarray, size: np.ndarray, i: int, j: np.ndarray) -> tuple[n
     return j[ok], far[ok]
 
 
-def _lists(pdf: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+def _lists(pdf: pd.DataFrame, names: list[str]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """The rows of each list (or slice, or tile) of one partition."""
     # equal sets that different tasks met are one node
-    pdf = pdf.sort_values(["list", "node"], ignore_index=True).drop_duplicates(["list", "node"], ignore_index=True)
-    name = pdf["list"].to_numpy()
-    begin = np.concatenate(([0], np.nonzero(name[1:] != name[:-1])[0] + 1, [len(name)])) if len(name) else [0]
+    pdf = pdf.sort_values([*names, "node"], ignore_index=True).drop_duplicates([*names, "node"], ignore_index=True)
+    same = np.ones(max(len(pdf) - 1, 0), bool)
+    for name in names:
+        values = pdf[name].to_numpy()
+        same &= values[1:] == values[:-1]
+    begin = [0, *(np.nonzero(~same)[0] + 1).tolist(), len(pdf)] if len(pdf) else [0]
     for b, e in zip(begin[:-1], begin[1:]):
-        yield int(name[b]), pdf.iloc[b:e]
+        yield int(pdf[names[0]].iat[b]), pdf.iloc[b:e]
+
+
+def _pair_rows(pairs: set[tuple[int, int]]) -> pd.DataFrame:
+    a, b = zip(*sorted(pairs)) if pairs else ((), ())
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
 def _inside(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs of the lists of one partition. A list with few candidates
+    """Candidate pairs of the short lists of one partition. A list with few candidates
     gives them all. A dense one (most likely near copies) links each node to its
-    nearest predecessor; it is named in a row of its own, and its nodes that have
-    candidates come as (a, a) too."""
+    nearest predecessor, and is named in a row of its own."""
     pairs: set[tuple[int, int]] = set()
-    ends: set[int] = set()
     names: list[int] = []
-    for name, part in _lists(pdf):
+    for name, part in _lists(pdf, ["list"]):
         node, size = part["node"].tolist(), part["n"].to_numpy(np.int64)
         words = folded(part["sketch"].tolist())
         m, total = len(node), 0
         every: list[tuple[int, int]] = []
         nearest: list[tuple[int, int]] = []
-        used: set[int] = set()
         for i in range(1, m):
             j, far = _near(words, size, i, np.arange(i))
             if len(j):
                 total += len(j)
                 nearest.append((node[j[np.argmin(far)]], node[i]))
-                if total <= DENSE * m:
-                    every += [(node[x], node[i]) for x in j.tolist()]
-                elif len(used) < i:
-                    used.update(j.tolist())
+                every += [(node[x], node[i]) for x in j.tolist()]
         if total <= DENSE * m:
             pairs.update(every)
         else:
             pairs.update(nearest)
             names.append(name)
-            ends.update(x for p in every for x in p)
-            ends.update(node[i] for i in used)
-    rows = [(a, b, None) for a, b in sorted(pairs)] + [(a, a, None) for a in sorted(ends)] + [
-        (None, None, name) for name in names]
+    rows = [(a, b, None) for a, b in sorted(pairs)] + [(None, None, name) for name in names]
     cols = list(zip(*rows)) or [(), (), ()]
     return pd.DataFrame({c: pd.array(v, dtype="Int64") for c, v in zip(("a", "b", "dense"), cols)})
 
 
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All candidate pairs of one partition's dense lists that lie in different components."""
+def _to_pivots(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Each member of a slice with its nearest pivot."""
     pairs: set[tuple[int, int]] = set()
-    for _, part in _lists(pdf):
-        comp = part["comp"].to_numpy()
-        if (comp != comp[0]).any():
+    pdf = pdf.sort_values("pivot", ascending=False, kind="stable")     # a pivot that is a member stays a pivot
+    for _, part in _lists(pdf.drop_duplicates(["list", "slice", "node"]), ["list", "slice"]):
+        node, size = part["node"].tolist(), part["n"].to_numpy(np.int64)
+        words = folded(part["sketch"].tolist())
+        pivots = np.nonzero(part["pivot"].to_numpy(bool))[0]
+        for i in range(len(node)):
+            j, far = _near(words, size, i, pivots[pivots != i])
+            if len(j):
+                x, y = node[j[np.argmin(far)]], node[i]
+                pairs.add((min(x, y), max(x, y)))
+    return _pair_rows(pairs)
+
+
+def _tiles(nearest: bool):
+    """Candidates across components of one partition's tiles: all, or of each node the
+    nearest. A tile compares the nodes of its two sides; a tile of one side its nodes
+    among each other."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs: set[tuple[int, int]] = set()
+        for _, part in _lists(pdf, ["list", "left", "right"]):
+            side, comp = part["side"].to_numpy(), part["comp"].to_numpy()
             node, size = part["node"].tolist(), part["n"].to_numpy(np.int64)
             words = folded(part["sketch"].tolist())
-            for i in range(1, len(node)):
-                j, _ = _near(words, size, i, np.nonzero(comp[:i] != comp[i])[0])
-                pairs.update((node[x], node[i]) for x in j.tolist())
-    a, b = zip(*sorted(pairs)) if pairs else ((), ())
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+            for i in np.nonzero(side == 0)[0].tolist():
+                others = np.nonzero((comp != comp[i]) & ((side == 1) if (side == 1).any() else True))[0]
+                j, far = _near(words, size, i, others)
+                if nearest and len(j):
+                    j = j[[np.argmin(far)]]
+                pairs.update((min(node[x], node[i]), max(node[x], node[i])) for x in j.tolist())
+        return _pair_rows(pairs)
+    return run
+
+
+def _pivot_pairs(long: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+    """Candidates of the long lists: every node in one of its lists, with its nearest pivot."""
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(x, np.int64) for x in b.column("handles").to_pylist()]
+            if own:
+                some = [x[np.linspace(0, len(x) - 1, PIVOTS).astype(np.int64)] for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("list").to_numpy(), PIVOTS)),
+                                                  pa.array(np.concatenate(some))], names=["list", "handle"])
+    chosen = _exploded(long).groupBy("handle").agg(F.min("list").alias("list"))
+    chosen = stage(chosen, "chosen")
+    slices = chosen.groupBy(F.col("list").alias("s_list")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("slices"))
+    here = F.col("list") == F.col("s_list")
+    members = chosen.join(slices, here).select("list", F.pmod(F.xxhash64("handle"), F.col("slices")).cast("int").alias("slice"),
+                                               "handle", F.lit(False).alias("pivot"))
+    pivots = long.mapInArrow(pick, "list long, handle long").join(slices, here).select(
+        "list", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "handle", F.lit(True).alias("pivot"))
+    rows = members.unionAll(pivots).join(nodes, "handle").drop("handle")
+    part = F.pmod(F.xxhash64("list", "slice"), F.lit(parts)).cast("int").alias("part")
+    return rows.groupBy(part).applyInPandas(_to_pivots, "a long, b long")
+
+
+def _tile_pairs(members: DataFrame, nodes: DataFrame, found: DataFrame, parts: int, nearest: bool) -> DataFrame:
+    """Candidates across components of the lists whose members are (list, node)."""
+    rows = members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    per = rows.groupBy(F.col("list").alias("p_list"), "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per.groupBy("p_list").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("n_major"),
+                                      F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    minors = F.ceil((F.col("n_all") - F.col("n_major")) / TILE).cast("int")
+    majors = F.ceil(F.col("n_major") / TILE).cast("int")
+    mixed = stage(mixed.select("p_list", "major", minors.alias("minors"), majors.alias("majors")), "mixed")
+    rows = rows.join(mixed, F.col("list") == F.col("p_list"))
+    is_major = F.col("comp") == F.col("major")
+    at = F.pmod(F.xxhash64("node"), F.when(is_major, F.col("majors")).otherwise(F.col("minors"))).cast("int")
+    rows = rows.select("list", "node", "comp", is_major.alias("is_major"), "minors", "majors", at.alias("at"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    key = lambda left, right, side: F.struct(left.alias("left"), right.alias("right"), side.alias("side"))
+    # slices of minors are 0, 1, ..., those of the largest component -1, -2, ...
+    of_major = F.transform(upto("minors"), lambda i: key(i, -1 - F.col("at"), F.lit(1)))
+    of_minor = F.concat(
+        F.transform(upto("majors"), lambda k: key(F.col("at"), -1 - k, F.lit(0))),
+        F.transform(upto("minors"), lambda j: key(F.greatest("at", j), F.least("at", j), (j > F.col("at")).cast("int"))))
+    rows = rows.select("list", "node", "comp", F.explode(F.when(F.col("is_major"), of_major).otherwise(of_minor)).alias("key")).select(
+        "list", "node", "comp", "key.*")
+    known = nodes.groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    part = F.pmod(F.xxhash64("list", "left", "right"), F.lit(parts)).cast("int").alias("part")
+    return rows.join(known, "node").groupBy(part).applyInPandas(_tiles(nearest), "a long, b long").distinct()
 
 
 # --- verification and components --------------------------------------------------------
@@ -487,33 +565,53 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mark"),
                        F.xxhash64(F.lit(1), "text", "doc_id").alias("mark_2"))
     spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = spark.sparkContext.broadcast(_hot_ngrams(docs, docs.count()))  # HOT_MAX numbers at most
+    n_docs, n_chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_chars // PART_CHARS))
+    hot = spark.sparkContext.broadcast(_hot_ngrams(docs, n_docs))  # HOT_MAX numbers at most
     packs, rows = stage_split(_scan(docs, hot, parts), "scan", "is_pack")
     lists = stage(packs.select("part", "pack").groupBy("part").applyInPandas(
         _bucket, "list long, handles binary").dropDuplicates(["list"]), "lists")
     release(packs)
     nodes = rows.filter("handle is not null").select("handle", "node", "n", "sketch")
+    is_long = F.octet_length("handles") > 8 * SHORT
+    short, long = lists.filter(~is_long), lists.filter(is_long)
+    any_long = not long.isEmpty()
     by_part = F.pmod("list", F.lit(parts)).cast("int").alias("part")
-    inside = stage(_members(lists, nodes).groupBy(by_part).applyInPandas(_inside, "a long, b long, dense long"), "pairs")
-    ends = inside.filter("a is not null").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    inside = stage(_exploded(short).join(nodes, "handle").drop("handle").groupBy(by_part).applyInPandas(
+        _inside, "a long, b long, dense long"), "pairs")
+    first = inside.filter("a is not null").select("a", "b")
+    if any_long:
+        first = first.unionAll(stage(_pivot_pairs(long, nodes, parts), "pivots"))
     marks = rows.filter("handle is not null").groupBy("node").agg(F.min("mark").alias("mark"))
-    ends = stage(ends.join(marks, "node"), "ends")
-    texts = stage(_texts(docs, ends), "texts")
-    links = stage(_verified(inside.filter("a <> b").select("a", "b").distinct(), texts), "links")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stage(pairs.distinct(), "candidates")
+        ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(marks, "node"), "ends")
+        texts = stage(_texts(docs, ends), "texts")
+        out = stage(_verified(pairs, texts), "links")
+        release(pairs, ends, texts)
+        return out
+    links = verified(first)
     found = components(links)
     dense = inside.filter("dense is not null").select(F.col("dense").alias("list")).distinct()
-    if not dense.isEmpty():
-        known = nodes.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        known = _members(lists.join(dense, "list", "left_semi"), known)
-        across = stage(known.groupBy(by_part).applyInPandas(_across, "a long, b long").distinct(), "across")
-        more = stage(_verified(across, texts), "links")
-        release(across)
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            release(found)
-            found = components(links)
-    release(lists, inside, ends, texts)
+    if any_long or not dense.isEmpty():
+        again = long.unionAll(short.join(dense, "list", "left_semi"))
+        members = stage(_exploded(again).join(nodes.select("handle", "node"), "handle").select("list", "node").distinct(), "members")
+        nearest = True
+        while True:
+            across = stage(_tile_pairs(members, nodes, found, parts, nearest), "across")
+            more = None if across.isEmpty() else verified(across)
+            release(across)
+            merged = more is not None and not more.isEmpty()
+            if merged:
+                links = links.unionAll(more)
+                release(found)
+                found = components(links)
+            if not nearest or more is None:
+                break
+            nearest = merged
+        release(members)
+    release(lists, inside)
     names = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     members = names.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = members.groupBy("comp").agg(F.min("least_id").alias("component_id"))

@@ -51,8 +51,11 @@ def corpus(seed, n=60):
     return [(i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_all_pairs(make_docs, seed):
+@pytest.mark.parametrize("seed, short, tile", [(1, 64, 2_048), (2, 4, 3), (3, 2, 2)])
+def test_components_equal_all_pairs(make_docs, monkeypatch, seed, short, tile):
+    """Also with lists of few members taken for long, and cut into small tiles."""
+    for name, value in (("SHORT", short), ("TILE", tile), ("DENSE", 8 if short > 4 else 1), ("PIVOTS", 8 if short > 4 else 2)):
+        monkeypatch.setattr(J, name, value)
     docs = corpus(seed)
     got = {r.doc_id: r for r in J.near_duplicates(make_docs(docs)).collect()}
     want = brute(docs)
@@ -61,6 +64,25 @@ def test_components_equal_all_pairs(make_docs, seed):
         assert (got[i].n_shingles, got[i].component_id) == (len(shingles(text)), c)
 
 
+def test_near_copies_of_several_texts_in_one_list(make_docs, monkeypatch):
+    """Chains of copies of copies, more kinds than pivots, among texts with one passage."""
+    monkeypatch.setattr(J, "SHORT", 8)
+    monkeypatch.setattr(J, "TILE", 16)
+    monkeypatch.setattr(J, "PIVOTS", 2)
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(60)]
+    docs = []
+    for kind in range(5):
+        words = common + [f"k{kind}x{i}" for i in range(40)]
+        for _ in range(30):
+            docs.append((len(docs), " ".join(words)))
+            words = list(words)
+            words[rng.randrange(60, 100)] = f"e{len(docs)}"
+    rng.shuffle(docs)
+    got = {r.doc_id: r.component_id for r in J.near_duplicates(make_docs(docs)).collect()}
+    assert [got[i] for i, _ in docs] == brute(docs)
+
+
 def test_similar_sets_always_share_a_kept_block():
     rng = np.random.default_rng(5)
     starts = J.band_starts(5000)
