@@ -36,9 +36,6 @@ JUDGE_FIELDS = {
 }
 # ---------------------------------------------------------------------------
 
-_SENTINEL = "\u0001"
-
-
 def _as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -136,8 +133,7 @@ def bullets_from_block(block: Column | str, text: Column | str) -> Column:
     """X6 after ``bullet_block``: lets a job compute the block once in its own
     projection (it is read twice here)."""
     block = _as_col(block)
-    marked = F.regexp_replace(block, rf"(?U)(?<!\w){BULLET_MARKER}\s+", _SENTINEL)
-    pieces = F.filter(F.split(marked, _SENTINEL), lambda x, i: i > 0)
+    pieces = F.filter(F.split(block, rf"(?U)(?<!\w){BULLET_MARKER}\s+"), lambda x, i: i > 0)
     dash = F.transform(F.filter(pieces, lambda b: strip_ws(b) != ""),
                        lambda b: F.btrim(strip_ws(b), F.lit("[]")))
     quoted = F.regexp_extract_all(block, F.lit(r'(?U)\b\d+\s*"([^"]+)"'), 1)

@@ -74,13 +74,17 @@ def fk_grade(text: Column) -> Column:
     Computed on the whole text with native regex counts (no per-word lambda):
     with words reduced to their letters, the syllable total is
     vowel groups - words with a silent final e + words with letters but no
-    vowel group (each such word counts 1)."""
+    vowel group (each such word counts 1). Words with a silent e are those that end
+    in e, less those whose only vowel group that e belongs to. Each pattern starts at
+    a word's first letter or is one letter long, and takes a run of letters whole, so
+    the time is in proportion to the text."""
     n_words = F.regexp_count(text, F.lit(r"(?U)\S+"))
     n_sent = F.greatest(F.regexp_count(text, F.lit("[.!?]+")), F.lit(1))
     letters = F.regexp_replace(F.lower(text), r"(?U)[^a-z\s]", "")
     groups = F.regexp_count(letters, F.lit("[aeiouy]+"))
-    silent = F.regexp_count(letters, F.lit(f"(?<![a-z])[a-z]*[aeiouy]{_CONSONANT}+[a-z]*e(?![a-z])"))
-    no_vowel = F.regexp_count(letters, F.lit(f"(?<![a-z]){_CONSONANT}+(?![a-z])"))
+    one_group = F.regexp_count(letters, F.lit(f"(?<![a-z]){_CONSONANT}*+[aeiouy]++(?<=e)(?![a-z])"))
+    silent = F.regexp_count(letters, F.lit("e(?![a-z])")) - one_group
+    no_vowel = F.regexp_count(letters, F.lit(f"(?<![a-z]){_CONSONANT}++(?![a-z])"))
     n_syl = groups - silent + no_vowel
     grade = (FK_SENTENCE_WEIGHT * (n_words / n_sent) + FK_SYLLABLE_WEIGHT * (n_syl / n_words)
              - FK_CONSTANT)

@@ -74,10 +74,20 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"(?U)[^\w]+"), lambda x: x != "")
 
 
-def _matched(own: Column, other: Column) -> Column:
-    """How many tokens of ``own`` occur in ``other``. Both are sorted together, a
-    reference token before its equals, and walked once: no text is compared
-    with another one token by token."""
+_FEW = 32   # distinct unmatched tokens that are looked up one by one
+
+
+def _matched(own: Column, other: Column, missing: Column) -> Column:
+    """How many tokens of ``own`` occur in ``other``; ``missing`` are its distinct tokens
+    that do not (``array_except``, a hash set). With few of them each token of
+    ``own`` is looked up among them, otherwise the texts are walked."""
+    few = F.size(own) - F.size(F.filter(own, lambda t: F.array_contains(missing, t)))
+    return F.when(F.size(missing) == 0, F.size(own)).when(F.size(missing) <= _FEW, few).otherwise(_walked(own, other))
+
+
+def _walked(own: Column, other: Column) -> Column:
+    """``_matched`` in n log n steps: both are sorted together, a reference token
+    before its equals, and walked once."""
     item = lambda t, g: F.struct(t.alias("t"), F.lit(g).alias("g"))
     both = F.array_sort(F.concat(F.transform(F.array_distinct(other), lambda t: item(t, 0)),
                                  F.transform(own, lambda t: item(t, 1))))
@@ -100,14 +110,37 @@ def lexical_scores(pairs: DataFrame, keys: list[str] | None = None, digits: int
     both = F.struct(tokens(F.col("candidate")).alias("c"), tokens(F.col("reference")).alias("r"))
     some = F.filter(F.array(both), lambda s: (F.size(s["c"]) > 0) | (F.size(s["r"]) > 0))
     x = pairs.select(*keys, F.inline_outer(some)).filter(F.col("c").isNotNull())
-    p = F.when(F.size("c") > 0, _matched(F.col("c"), F.col("r")) / F.size("c"))
-    r = F.when(F.size("r") > 0, _matched(F.col("r"), F.col("c")) / F.size("r"))
-    s = x.select(*keys, p.alias("precision"), r.alias("recall"))
-    f1 = F.when(F.col("precision") + F.col("recall") > 0,
-                2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))) \
-        .when(F.col("precision").isNotNull() & F.col("recall").isNotNull(), F.lit(0.0))
+    s = _precision_recall(x, keys, [("c", "r", "precision", "recall")])
     return s.select(*keys, F.round("precision", digits).alias("precision"),
-                    F.round("recall", digits).alias("recall"), F.round(f1, digits).alias("f1"))
+                    F.round("recall", digits).alias("recall"),
+                    F.round(f1(F.col("precision"), F.col("recall")), digits).alias("f1"))
+
+
+def f1(p: Column, r: Column) -> Column:
+    """Harmonic mean; 0 where both are 0, NULL where one is NULL."""
+    return F.when(p + r > 0, 2 * p * r / (p + r)).when(p.isNotNull() & r.isNotNull(), F.lit(0.0))
+
+
+def _precision_recall(x: DataFrame, keys: list[str], pairs: list[tuple[str, str, str, str]]) -> DataFrame:
+    """``keys`` and, for each (candidate tokens, reference tokens, precision, recall),
+    the two named shares. The unmatched tokens are read several times, so they get a
+    projection of their own."""
+    arrays = list(dict.fromkeys(c for a, b, _, _ in pairs for c in (a, b)))
+    missing = [F.array_except(a, b).alias(f"_{n}") for c, r, p, q in pairs for a, b, n in ((c, r, p), (r, c, q))]
+    x = x.select(*keys, *arrays, *missing)
+    share = lambda a, b, n: F.when(F.size(a) > 0, _matched(F.col(a), F.col(b), F.col(f"_{n}")) / F.size(a)).alias(n)
+    return x.select(*keys, *[share(a, b, n) for c, r, p, q in pairs for a, b, n in ((c, r, p), (r, c, q))])
+
+
+def evidence_scores(parsed: DataFrame, keys: list[str], evidence_col: str, digits: int = 4) -> DataFrame:
+    """E17 input: per answer the F1 of its bullets against its first and second
+    evidence (columns ``evidence_1``, ``evidence_2``), as ``lexical_scores`` gives
+    them. Both stand on the answer's row: nothing is exploded, shuffled or joined."""
+    text = lambda i: F.coalesce(F.get(F.col(evidence_col), i), F.lit(""))
+    x = parsed.select(*keys, tokens(join_bullets(F.col("bullets"))).alias("c"), tokens(text(0)).alias("r1"), tokens(text(1)).alias("r2"))
+    s = _precision_recall(x, keys, [("c", "r1", "p1", "q1"), ("c", "r2", "p2", "q2")])
+    return s.select(*keys, F.round(f1(F.col("p1"), F.col("q1")), digits).alias("evidence_1"),
+                    F.round(f1(F.col("p2"), F.col("q2")), digits).alias("evidence_2"))
 
 
 TARGETS = ["evidence_1", "evidence_2", "claim"]

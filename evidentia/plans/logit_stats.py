@@ -88,7 +88,8 @@ def histogram(long: DataFrame, value: str, group: list[str], by: list[str], bins
     closed (P13)."""
     # read twice (range, then binning): materialise the narrow input once
     long = materialize(long.select(*group, *by, value))
-    rng = long.groupBy(*group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    # a row per group: staged, its size is known, and the long table is not shuffled for it
+    rng = stage_table(long.groupBy(*group).agg(F.min(value).alias("lo"), F.max(value).alias("hi")), "hist-range")
     x = long.join(rng, group)
     width = F.col("hi") - F.col("lo")
     b = F.when(width == 0, F.lit(0)).otherwise(

@@ -7,6 +7,8 @@ column expressions from ``evidentia.sources.surrogate``), then plain SQL
 
 from __future__ import annotations
 
+import re
+
 from evidentia.sources import surrogate as S
 
 EVIDENCE = f"evidence AS ({S.evidence_sql()})"
@@ -27,6 +29,11 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+def materialised(ctes: str) -> str:
+    """The same WITH clause, each table of it built once however often it is read."""
+    return re.sub(r"^(WITH |)(\w+) AS \(", r"\1\2 AS MATERIALIZED (", re.sub(r"\n(\w+) AS \(", r"\n\1 AS MATERIALIZED (", ctes))
+
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["category_by_verdict"] = with_(EVIDENCE, KEPT, FIRST_VERDICT) + """
@@ -596,7 +603,7 @@ ORACLES["unmatched_ids"] = with_(*JGAPS) + """SELECT DISTINCT model, mode, claim
 WHERE NOT EXISTS (SELECT 1 FROM judge j WHERE j.generator_model = a.model AND j.mode = a.mode
                   AND j.claim_id = a.claim_id)"""
 
-ORACLES["merge_judge_evaluators"] = with_(*JGAPS) + f"""SELECT a.model, a.mode, a.claim_id, a.prompt, e.evaluator,
+ORACLES["merge_judge_evaluators"] = materialised(with_(*JGAPS)) + f"""SELECT a.model, a.mode, a.claim_id, a.prompt, e.evaluator,
   {", ".join(_JCOLS)}
 FROM answers a CROSS JOIN (VALUES {_EVALUATORS}) e(evaluator) LEFT JOIN judged j ON j.generator_model = a.model
   AND j.mode = a.mode AND j.claim_id = a.claim_id AND j.prompt = a.prompt AND j.evaluator = e.evaluator"""
@@ -670,10 +677,17 @@ INV = """inv AS (SELECT model, mode, claim_id, prompt, 'inverse' AS target,
 inv2 AS (SELECT * FROM inv WHERE candidate <> '' AND reference <> '')"""
 IBASE = (*BASE, ANSWERS_INV, PARSED, PARSED_INV, INV, _lexical("inv2", _PK))
 ORACLES["inverse_stats"] = with_(*IBASE) + _mean_sd("scores", "f1")
-ORACLES["merge_inverse"] = with_(*IBASE) + """SELECT a.model, a.mode, a.claim_id, a.prompt, f1 AS inverse_f1
+ORACLES["merge_inverse"] = materialised(with_(*IBASE)) + """SELECT a.model, a.mode, a.claim_id, a.prompt, f1 AS inverse_f1
 FROM parsed a LEFT JOIN scores s USING (model, mode, claim_id, prompt)"""
-ORACLES["merge_scores_last"] = with_(*PBASE, _lexical("pairs", _PK)) + """SELECT a.model, a.mode, a.claim_id, a.prompt, f1
-FROM answers a LEFT JOIN (SELECT * FROM scores WHERE target = 'claim') s USING (model, mode, claim_id, prompt)"""
+ORACLES["merge_scores_last"] = materialised(with_(*PBASE, _lexical("pairs", _PK), f"""dup AS (
+  SELECT {_PK}, 0 AS row_ord, precision AS score FROM scores UNION ALL SELECT {_PK}, 1, f1 FROM scores),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_PK} ORDER BY row_ord DESC) AS k FROM dup) WHERE k = 1),
+wide AS (SELECT model, mode, claim_id, prompt,
+  max(score) FILTER (WHERE target = 'evidence_1') AS last_evidence_1,
+  max(score) FILTER (WHERE target = 'evidence_2') AS last_evidence_2,
+  max(score) FILTER (WHERE target = 'claim') AS last_claim FROM last GROUP BY ALL)""")) + """
+SELECT a.model, a.mode, a.claim_id, a.prompt, last_evidence_1, last_evidence_2, last_claim
+FROM answers a LEFT JOIN wide USING (model, mode, claim_id, prompt)"""
 
 ORACLES["key_equality"] = with_(*BASE, ANSWERS_B) + """, ka AS (SELECT DISTINCT model, mode, claim_id FROM answers),
 kb AS (SELECT DISTINCT model, mode, claim_id FROM answers_b),
@@ -688,7 +702,7 @@ ORACLES["key_equality_gaps"] = ORACLES["key_equality"].replace(
     "claim_id FROM answers_b)", "claim_id FROM answers_b WHERE model <> 'qwen' OR claim_key % 17 <> 0)")
 
 ORACLES["greedy_match"] = """WITH tok AS (
-  SELECT vec_id % 20 AS pair_id, CAST(floor(vec_id / 20) AS BIGINT) % 2 AS side, vec_id AS tok_id,
+  SELECT CAST(floor(vec_id / 64) AS BIGINT) AS pair_id, CAST(floor(vec_id / 32) AS BIGINT) % 2 AS side, vec_id AS tok_id,
          CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 sims AS (SELECT c.pair_id, c.tok_id AS ct, r.tok_id AS rt, list_cosine_similarity(c.vec, r.vec) AS s
          FROM tok c JOIN tok r ON c.pair_id = r.pair_id AND c.side = 0 AND r.side = 1),
@@ -696,7 +710,7 @@ p AS (SELECT pair_id, avg(m) AS p FROM (SELECT pair_id, ct, max(s) AS m FROM sim
 r AS (SELECT pair_id, avg(m) AS r FROM (SELECT pair_id, rt, max(s) AS m FROM sims GROUP BY ALL) GROUP BY ALL)
 SELECT pair_id, round(p, 4) AS precision, round(r, 4) AS recall,
   round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) END, 4) AS f1
-FROM p JOIN r USING (pair_id)"""
+FROM (SELECT DISTINCT pair_id FROM tok) LEFT JOIN p USING (pair_id) LEFT JOIN r USING (pair_id)"""
 
 # --- sources and sinks -------------------------------------------------------------
 ORACLES["claims_split_tsv"] = with_(EVIDENCE, KEPT, CLAIMS) + _CLAIMS_TEXT.format(

@@ -313,10 +313,9 @@ def q_merge_scores(spark, d):
 
 
 def q_bert_diff(spark, d):
-    m = q_merge_scores(spark, d)
-    diff = F.when(F.col("prompt") == "claim", F.lit(0.0)).otherwise(
-        F.abs(F.col("lexical_evidence_1") - F.col("lexical_evidence_2")))
-    return ST.mean_sd(m, diff)
+    s = PR.evidence_scores(_parsed(spark, d), ST.GROUP, "selected_evidence")
+    diff = F.when(F.col("prompt") == "claim", F.lit(0.0)).otherwise(F.abs(F.col("evidence_1") - F.col("evidence_2")))
+    return ST.mean_sd(s, diff)
 
 
 def _parsed_inverse(spark, d):
@@ -348,11 +347,15 @@ def q_merge_inverse(spark, d):
 
 
 def q_merge_scores_last(spark, d):
-    """A score table with repeated keys; the last duplicate (by file order) wins."""
-    s = _scores(spark, d).filter(F.col("target") == "claim")
-    again = s.select(*_K, F.lit(0).alias("row_ord"), F.lit(-1.0).alias("f1")).unionByName(
-        s.select(*_K, F.lit(1).alias("row_ord"), "f1"))
-    return EN.left_merge(_answers(spark, d).select(*_K), again, _K, order="row_ord")
+    """A score table with repeated keys; of each target the last duplicate (by
+    file order) wins. An earlier run stored the precision, a later one the F1."""
+    s = _scores(spark, d)
+    again = s.select(*_K, "target", F.inline(F.array(
+        F.struct(F.lit(0).alias("row_ord"), F.col("precision").alias("score")),
+        F.struct(F.lit(1).alias("row_ord"), F.col("f1").alias("score")))))
+    last = EN.dedupe_last(again, [*_K, "target"], "row_ord")
+    wide = last.groupBy(*_K).agg(*[F.max(F.when(F.col("target") == t, F.col("score"))).alias(f"last_{t}") for t in PR.TARGETS])
+    return EN.left_merge(_answers(spark, d).select(*_K), wide, _K)
 
 
 def q_key_equality_gaps(spark, d):

@@ -11,7 +11,7 @@ answers    one row per claim x mode x model x prompt, with a response text
            chosen by key arithmetic from ten response shapes (see RESPONSES)
 logits     first-token logits for true / false / maybe per answer
 judge      judge text per answer x evaluator
-tokens     embeddings split into 20 text pairs, candidate and reference side
+tokens     embeddings split into text pairs of 64, candidate and reference side
 """
 
 from __future__ import annotations
@@ -300,9 +300,10 @@ def judge_sql(gaps: bool = False) -> str:
 
 
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token vectors of 20 text pairs from ``embeddings``: pair = vec_id % 20,
-    side 0 (candidate) / 1 (reference) from the next digit."""
+    """Token vectors of text pairs from ``embeddings``: 64 consecutive ids are a pair,
+    the first 32 its candidate side (0), the others its reference side (1). Pairs grow
+    in number with the table, not in size."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select((F.col("vec_id") % 20).alias("pair_id"),
-                    (F.floor(F.col("vec_id") / 20) % 2).cast("int").alias("side"),
+    return e.select(F.floor(F.col("vec_id") / 64).alias("pair_id"),
+                    (F.floor(F.col("vec_id") / 32) % 2).cast("int").alias("side"),
                     F.col("vec_id").alias("tok_id"), F.col("embedding").alias("vec"))

@@ -27,6 +27,7 @@ BULLET_CASES = [
     ("Bullets: -- well-known fact", ["well-known fact"]),
     ('Here is the analysis:\n-- [p] \n-- [q]\nVerdict: true', ["p", "q"]),
     ('See 2 "first point" and 3 "second"', ["first point", "second"]),
+    ("-- a\u0001b -- c\u0001", ["a\u0001b", "c\u0001"]),
     (None, []),
 ]
 
@@ -101,3 +102,33 @@ def test_tagged_sections(spark):
 def test_first_token(spark):
     r = _one(spark, [("  true because",), ("   ",)], "t string", [X.first_token("t").alias("f")])
     assert [x["f"] for x in r] == ["true", "<EMPTY>"]
+
+
+def plain_fk(text):
+    """Word by word, from the definition."""
+    import re
+    words = text.split()
+    if not words:
+        return None
+    total = 0
+    for w in words:
+        w = re.sub("[^a-z]", "", w.lower())
+        groups = len(re.findall("[aeiouy]+", w))
+        total += max(groups - (1 if w.endswith("e") and groups > 1 else 0), 1) if w else 0
+    sentences = max(len(re.findall("[.!?]+", text)), 1)
+    return 0.39 * len(words) / sentences + 11.8 * total / len(words) - 15.59
+
+
+def test_readability_of_words_and_of_a_million_letters(spark):
+    import time
+
+    from evidentia.functions import text as TX
+    texts = ["the apple tree. be eye bee! queue ease rhythm", "ee e ae ie bre breeze x-ray tie-e", "Made, the 12 (a) ...", "one " * 50,
+             "aebe bebeb ebebe yyy ye bye beye", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(F.round(TX.fk_grade(F.col("t")), 6)).collect()]
+    assert got == [None if plain_fk(t) is None else round(plain_fk(t), 6) for t in texts]
+    long = spark.createDataFrame([("ab" * 500_000 + "e",), ("b" * 1_000_000 + "e",), ("e" * 1_000_000,), ("be" * 500_000,)], "t string")
+    t0 = time.perf_counter()
+    assert all(r[0] is not None for r in long.select(TX.fk_grade(F.col("t"))).collect())
+    assert time.perf_counter() - t0 < 20

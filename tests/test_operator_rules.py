@@ -40,6 +40,30 @@ def test_lexical_scores_are_row_local(spark):
     assert got == [(0.3333, 0.5, 0.4), (1.0, 1.0, 1.0), (0.0, 0.0, 0.0), (None, 0.0, None), (1.0, 0.9998, 0.9999)]
 
 
+def test_lexical_scores_equal_counting(spark):
+    """Also with more unmatched tokens than are looked up one by one."""
+    import random
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        size = rng.choice([1, 5, 30, 200])
+        rows.append((i, *(" ".join(f"t{rng.randrange(size * 2)}" for _ in range(rng.randrange(1, size + 1))) for _ in "ab")))
+    got = {r.key: (r.precision, r.recall) for r in PR.lexical_scores(
+        spark.createDataFrame(rows, "key int, candidate string, reference string"), ["key"]).collect()}
+    for i, a, b in rows:
+        a, b = a.split(), b.split()
+        want = (sum(t in set(b) for t in a) / len(a), sum(t in set(a) for t in b) / len(b))
+        assert [round(x, 4) for x in want] == list(got[i])
+
+
+def test_evidence_scores_stand_on_the_row(spark):
+    rows = [("k", ["a b", "c"], ["a x", "c c"]), ("k", [], ["a", "b"]), ("k", ["a"], ["a"]), ("k", None, None), ("k", ["--"], ["a", " "])]
+    df = spark.createDataFrame(rows, "key string, bullets array<string>, ev array<string>")
+    scores = PR.evidence_scores(df, ["key"], "ev")
+    assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r)[1:] for r in scores.collect()] == [(0.4, 0.5), (None, None), (1.0, None), (None, None), (None, None)]
+
+
 def test_scores_map_takes_duplicates(spark):
     s = spark.createDataFrame([("a", "claim", 0.9, 1), ("a", "claim", 0.2, 2), ("a", "evidence_1", None, 1), ("b", "other", 0.5, 1)],
                               "id string, target string, f1 double, row_ord int")
