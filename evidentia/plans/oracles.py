@@ -769,3 +769,27 @@ ORACLES["hook_logits"] = with_(*BASE) + f"""SELECT {_K},
 FROM (SELECT *, length({_PTEXT}) % 7 AS a, length({_PTEXT}) % 5 AS b, length({_PTEXT}) % 3 AS c FROM answers)"""
 ORACLES["hook_scores"] = with_(*BASE) + f"""SELECT {_K}, round(length(claim) / (length(claim) + length(response)), 6) AS precision,
   round(length(response) / (length(claim) + length(response)), 6) AS recall FROM answers"""
+
+# --- result items of drifting shape: what each shape must give, without any JSON -----------
+DRIFT = """drift AS (SELECT model, mode, claim_id, claim_key,
+  CASE claim_key % 7 WHEN 0 THEN CAST(claim_key % 110 AS DOUBLE) WHEN 1 THEN CAST(claim_key % 110 AS DOUBLE)
+    WHEN 5 THEN claim_key % 90 + 0.5 END AS confidence,
+  CASE WHEN claim_key % 7 IN (3, 4) THEN 'missing' WHEN claim_key % 7 IN (2, 6) THEN 'bad' ELSE 'ok' END AS confidence_state,
+  CASE WHEN claim_key % 5 = 3 THEN (10 + claim_key % 90) / 100.0 END::DOUBLE AS score,
+  CASE claim_key % 5 WHEN 3 THEN 'ok' WHEN 4 THEN 'bad' ELSE 'missing' END AS score_state,
+  CASE WHEN claim_key % 3 = 2 THEN round((claim_key % 12 + 2.5) / 2, 6) END::DOUBLE AS fk_grade,
+  CAST(CASE WHEN claim_key % 3 = 2 THEN 1 ELSE 0 END AS BIGINT) AS n_bad_grades
+  FROM answers WHERE prompt = 'basic')"""
+ORACLES["results_variant"] = with_(*BASE, DRIFT) + "SELECT * EXCLUDE (claim_key) FROM drift"
+ORACLES["results_variant_stats"] = with_(*BASE, DRIFT) + "SELECT mode, model, CAST(count(*) AS BIGINT) AS n_items, " + ", ".join(
+    f"CAST(count(*) FILTER (WHERE {c}_state = '{s}') AS BIGINT) AS {c}_{s}" for c in ("confidence", "score")
+    for s in ("ok", "missing", "bad")) + """, round(avg(confidence), 6) AS mean_confidence,
+  round(stddev_samp(confidence), 6) AS sd_confidence, round(avg(score), 6) AS mean_score,
+  CAST(count(fk_grade) AS BIGINT) AS n_graded, round(avg(fk_grade), 6) AS mean_fk FROM drift GROUP BY mode, model"""
+ORACLES["results_variant_kinds"] = with_(*BASE, DRIFT) + """SELECT field, kind, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT unnest(['model', 'mode', 'claim_id']) AS field, 'STRING' AS kind FROM drift
+  UNION ALL SELECT 'key', 'BIGINT' FROM drift
+  UNION ALL SELECT 'confidence', ['BIGINT', 'STRING', 'STRING', NULL, 'VOID', 'DECIMAL', 'OBJECT'][claim_key % 7 + 1] FROM drift
+  UNION ALL SELECT 'bert_scores', [NULL, 'VOID', 'OBJECT', 'OBJECT', 'OBJECT'][claim_key % 5 + 1] FROM drift
+  UNION ALL SELECT 'bullets_fk', [NULL, 'ARRAY', 'ARRAY'][claim_key % 3 + 1] FROM drift)
+WHERE kind IS NOT NULL GROUP BY field, kind"""

@@ -562,3 +562,14 @@ QUERIES.update({
     "hook_logits": q_hook_logits,
     "hook_scores": q_hook_scores,
 })
+
+
+# --- result items of drifting shape (S2, F13, E10, E13, E15) --------------------------
+from evidentia.plans import drift as DR  # noqa: E402
+from evidentia.sources import variant as V  # noqa: E402
+
+QUERIES.update({
+    "results_variant": lambda spark, d: DR.typed(DR.drifting_items(spark, d)),
+    "results_variant_stats": lambda spark, d: DR.stats(DR.drifting_items(spark, d)),
+    "results_variant_kinds": lambda spark, d: V.kinds(DR.drifting_items(spark, d)),
+})
