@@ -175,6 +175,15 @@ def evidence_pair(prompt: Column | str) -> tuple[Column, Column]:
             tagged_section(prompt, "<Evidence 2>:", ["<Instruction>:"]))
 
 
+def evidence_sections(prompt: Column | str) -> Column:
+    """All ``<Evidence i>:`` sections of a prompt in one pass, whatever their number:
+    ARRAY<STRUCT<index, text>> in prompt order, texts stripped."""
+    t = _as_col(prompt)
+    each = F.lit(r"(?s)<Evidence (\d+)>:\s*(.*?)(?=<Evidence \d+>:|<Instruction>:|\z)")
+    zipped = F.arrays_zip(F.regexp_extract_all(t, each, 1).alias("index"), F.regexp_extract_all(t, each, 2).alias("text"))
+    return F.transform(zipped, lambda x: F.struct(x["index"].try_cast("int").alias("index"), strip_ws(x["text"]).alias("text")))
+
+
 # X13 -----------------------------------------------------------------------
 def first_token(text: Column | str) -> Column:
     """First whitespace-separated token of the output, '<EMPTY>' if blank."""

@@ -25,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.extract import evidence_pair
+from evidentia.functions.extract import evidence_pair, evidence_sections
 from evidentia.functions.text import join_bullets, strip_ws
 
 PAIR_KEYS = ["model", "mode", "claim_id", "prompt", "target"]
@@ -69,6 +69,16 @@ def pair_inputs(parsed: DataFrame, prompt_col: str = "prompt_text",
     return out.filter(F.col("target").isNotNull())
 
 
+def section_pairs(rows: DataFrame, keys: list[str], candidate: Column, prompt: Column) -> DataFrame:
+    """M9 with any number of evidence sections: ``keys``, target (``evidence_i``),
+    candidate, reference, a row for each section of the prompt (X11) that is not blank.
+    A candidate that is a list is joined by spaces first (``join_bullets``)."""
+    x = rows.select(*keys, candidate.alias("candidate"), evidence_sections(prompt).alias("_s"))
+    keep = F.filter("_s", lambda s: ~_blank(F.col("candidate")) & ~_blank(s["text"]))
+    return x.select(*keys, "candidate", F.inline_outer(keep).alias("_i", "reference")).filter(F.col("_i").isNotNull()).select(
+        *keys, F.concat(F.lit("evidence_"), F.col("_i").cast("string")).alias("target"), "candidate", "reference")
+
+
 def tokens(c: Column) -> Column:
     """Lower-case word tokens."""
     return F.filter(F.split(F.lower(c), r"(?U)[^\w]+"), lambda x: x != "")

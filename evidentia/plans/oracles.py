@@ -793,3 +793,62 @@ ORACLES["results_variant_kinds"] = with_(*BASE, DRIFT) + """SELECT field, kind,
   UNION ALL SELECT 'bert_scores', [NULL, 'VOID', 'OBJECT', 'OBJECT', 'OBJECT'][claim_key % 5 + 1] FROM drift
   UNION ALL SELECT 'bullets_fk', [NULL, 'ARRAY', 'ARRAY'][claim_key % 3 + 1] FROM drift)
 WHERE kind IS NOT NULL GROUP BY field, kind"""
+
+# --- stored and versioned tables, positions, observed counts, sections ----------------------
+ORACLES["stored_merge_scores"] = ORACLES["merge_scores_last"]
+ORACLES["stored_merge_inverse"] = ORACLES["merge_inverse"]
+ORACLES["stored_merge_judge_evaluators"] = ORACLES["merge_judge_evaluators"]
+ORACLES["stage_replace"] = ORACLES["answers_json_grid"]
+ORACLES["evidence_funnel_observed"] = ORACLES["evidence_funnel"]
+ORACLES["positional_match"] = with_(*BASE, ANSWERS_B) + f"""SELECT mode, model, prompt, CAST(count(*) AS BIGINT) AS n,
+  round(100.0 * count(*) FILTER (WHERE {verdict_strict('a.response')} IS NOT DISTINCT FROM {verdict_strict('b.response')})
+        / count(*), 6) AS match_pct, CAST(0 AS BIGINT) AS n_wrong_prompt
+FROM answers a JOIN answers_b b USING (model, mode, claim_id, prompt)
+WHERE NOT (model = 'qwen' AND mode = 'mix') OR NOT EXISTS (
+  SELECT 1 FROM answers_b x WHERE x.model = 'qwen' AND x.mode = 'mix' AND x.claim_key % 17 = 0)
+GROUP BY mode, model, prompt"""
+ORACLES["extraction_quality_observed"] = with_(*BASE, PARSED) + "SELECT " + ", ".join(
+    f"CAST(count(*) FILTER (WHERE prompt = '{p}') AS BIGINT) AS n_{p}, " + ", ".join(
+        f"CAST(count(*) FILTER (WHERE prompt = '{p}' AND {cond}) AS BIGINT) AS missing_{c}_{p}" for c, cond in (
+            ("verdict", "verdict IS NULL"), ("confidence", "confidence IS NULL"), ("internal_knowledge", "internal_knowledge IS NULL"),
+            ("bullets", "len(bullets) = 0"))) for p in S.PROMPTS) + " FROM parsed"
+ORACLES["pair_inputs_sections"] = with_(EVIDENCE) + f"""SELECT claimant, 'evidence_' || k AS target,
+  'what is known of ' || claimant AS candidate, evidence AS reference
+FROM (SELECT claimant, evidence, row_number() OVER (PARTITION BY claimant ORDER BY claim_key, {_ORDER}) AS k FROM evidence)
+WHERE k <= 40"""
+
+# --- soft scores -------------------------------------------------------------------------------
+_SIG = " + ".join(f"(CASE WHEN sum(CASE WHEN (h >> {k}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN {1 << k} ELSE 0 END)::BIGINT" for k in range(48))
+SIGNATURES = f"""toks AS (SELECT {_tokens('text')} AS t FROM (SELECT evidence AS text FROM evidence UNION ALL SELECT claim FROM evidence)),
+ctx AS (SELECT t[i] AS tok, ('0x' || substr(md5(t[i + o]), 1, 12))::BIGINT AS h
+  FROM toks, unnest(range(1, len(t) + 1)) AS u(i), unnest([-2, -1, 1, 2]) AS v(o) WHERE i + o BETWEEN 1 AND len(t)),
+sig AS (SELECT tok, {_SIG} AS sig FROM ctx GROUP BY tok)"""
+
+
+def _soft(src: str, name: str) -> str:
+    """Scores of the distinct (candidate, reference) of a table."""
+    return f"""{name}_u AS (SELECT DISTINCT candidate, reference FROM {src}),
+{name}_t AS (SELECT text, tok, count(*) AS n FROM (SELECT text, unnest({_tokens('text')}) AS tok FROM (
+  SELECT candidate AS text FROM {name}_u UNION SELECT reference FROM {name}_u)) GROUP BY ALL),
+{name}_k AS (SELECT x.*, sig FROM {name}_t x LEFT JOIN sig USING (tok)),
+{name}_s AS (SELECT candidate, reference, c.tok AS ct, c.n AS cn, r.tok AS rt, r.n AS rn,
+    CASE WHEN c.tok = r.tok THEN 24 ELSE greatest(coalesce(24 - bit_count(xor(c.sig, r.sig)), 0), 0) END AS s
+  FROM {name}_u JOIN {name}_k c ON c.text = candidate JOIN {name}_k r ON r.text = reference),
+{name}_p AS (SELECT candidate, reference, sum(cn * m) / (24.0 * sum(cn)) AS p FROM (
+  SELECT candidate, reference, ct, any_value(cn) AS cn, max(s) AS m FROM {name}_s GROUP BY ALL) GROUP BY ALL),
+{name}_r AS (SELECT candidate, reference, sum(rn * m) / (24.0 * sum(rn)) AS r FROM (
+  SELECT candidate, reference, rt, any_value(rn) AS rn, max(s) AS m FROM {name}_s GROUP BY ALL) GROUP BY ALL),
+{name} AS (SELECT candidate, reference, round(p, 4) AS precision, round(r, 4) AS recall,
+  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1 FROM {name}_p JOIN {name}_r USING (candidate, reference))"""
+
+
+ORACLES["token_signatures"] = with_(EVIDENCE, SIGNATURES) + "SELECT tok, sig FROM sig"
+SBASE = materialised(with_(*PBASE, SIGNATURES, _soft("pairs", "soft")))
+ORACLES["pair_scores_soft"] = SBASE + f"SELECT {_PK}, precision, recall, f1 FROM pairs LEFT JOIN soft USING (candidate, reference)"
+ORACLES["pair_scores_rescaled"] = materialised(with_(*PBASE, SIGNATURES, _soft("pairs", "soft"), f"""num AS (
+  SELECT row_number() OVER (ORDER BY md5(to_json({{model: model, mode: mode, claim_id: claim_id, prompt: prompt, target: target}})::VARCHAR),
+    candidate, reference) - 1 AS k, count(*) OVER () AS n, candidate, reference FROM pairs),
+shifted AS (SELECT a.candidate, b.reference FROM num a JOIN num b ON b.k = (a.k + 1) % a.n)""", _soft("shifted", "rnd"),
+    "base AS (SELECT sum(round(f1 * 10000)::BIGINT) / (10000.0 * count(f1)) AS b FROM shifted JOIN rnd USING (candidate, reference))")) + f"""
+SELECT {_PK}, f1, round(b, 6) AS baseline, round((f1 - b) / (1 - b), 4) AS f1_rescaled
+FROM pairs LEFT JOIN soft USING (candidate, reference), base"""

@@ -573,3 +573,125 @@ QUERIES.update({
     "results_variant_stats": lambda spark, d: DR.stats(DR.drifting_items(spark, d)),
     "results_variant_kinds": lambda spark, d: V.kinds(DR.drifting_items(spark, d)),
 })
+
+
+# --- stored and versioned tables, positions, observed counts, sections, soft scores --------
+from pyspark.sql import Window  # noqa: E402
+
+from evidentia.operators import align as AL  # noqa: E402
+from evidentia.operators import numbering as NB  # noqa: E402
+from evidentia.operators import observed as OB  # noqa: E402
+from evidentia.operators import soft as SO  # noqa: E402
+from evidentia.sources import stored as SD  # noqa: E402
+from evidentia.sources.versions import VersionedTable  # noqa: E402
+from evidentia.session import stage_table  # noqa: E402
+
+
+def _store(spark, df, keys, label):
+    return SD.stored(spark, SD.store(df, keys, label))
+
+
+def q_stored_merge_scores(spark, d):
+    """J1 on stored tables: a score row for every item and run; the last run wins, and
+    an item without scores would fail the job."""
+    items = _parsed(spark, d).select(*_K)
+    s = _scores(spark, d)
+    pick = lambda t, c: F.max(F.when(F.col("target") == t, F.col(c)))
+    wide = s.groupBy(*_K).agg(*[pick(t, c).alias(f"{c}_{t}") for t in PR.TARGETS for c in ("precision", "f1")])
+    run = lambda i, c: F.struct(F.lit(i).alias("row_ord"), *[F.col(f"{c}_{t}").alias(f"last_{t}") for t in PR.TARGETS])
+    rows = EN.left_merge(items, wide, _K).select(*_K, F.inline(F.array(run(0, "precision"), run(1, "f1"))))
+    return EN.left_merge(_store(spark, items, _K, "items"), _store(spark, rows, _K, "scores"), _K, order="row_ord", require_all=True)
+
+
+def q_stored_merge_inverse(spark, d):
+    """J2 on stored tables."""
+    scores = PR.lexical_scores(_inverse_pairs(spark, d)).select(*_K, F.col("f1").alias("inverse_f1"))
+    return EN.left_merge(_store(spark, _parsed(spark, d).select(*_K), _K, "items"), _store(spark, scores, _K, "inverse"), _K)
+
+
+def q_stored_merge_judge_evaluators(spark, d):
+    """J3 on stored tables."""
+    keys = [*_K, "evaluator"]
+    items = _parsed(spark, d).select(*_K, F.explode(F.array(*[F.lit(m) for m in S.MODELS])).alias("evaluator"))
+    scores = JG.parse_judge(S.judge(spark, d, gaps=True)).withColumnRenamed("generator_model", "model")
+    return EN.left_merge(_store(spark, items, keys, "items"), _store(spark, scores, keys, "judged"), keys)
+
+
+def _run_files(spark, d, run):
+    """A run's answers as files without ids, in item order; the second run lost some
+    claims in one mode of one model."""
+    a = _answers(spark, d, run)
+    if run:
+        a = a.filter(~((F.col("model") == "qwen") & (F.col("mode") == "mix") & (F.col("claim_key") % 17 == 0)))
+    order = ["model", "mode", "claim_id", "prompt_no"]
+    path = IO.scratch_path(spark, f"run-{run}")
+    a.select(*order, "prompt", "response").repartitionByRange(*order).sortWithinPartitions(*order).drop("claim_id", "prompt_no").write.partitionBy(
+        "model", "mode").json(path)
+    files = spark.read.schema("prompt string, response string, model string, mode string").json(path)
+    return NB.file_positions(files, ["model", "mode"])
+
+
+def q_positional_match(spark, d):
+    """Two runs without ids, aligned by place, and their agreement."""
+    a, b = (_run_files(spark, d, run).withColumn("verdict", X.verdict_strict(F.col("response"))).drop("response") for run in (0, 1))
+    both = AL.aligned(a, b, ["model", "mode"])
+    same = F.col("a.verdict").eqNullSafe(F.col("b.verdict"))
+    return both.groupBy("mode", "model", F.col("a.prompt").alias("prompt")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(100.0 * F.count_if(same) / F.count(F.lit(1)), 6).alias("match_pct"),
+        F.count_if(F.col("a.prompt") != F.col("b.prompt")).alias("n_wrong_prompt"))
+
+
+def q_stage_replace(spark, d):
+    """Responses are written, enriched twice over their own input, and read again;
+    a stage that is done is not done twice."""
+    t = VersionedTable(spark, IO.scratch_path(spark, "answers-versions"))
+    t.write(_answers(spark, d).select(*_K, "response"), "responses", ["model", "mode"])
+    r = F.col("response")
+    t.enrich("verdicts", lambda x: x.select("*", X.verdict_strict(r).alias("verdict"), X.confidence_strict(r).alias("confidence")), ["model", "mode"])
+    t.enrich("bullets", lambda x: x.select("*", F.array_join(X.bullets(r), " | ").alias("bullets_text")), ["model", "mode"])
+    return t.enrich("verdicts", lambda x: x.limit(0)).select(*_K, "verdict", "confidence", "bullets_text")
+
+
+def q_quality_observed(spark, d):
+    """E7 in the pass that writes the parsed answers."""
+    _, counts = OB.stage_observed(_parsed(spark, d), OB.quality_counts(S.PROMPTS), "parsed-answers",
+                                  lambda x: x.select(*_K, "verdict", "confidence", "bullets", "internal_knowledge"))
+    return OB.one_row(spark, counts)
+
+
+MAX_SECTIONS = 40
+
+
+def q_pair_inputs_sections(spark, d):
+    """X11 and M9 with up to 40 evidence sections: the first evidence of each claimant's
+    claims in one prompt, cut out of it again."""
+    ev = S.evidence(spark, d).select("claimant", "claim_key", "row_ord", "evidence")
+    first = F.row_number().over(Window.partitionBy("claimant").orderBy("claim_key", "row_ord"))
+    ev = ev.withColumn("k", first).filter(F.col("k") <= MAX_SECTIONS)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("k", "evidence"))), lambda x: x["evidence"])
+    rows = ev.groupBy("claimant").agg(texts.alias("ev")).select(
+        "claimant", P.prompt_text("bullet_first", "basic", F.col("claimant"), F.col("ev")).alias("prompt"))
+    return PR.section_pairs(rows, ["claimant"], F.concat(F.lit("what is known of "), "claimant"), F.col("prompt"))
+
+
+def _signatures(spark, d):
+    """Token signatures learned from all evidence and claim texts."""
+    corpus = S.evidence(spark, d).select(F.explode(F.array("evidence", "claim")).alias("text"))
+    return stage_table(SO.token_signatures(corpus), "signatures")
+
+
+_PK = [*_K, "target"]
+
+QUERIES.update({
+    "stored_merge_scores": q_stored_merge_scores,
+    "stored_merge_inverse": q_stored_merge_inverse,
+    "stored_merge_judge_evaluators": q_stored_merge_judge_evaluators,
+    "positional_match": q_positional_match,
+    "stage_replace": q_stage_replace,
+    "evidence_funnel_observed": lambda spark, d: OB.one_row(spark, OB.prepared_evidence(S.evidence(spark, d))[1]),
+    "extraction_quality_observed": q_quality_observed,
+    "pair_inputs_sections": q_pair_inputs_sections,
+    "token_signatures": _signatures,
+    "pair_scores_soft": lambda spark, d: SO.soft_scores(_pairs(spark, d), _signatures(spark, d), _PK),
+    "pair_scores_rescaled": lambda spark, d: SO.rescaled(stage_table(_pairs(spark, d), "pairs"), _signatures(spark, d), _PK),
+})
