@@ -92,13 +92,22 @@ def release(*staged: DataFrame) -> None:
         fs.delete(hpath, True)
 
 
-def marked(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``docs`` as (doc, mark_1, mark_2): all columns in one struct, and a 128-bit
-    hash of the given columns by which rows are found again. Rows that are equal
-    in them have equal marks."""
+def marks(docs: DataFrame, columns: Sequence[str], whole: bool = False) -> tuple[Column, Column]:
+    """Two 64-bit hashes by which rows are found again: both of the given columns, or
+    the second of all columns if ``whole``. Rows that are equal in them have equal
+    marks; a null is told from every value and place (the hash alone skips nulls)."""
     cols = [F.col(c) for c in columns]
-    return docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(*cols).alias("mark_1"),
-                       F.xxhash64(F.lit(1), *reversed(cols)).alias("mark_2"))
+    rest = [c for c in docs.columns if c not in columns] if whole else []
+    flat = [F.to_json(F.struct(c)) if isinstance(docs.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) else F.col(c)
+            for c in rest]
+    gaps = lambda some: [c.isNull() for c in some]
+    return (F.xxhash64(*cols, *gaps(cols)).alias("mark_1"),
+            F.xxhash64(F.lit(1), *reversed(cols), *flat, *gaps([*cols, *flat])).alias("mark_2"))
+
+
+def marked(docs: DataFrame, columns: Sequence[str], whole: bool = False) -> DataFrame:
+    """``docs`` as (doc, mark_1, mark_2): all columns in one struct, and their ``marks``."""
+    return docs.select(F.struct(*docs.columns).alias("doc"), *marks(docs, columns, whole))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Sequence[pa.Array]], out: str,

@@ -28,9 +28,10 @@ in one (the one of the smallest digest, so near copies meet in the same), cut
 into slices that compare their members with ``PIVOTS`` members of the list. Linked
 sets are merged into components. The long and the dense lists that still hold
 several components are then cut into tiles (a slice of the members outside the
-list's largest component with another such slice, or with a slice of the largest):
-each tile links its nodes to their nearest node of another component, again while
-that merges anything, and at last gives all candidates across components. What is
+list's largest component with another such slice, or with a slice of the largest).
+In each of several rounds every node asks one of its lists for its nearest node of
+another component, until ``QUIET`` rounds in a row merge nothing; at last the tiles
+give all candidates across the components that are left. What is
 never tested lies within one component already, so the components are exact.
 
 The texts that need verification are picked in a second scan by a bit filter of
@@ -58,7 +59,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import by_value, marked, release, stage, stage_split
+from evidentia.llm.common import by_value, marked, marks, release, stage, stage_split
 
 by_value(__name__)
 
@@ -70,6 +71,7 @@ FILTER_BITS = 26
 DENSE = 8                          # candidates per node from which a list counts as dense
 SLICE = 64                         # pairs of one node that are verified together
 SHORT, PIVOTS, TILE = 64, 8, 2_048 # members of a short list, pivots of a long one, members of a slice
+QUIET = 2
 PART_CHARS = 32 << 20
 _CACHE = 200_000
 U = np.uint64
@@ -401,17 +403,19 @@ def _to_pivots(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _tiles(nearest: bool):
-    """Candidates across components of one partition's tiles: all, or of each node the
-    nearest. A tile compares the nodes of its two sides; a tile of one side its nodes
-    among each other."""
+    """Candidates across components of one partition's tiles: all, or of each node that
+    asks the nearest. A tile compares the nodes of its two sides; a tile of one side
+    its nodes among each other."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs: set[tuple[int, int]] = set()
         for _, part in _lists(pdf, ["list", "left", "right"]):
             side, comp = part["side"].to_numpy(), part["comp"].to_numpy()
             node, size = part["node"].tolist(), part["n"].to_numpy(np.int64)
             words = folded(part["sketch"].tolist())
-            for i in np.nonzero(side == 0)[0].tolist():
-                others = np.nonzero((comp != comp[i]) & ((side == 1) if (side == 1).any() else True))[0]
+            both = bool((side == 1).any())
+            asks = part["asks"].to_numpy(bool) if nearest else side == 0
+            for i in np.nonzero(asks)[0].tolist():
+                others = np.nonzero((comp != comp[i]) & ((side != side[i]) if both else True))[0]
                 j, far = _near(words, size, i, others)
                 if nearest and len(j):
                     j = j[[np.argmin(far)]]
@@ -442,8 +446,9 @@ def _pivot_pairs(long: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     return rows.groupBy(part).applyInPandas(_to_pivots, "a long, b long")
 
 
-def _tile_pairs(members: DataFrame, nodes: DataFrame, found: DataFrame, parts: int, nearest: bool) -> DataFrame:
-    """Candidates across components of the lists whose members are (list, node)."""
+def _tile_pairs(members: DataFrame, nodes: DataFrame, found: DataFrame, parts: int, turn: int | None) -> DataFrame:
+    """Candidates across components of the lists whose members are (list, node): all,
+    or in a ``turn`` the nearest of each node in the list that it asks then."""
     rows = members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     per = rows.groupBy(F.col("list").alias("p_list"), "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("p_list").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("n_major"),
@@ -452,9 +457,13 @@ def _tile_pairs(members: DataFrame, nodes: DataFrame, found: DataFrame, parts: i
     majors = F.ceil(F.col("n_major") / TILE).cast("int")
     mixed = stage(mixed.select("p_list", "major", minors.alias("minors"), majors.alias("majors")), "mixed")
     rows = rows.join(mixed, F.col("list") == F.col("p_list"))
+    asked = rows.groupBy(F.col("node").alias("a_node")).agg(
+        F.min_by("list", F.xxhash64("list", F.lit(turn))).alias("a_list")) if turn is not None else None
+    asks = F.lit(True) if asked is None else F.col("list") == F.col("a_list")
+    rows = rows if asked is None else rows.join(asked, F.col("node") == F.col("a_node"))
     is_major = F.col("comp") == F.col("major")
     at = F.pmod(F.xxhash64("node"), F.when(is_major, F.col("majors")).otherwise(F.col("minors"))).cast("int")
-    rows = rows.select("list", "node", "comp", is_major.alias("is_major"), "minors", "majors", at.alias("at"))
+    rows = rows.select("list", "node", "comp", asks.alias("asks"), is_major.alias("is_major"), "minors", "majors", at.alias("at"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     key = lambda left, right, side: F.struct(left.alias("left"), right.alias("right"), side.alias("side"))
     # slices of minors are 0, 1, ..., those of the largest component -1, -2, ...
@@ -462,11 +471,11 @@ def _tile_pairs(members: DataFrame, nodes: DataFrame, found: DataFrame, parts: i
     of_minor = F.concat(
         F.transform(upto("majors"), lambda k: key(F.col("at"), -1 - k, F.lit(0))),
         F.transform(upto("minors"), lambda j: key(F.greatest("at", j), F.least("at", j), (j > F.col("at")).cast("int"))))
-    rows = rows.select("list", "node", "comp", F.explode(F.when(F.col("is_major"), of_major).otherwise(of_minor)).alias("key")).select(
-        "list", "node", "comp", "key.*")
+    rows = rows.select("list", "node", "comp", "asks", F.explode(F.when(F.col("is_major"), of_major).otherwise(of_minor)).alias("key")).select(
+        "list", "node", "comp", "asks", "key.*")
     known = nodes.groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     part = F.pmod(F.xxhash64("list", "left", "right"), F.lit(parts)).cast("int").alias("part")
-    return rows.join(known, "node").groupBy(part).applyInPandas(_tiles(nearest), "a long, b long").distinct()
+    return rows.join(known, "node").groupBy(part).applyInPandas(_tiles(turn is not None), "a long, b long").distinct()
 
 
 # --- verification and components --------------------------------------------------------
@@ -556,14 +565,14 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """(rows, links, staged): rows has doc_id, mark and mark_2 (hashes of id and
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> tuple[
+        DataFrame, DataFrame, list[DataFrame]]:
+    """(rows, links, staged): rows has doc_id, mark and mark_2 (``marks`` of id and
     text), n_shingles, node (null for the empty set), comp and component_id of
     every row; links are the verified pairs of nodes (a, b) that make the
     components; staged are the tables that rows reads."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mark"),
-                       F.xxhash64(F.lit(1), "text", "doc_id").alias("mark_2"))
+    first, second = marks(docs, [id_col, text_col], whole)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), first.alias("mark"), second.alias("mark_2"))
     spark = docs.sparkSession
     n_docs, n_chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_chars // PART_CHARS))
@@ -582,36 +591,37 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     first = inside.filter("a is not null").select("a", "b")
     if any_long:
         first = first.unionAll(stage(_pivot_pairs(long, nodes, parts), "pivots"))
-    marks = rows.filter("handle is not null").groupBy("node").agg(F.min("mark").alias("mark"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stage(pairs.distinct(), "candidates")
-        ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(marks, "node"), "ends")
-        texts = stage(_texts(docs, ends), "texts")
-        out = stage(_verified(pairs, texts), "links")
-        release(pairs, ends, texts)
-        return out
-    links = verified(first)
-    found = components(links)
+    first = stage(first.distinct(), "candidates")
     dense = inside.filter("dense is not null").select(F.col("dense").alias("list")).distinct()
+    ends = first.select(F.explode(F.array("a", "b")).alias("node"))
+    members = None
     if any_long or not dense.isEmpty():
         again = long.unionAll(short.join(dense, "list", "left_semi"))
         members = stage(_exploded(again).join(nodes.select("handle", "node"), "handle").select("list", "node").distinct(), "members")
-        nearest = True
+        ends = ends.unionAll(members.select("node"))
+    by_node = rows.filter("handle is not null").groupBy("node").agg(F.min("mark").alias("mark"))
+    ends = stage(ends.distinct().join(by_node, "node"), "ends")
+    texts = stage(_texts(docs, ends), "texts")       # one scan for all that is verified below
+    links = stage(_verified(first, texts), "links")
+    found = components(links)
+    if members is not None:
+        turn: int | None = 0
+        quiet = 0
         while True:
-            across = stage(_tile_pairs(members, nodes, found, parts, nearest), "across")
-            more = None if across.isEmpty() else verified(across)
+            across = stage(_tile_pairs(members, nodes, found, parts, turn), "across")
+            more = None if across.isEmpty() else stage(_verified(across, texts), "links")
             release(across)
             merged = more is not None and not more.isEmpty()
             if merged:
                 links = links.unionAll(more)
                 release(found)
                 found = components(links)
-            if not nearest or more is None:
+            if turn is None:
                 break
-            nearest = merged
+            quiet = 0 if merged else quiet + 1
+            turn = turn + 1 if quiet < QUIET and more is not None else None
         release(members)
-    release(lists, inside)
+    release(lists, inside, first, ends, texts)
     names = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     members = names.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = members.groupBy("comp").agg(F.min("least_id").alias("component_id"))
@@ -629,15 +639,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id; documents
-    without words all stay. Rows with equal id and text are one document. Columns
-    unchanged."""
-    rows, _, staged = join(docs, id_col, text_col)
+    """One document of each component, the one with the smallest id (of several rows
+    with that id the one whose marks, hashes of the whole row, are smallest);
+    documents without words all stay, repeated ones too. Columns unchanged."""
+    rows, _, staged = join(docs, id_col, text_col, whole=True)
     best = rows.filter("node is not null").groupBy("comp").agg(
         F.min_by(F.struct("mark", "mark_2"), F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "mark_2")).alias("m"))
-    empty = rows.filter("node is null").select("mark", "mark_2")
-    kept = stage(best.select("m.*").unionAll(empty).select(
-        F.col("mark").alias("mark_1"), "mark_2").distinct(), "kept")
+    empty = rows.filter("node is null").select("mark", "mark_2", F.lit(True).alias("every"))
+    kept = stage(best.select("m.*", F.lit(False).alias("every")).unionAll(empty).select(
+        F.col("mark").alias("mark_1"), "mark_2", "every").distinct(), "kept")
     release(*staged)
-    whole = marked(docs, [id_col, text_col])
-    return whole.join(kept, ["mark_1", "mark_2"]).dropDuplicates(["mark_1", "mark_2"]).select("doc.*")
+    # of rows that are equal in every column one is as good as another
+    found = marked(docs, [id_col, text_col], whole=True).join(kept, ["mark_1", "mark_2"])
+    each = F.when(F.col("every"), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    return found.withColumn("each", each).dropDuplicates(["mark_1", "mark_2", "each"]).select("doc.*")

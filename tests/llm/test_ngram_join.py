@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from evidentia.llm import ngram_join as J
+from evidentia.llm.common import marks
 
 
 def shingles(text):
@@ -119,6 +120,24 @@ def test_edges(make_docs):
     assert J.near_duplicates(make_docs([])).count() == 0
 
 
+def test_keep_one_of_repeated_rows(make_docs):
+    rows = [(1, None, "a"), (1, None, "a"), (1, "", "a"), (1, " ", "b"), (None, "", "a"), (None, "", "a"),
+            (5, "one two three", "a"), (5, "one two three", "b"), (5, "one two three", "b"), (9, "one two three", "a"), (None, "one two three", "a")]
+    kept = [J.keep_one(make_docs(rows, extra=True).repartition(k)).collect() for k in (1, 5)]
+    assert sorted(kept[0], key=str) == sorted(kept[1], key=str)
+    assert len([r for r in kept[0] if not (r.text or "").strip()]) == 6
+    assert [r.doc_id for r in kept[0] if (r.text or "").strip()] == [5]
+
+
+def test_marks_tell_nulls_from_values(spark):
+    df = spark.createDataFrame([("a", None, "t", [1]), (None, "a", "t", [1]), (None, None, "t", [1]), ("a", None, "t", None), ("a", None, "t", [1])],
+                               "id string, host string, text string, more array<int>")
+    for whole, n in ((False, 3), (True, 4)):
+        got = [tuple(r) for r in df.select(*marks(df, ["id", "host", "text"], whole)).collect()]
+        assert len(set(got)) == n and got[0] == got[4]
+        assert len({a for a, _ in got}) == 3
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = dict(map(tuple, J.components(spark.createDataFrame(edges, "a long, b long")).collect()))
