@@ -10,7 +10,12 @@ The fit is bounded: at most ``MAX_TRAIN`` labelled rows per class, the ones
 with the smallest id hashes, are read (by a broadcast join of that bounded list
 of ids). Class weights restore the class shares of all labelled rows. Features
 live in 2**20 hash buckets, and at most ``MAX_FEATURES`` of them, chosen by
-their G statistic against the label, get a weight. Scoring reads every text whole.
+their G statistic against the label, get a weight. Equal swaps are one with a
+count: what is left of a swap are the few features of two terms, so their number
+is bounded by the pairs of terms, however long a text is. The intercept is moved
+so that 0.5 is where ``CV_FOLDS`` cross-validated scores of the training rows have
+their best F1: few toxic rows then still give a fair share of found ones. Scoring
+reads every text whole.
 
 Only rows whose crc32(doc_id) mod 5 is not 0 are used for the fit. Labels, ids
 and any column but the text are no inputs of a score.
@@ -44,6 +49,7 @@ MAX_FEATURES = 4_000
 MIN_G, MIN_ROWS = 20.0, 3
 L2, SWAP_PENALTY = 0.1, 50.0
 STEPS, RATE = 400, 0.1
+CV_FOLDS = 4
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -107,22 +113,23 @@ def _select(n1: np.ndarray, n0: np.ndarray, size1: int, size0: int) -> np.ndarra
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, deltas: list[tuple[np.ndarray, np.ndarray]],
-          n: int, penalty: float) -> tuple[np.ndarray, float]:
+          n: int, penalty: float, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights and intercept. rows: feature numbers of each text; deltas: the
-    numbers that a swap adds and removes. Minimises the weighted log-loss sum +
+    numbers that a swap adds and removes, ``times`` how often. Minimises the weighted log-loss sum +
     L2/2 |w|^2 + penalty/2 * sum of squared score changes, by Adam steps."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate([*rows, np.empty(0, int)]).astype(int)
     d_row = np.concatenate([np.repeat(np.arange(len(deltas)), [len(a) + len(b) for a, b in deltas]), np.empty(0, int)]).astype(int)
     d_col = np.concatenate([*(np.concatenate(x) for x in deltas), np.empty(0, int)]).astype(int)
     d_sign = np.concatenate([*(np.repeat((1.0, -1.0), (len(a), len(b))) for a, b in deltas), np.empty(0)])
+    times = np.ones(len(deltas)) if times is None else times
     w, bias = np.zeros(n), float(np.log(weight[y == 1].sum() / weight[y == 0].sum()))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     total = weight.sum()
     for step in range(1, STEPS + 1):
         s = bias + np.bincount(row, w[col], len(rows))
         err = weight * (1 / (1 + np.exp(-np.clip(s, -40, 40))) - y)
-        change = np.bincount(d_row, d_sign * w[d_col], len(deltas))
+        change = times * np.bincount(d_row, d_sign * w[d_col], len(deltas))
         g = np.bincount(col, err[row], n) + L2 * w + penalty * np.bincount(d_col, d_sign * change[d_row], n)
         g = np.append(g, err.sum()) / total
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -131,6 +138,37 @@ def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, deltas: lis
     return w, bias
 
 
+def best_cut(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The logit from which on rows are best called toxic (largest F1; of several
+    the one nearest to 0)."""
+    by = np.argsort(-scores, kind="stable")
+    s, hit = scores[by], weight[by] * y[by]
+    found, called = np.cumsum(hit), np.cumsum(weight[by])
+    f1 = 2 * found / (called + hit.sum())
+    last = np.append(s[1:] < s[:-1], True)      # equal scores fall on one side
+    f1[~last] = -1
+    ends = np.nonzero(f1 >= f1.max() - 1e-12)[0]
+    # a cut may lie anywhere between two neighbouring scores
+    low = np.where(ends + 1 < len(s), s[np.minimum(ends + 1, len(s) - 1)], s[ends] - 1)
+    middle = (s[ends] + low) / 2
+    cuts = np.where((s[ends] >= 0) & (low < 0), 0.0, middle)
+    return float(cuts[np.argmin(np.abs(cuts))])
+
+
+def cut_by_folds(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, deltas, n: int, times: np.ndarray) -> float:
+    """``best_cut`` of scores that each fold got from a fit to the others."""
+    fold = np.arange(len(y)) % CV_FOLDS
+    scores = np.zeros(len(y))
+    for k in range(CV_FOLDS):
+        rest = np.nonzero(fold != k)[0]
+        if not 0 < y[rest].sum() < len(rest):
+            return 0.0
+        w, bias = train([rows[i] for i in rest], y[rest], weight[rest], deltas, n, SWAP_PENALTY, times)
+        for i in np.nonzero(fold == k)[0]:
+            scores[i] = bias + w[rows[i]].sum()
+    return best_cut(scores, y, weight)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[dict[int, float], float]:
     """Weights by hash bucket and the intercept. docs: doc_id, text; labels: doc_id, toxic."""
     labels = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(
@@ -187,13 +225,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
         return [pa.array([own(x) for x in b.column("own").to_pylist()], ints),
                 *(pa.array([[own(x) for x in r] for r in b.column(c).to_pylist()], pa.list_(ints))
                   for c in ("plus", "minus"))]
-    small = arrow_map(rows, narrow, "own array<int>, plus array<array<int>>, minus array<array<int>>",
-                      keep=["toxic"]).collect()  # at most 2 * max_train rows of the chosen features
-    small.sort(key=lambda r: (r["toxic"], r["own"]))  # the same sums whatever order the rows come in
-    y = np.array([r["toxic"] for r in small])
+    small = stage(arrow_map(rows, narrow, "own array<int>, plus array<array<int>>, minus array<array<int>>", keep=["toxic"]), "train-small")
+    swapped = small.select(F.inline(F.arrays_zip("plus", "minus"))).filter((F.size("plus") > 0) | (F.size("minus") > 0))
+    # a bounded number of different swaps, and at most 2 * max_train rows of the chosen features;
+    # sorted: the same sums whatever order the rows come in
+    counted = sorted(map(tuple, swapped.groupBy("plus", "minus").count().collect()))
+    texts = sorted(map(tuple, small.select("toxic", "own").collect()))
+    y = np.array([t for t, _ in texts])
     weight = np.where(y == 1, n1 / (y == 1).sum(), n0 / (y == 0).sum()) * len(y) / (n1 + n0)
-    deltas = [(np.array(a, int), np.array(b, int)) for r in small for a, b in zip(r["plus"], r["minus"]) if a or b]
-    w, bias = train([np.array(r["own"], int) for r in small], y, weight, deltas, len(chosen_buckets), SWAP_PENALTY)
+    deltas = [(np.array(a, int), np.array(b, int)) for a, b, _ in counted]
+    times = np.array([k for _, _, k in counted], float)
+    own = [np.array(x, int) for _, x in texts]
+    w, bias = train(own, y, weight, deltas, len(chosen_buckets), SWAP_PENALTY, times)
+    bias -= cut_by_folds(own, y, weight, deltas, len(chosen_buckets), times)
     return {int(b): float(x) for b, x in zip(chosen_buckets, w) if x}, float(bias)
 
 

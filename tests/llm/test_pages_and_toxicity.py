@@ -254,6 +254,54 @@ def test_held_out_accuracy_and_swaps(spark, make_docs, monkeypatch):
     assert again == {i: r.score for i, r in free.items()}
 
 
+def test_train_reaches_the_minimum_and_swaps_count():
+    rng = np.random.default_rng(1)
+    n, size = 6, 40
+    rows = [np.nonzero(rng.random(n) < 0.4)[0] for _ in range(size)]
+    y = (rng.random(size) < 0.4).astype(int)
+    weight = rng.random(size) + 0.5
+    deltas, times = [(np.array([0]), np.array([1])), (np.array([2, 3]), np.array([], int))], np.array([3.0, 1.0])
+    w, bias = X.train(rows, y, weight, deltas, n, 2.0, times)
+
+    def loss(p):
+        s = np.array([p[r].sum() + p[n] for r in rows])
+        swap = times[0] * (p[0] - p[1]) ** 2 + times[1] * (p[2] + p[3]) ** 2
+        return (weight * (np.logaddexp(0, s) - y * s)).sum() + X.L2 / 2 * (p[:n] ** 2).sum() + 2.0 / 2 * swap
+    best = np.append(w, bias)
+    for k in range(n + 1):      # the gradient by differences vanishes
+        e = np.zeros(n + 1)
+        e[k] = 1e-4
+        assert abs(loss(best + e) - loss(best - e)) / 2e-4 < 0.05
+    again, _ = X.train(rows, y, weight, [deltas[0]] * 3 + [deltas[1]], n, 2.0)
+    assert np.allclose(w, again)
+
+
+def test_cut_is_the_best_of_all():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        size = rng.integers(2, 12)
+        s, y, weight = rng.integers(-3, 4, size).astype(float), rng.integers(0, 2, size), rng.random(size) + 0.1
+        if not y.any():
+            continue
+
+        def f1(cut):
+            called = s >= cut
+            return 2 * (weight * y)[called].sum() / (weight[called].sum() + (weight * y).sum())
+        assert np.isclose(f1(X.best_cut(s, y, weight)), max(f1(c) for c in [*s, 99.0]))
+    assert X.best_cut(np.array([5.0, -5.0]), np.array([1, 0]), np.ones(2)) == 0.0
+
+
+def test_long_text_of_group_terms(spark, make_docs, monkeypatch):
+    docs, labels, truth = labelled(spark, make_docs, 120)
+    long = " ".join(a for k in range(400) for group in X.IDENTITY for a in group[:2]) + ". " + "women men. " * 3_000
+    more = make_docs([(700 + i, long + (" vileword" if i % 2 else "")) for i in range(8)])
+    also = spark.createDataFrame([(700 + i, 1, i % 2) for i in range(8)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(X, "train", lambda rows, y, w, deltas, n, p, times=None, f=X.train: seen.append((len(deltas), times.max())) or f(rows, y, w, deltas, n, p, times))
+    rows = X.score(docs.select("doc_id", "text").unionAll(more.select("doc_id", "text")), labels.unionAll(also)).collect()
+    assert len(rows) == 128 and seen[0][0] < 2_000 < seen[0][1]
+
+
 def test_toxicity_edges(spark, make_docs):
     docs = make_docs([(1, "a"), (1, "a"), (None, "b"), (2, None), (3, "x" * 100_000)], extra=True)
     none = spark.createDataFrame([], "doc_id long, toxic int")
