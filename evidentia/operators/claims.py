@@ -162,3 +162,20 @@ def funnel(evidence: DataFrame) -> DataFrame:
         F.count_if(rel & nb).alias("relevant_not_borderline_rows"),
         F.count_if(rel & nb & st).alias("kept_stance_rows"),
         F.count_distinct(F.when(rel & nb & st, F.col("claim_id"))).alias("kept_claims"))
+
+
+def first_n(rows: DataFrame, n: int | None, group: list[str], order: list[str]) -> DataFrame:
+    """The first ``n`` rows of each group in ``order`` (make it unique: the claim
+    id last), exactly ``n`` where there are so many; all rows for None, the default of
+    every prompt builder. The rows are numbered by ranges, so no group is sorted in
+    one task, whatever ``n`` is."""
+    from evidentia.operators.numbering import numbered
+    if n is None:
+        return rows
+    numbers = numbered(rows, [F.asc(c) for c in (*group, *order)], "_no")
+    first, here = numbers.groupBy(*[F.col(c).alias(f"_{c}") for c in group]).agg(F.min("_no").alias("_first")), None
+    for c in group:
+        same = F.col(c).eqNullSafe(F.col(f"_{c}"))
+        here = same if here is None else here & same
+    joined = numbers.join(first, here) if group else numbers.withColumn("_first", F.lit(0))
+    return joined.filter(F.col("_no") - F.col("_first") < n).select(*rows.columns)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.operators.claims import select_evidence
+from evidentia.operators.claims import first_n, select_evidence
 
 # ---------------------------------------------------------------------------
 # The answer formats the parsers expect (one per prompt style).
@@ -93,10 +93,10 @@ def prompt_text(style: str, prompt_type: str, claim: Column, evidence: Column) -
 
 
 def build_prompts(claims: DataFrame, style: str, n_supports: int, n_refutes: int,
-                  inverse: bool = False) -> DataFrame:
-    """P-1..P-4: one row per claim with enough evidence, three prompts each.
-    The reference's row cap N is not applied: every claim is kept."""
-    sel = select_evidence(claims, n_supports, n_refutes, inverse)
+                  inverse: bool = False, first: int | None = None) -> DataFrame:
+    """P-1..P-4: one row per claim with enough evidence, three prompts each. ``first``
+    keeps that many claims by claim id (G9); by default every claim is kept."""
+    sel = first_n(select_evidence(claims, n_supports, n_refutes, inverse), first, [], ["claim_id"])
     ev = F.col("selected_evidence")
     return sel.select(
         "claim_id", "claim", F.col("factcheck_verdict").alias("fact_check"),

@@ -852,3 +852,12 @@ shifted AS (SELECT a.candidate, b.reference FROM num a JOIN num b ON b.k = (a.k
     "base AS (SELECT sum(round(f1 * 10000)::BIGINT) / (10000.0 * count(f1)) AS b FROM shifted JOIN rnd USING (candidate, reference))")) + f"""
 SELECT {_PK}, f1, round(b, 6) AS baseline, round((f1 - b) / (1 - b), 4) AS f1_rescaled
 FROM pairs LEFT JOIN soft USING (candidate, reference), base"""
+
+# --- wide export of long lists, first claims of each mode -----------------------------------
+_PLACES = with_(EVIDENCE, KEPT) + f"""SELECT claim_id, claim, factcheck_verdict, evidence_stance AS stance,
+  row_number() OVER (PARTITION BY claim_id, claim, factcheck_verdict, evidence_stance ORDER BY {_ORDER}) AS place, evidence FROM kept"""
+ORACLES["claims_wide_slices"] = _PLACES
+ORACLES["claims_wide_widths"] = f"SELECT stance, CAST(max(place) AS BIGINT) AS width FROM ({_PLACES}) GROUP BY stance"
+ORACLES["prompt_first_n"] = with_(*BASE) + f"""SELECT mode, claim_id, prompt_text FROM (
+  SELECT mode, claim_id, {_PB} AS prompt_text, row_number() OVER (PARTITION BY mode ORDER BY claim_id) AS k
+  FROM answers WHERE model = 'llama' AND prompt = 'basic') WHERE k <= 100"""

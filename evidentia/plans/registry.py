@@ -695,3 +695,30 @@ QUERIES.update({
     "pair_scores_soft": lambda spark, d: SO.soft_scores(_pairs(spark, d), _signatures(spark, d), _PK),
     "pair_scores_rescaled": lambda spark, d: SO.rescaled(stage_table(_pairs(spark, d), "pairs"), _signatures(spark, d), _PK),
 })
+
+
+# --- wide export of long lists, first claims of each mode ---------------------------------
+from evidentia.operators import wide as WD  # noqa: E402
+
+
+def q_claims_wide_slices(spark, d):
+    """G4-G6 for lists of any length: written as files of bounded width, read back."""
+    path = IO.scratch_path(spark, "claims-wide")
+    WD.write_wide(WD.slices(S.evidence(spark, d), 4), path, 4)
+    return WD.read_wide(spark, path, 4)
+
+
+FIRST_CLAIMS = 100
+
+
+def q_prompt_first_n(spark, d):
+    """The prompts of the first 100 claims of each mode."""
+    items = _answers(spark, d).filter((F.col("model") == "llama") & (F.col("prompt") == "basic"))
+    return C.first_n(items.select("mode", "claim_id", "prompt_text"), FIRST_CLAIMS, ["mode"], ["claim_id"])
+
+
+QUERIES.update({
+    "claims_wide_slices": q_claims_wide_slices,
+    "claims_wide_widths": lambda spark, d: WD.widths(WD.slices(S.evidence(spark, d))),
+    "prompt_first_n": q_prompt_first_n,
+})

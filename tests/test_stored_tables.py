@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import extract as X
 from evidentia.operators import align as AL
+from evidentia.operators import claims as C
 from evidentia.operators import enrich as EN
 from evidentia.operators import numbering as NB
 from evidentia.operators import observed as OB
 from evidentia.operators import pairs as PR
 from evidentia.operators import soft as SO
+from evidentia.operators import wide as WD
 from evidentia.sources import io as IO
 from evidentia.sources import stored as SD
 from evidentia.sources.versions import VersionedTable
@@ -61,6 +63,35 @@ def test_must_match_fails_the_job_that_reads(spark):
     assert EN.left_merge(left.limit(0), right.limit(0), ["id"], require_all=True).count() == 0
 
 
+# --- wide export -------------------------------------------------------------------------
+
+def test_a_claim_with_5000_pieces_of_evidence(spark, tmp_path):
+    long = [("a-1", "A\tclaim", "True", True, "supports", f'piece {i} "quoted"\nline' if i % 7 else f"piece {i}", i) for i in range(5_000)]
+    rows = long + [("b-2", "B", None, True, "refutes", "only", 0), ("b-2", "B", None, True, "refutes", None, 1),
+                   ("b-2", "B", None, True, "refutes", "third", 2), ("c-3", "C", "False", False, "supports", "x", 0), (None, "D", "True", True, "supports", "x", 0)]
+    ev = spark.createDataFrame(rows, "claim_id string, claim string, factcheck_verdict string, relevant boolean, evidence_stance string, "
+                               "evidence string, row_ord int").repartition(5)
+    cut = WD.slices(ev)
+    assert cut.agg(F.max(F.size("texts"))).first()[0] == WD.WIDTH and cut.count() == 20 + 1
+    assert dict(map(tuple, WD.widths(cut).collect())) == {"supports": 5_000, "refutes": 3}
+    WD.write_wide(cut, str(tmp_path / "wide"))
+    back = {(r.claim_id, r.factcheck_verdict, r.stance, r.place): r.evidence for r in WD.read_wide(spark, str(tmp_path / "wide")).collect()}
+    want = {("a-1", "True", "supports", i + 1): r[5] for i, r in enumerate(long)}
+    assert back == {**want, ("b-2", None, "refutes", 1): "only", ("b-2", None, "refutes", 3): "third"}
+
+
+def test_first_n_of_each_group(spark):
+    rows = [(f"g{i % 3}" if i % 3 else None, f"c{i % 40:02d}", i) for i in range(200)] + [("few", "c", 1)]
+    df = spark.createDataFrame(rows, "g string, c string, i int").repartition(6)
+    got = sorted(map(tuple, C.first_n(df, 7, ["g"], ["c", "i"]).collect()), key=str)
+    want = []
+    for g in (None, "g1", "g2", "few"):
+        want += sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])[:7]
+    assert got == sorted(want, key=str) and C.first_n(df, None, ["g"], ["c"]) is df
+    assert C.first_n(df, 0, ["g"], ["c", "i"]).count() == 0 and C.first_n(df.limit(0), 5, ["g"], ["c", "i"]).count() == 0
+    assert sorted(r.i for r in C.first_n(df, 3, [], ["i", "c"]).collect()) == [0, 1, 1]
+
+
 # --- versions ------------------------------------------------------------------------------
 
 def test_versions_replace_their_own_input(spark, monkeypatch):
