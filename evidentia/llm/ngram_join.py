@@ -25,13 +25,15 @@ near copies into all its pairs and without a list as the work of one task. A lis
 of up to ``SHORT`` members gives all its candidates, or, with more than ``DENSE`` of
 them a node, each node's nearest predecessor. Of the longer lists a node takes part
 in one (the one of the smallest digest, so near copies meet in the same), cut
-into slices that compare their members with ``PIVOTS`` members of the list. Linked
+into slices that compare their members with ``PIVOTS`` members of the list, and these
+with each other. Linked
 sets are merged into components. The long and the dense lists that still hold
 several components are then cut into tiles (a slice of the members outside the
 list's largest component with another such slice, or with a slice of the largest).
-In each of several rounds every node asks one of its lists for its nearest node of
-another component, until ``QUIET`` rounds in a row merge nothing; at last the tiles
-give all candidates across the components that are left. What is
+While there are more than ``DIRECT`` pairs a member to compare, every node asks one of
+its lists for its nearest node of another component, again as long as that merges
+anything; at last the tiles give all candidates across the components that are
+left. What is
 never tested lies within one component already, so the components are exact.
 
 The texts that need verification are picked in a second scan by a bit filter of
@@ -70,8 +72,8 @@ SAMPLE_DOCS, HOT_MIN, HOT_MAX = 5_000, 4, 65_536
 FILTER_BITS = 26
 DENSE = 8                          # candidates per node from which a list counts as dense
 SLICE = 64                         # pairs of one node that are verified together
-SHORT, PIVOTS, TILE = 64, 8, 2_048 # members of a short list, pivots of a long one, members of a slice
-QUIET = 2
+SHORT, PIVOTS, TILE = 64, 32, 2_048 # members of a short list, pivots of a long one, members of a slice
+DIRECT = 16                        # pairs across components that a member of a list may cost at once
 PART_CHARS = 32 << 20
 _CACHE = 200_000
 U = np.uint64
@@ -387,18 +389,19 @@ def _inside(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _to_pivots(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each member of a slice with its nearest pivot."""
+    """Each member of a slice with its nearest pivot, the pivots with all they may match."""
     pairs: set[tuple[int, int]] = set()
     pdf = pdf.sort_values("pivot", ascending=False, kind="stable")     # a pivot that is a member stays a pivot
     for _, part in _lists(pdf.drop_duplicates(["list", "slice", "node"]), ["list", "slice"]):
         node, size = part["node"].tolist(), part["n"].to_numpy(np.int64)
         words = folded(part["sketch"].tolist())
         pivots = np.nonzero(part["pivot"].to_numpy(bool))[0]
+        own = set(pivots.tolist()) if part["slice"].iat[0] == 0 else set()
         for i in range(len(node)):
             j, far = _near(words, size, i, pivots[pivots != i])
             if len(j):
-                x, y = node[j[np.argmin(far)]], node[i]
-                pairs.add((min(x, y), max(x, y)))
+                j = j if i in own else j[[np.argmin(far)]]
+                pairs.update((min(node[x], node[i]), max(node[x], node[i])) for x in j.tolist())
     return _pair_rows(pairs)
 
 
@@ -446,16 +449,25 @@ def _pivot_pairs(long: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     return rows.groupBy(part).applyInPandas(_to_pivots, "a long, b long")
 
 
-def _tile_pairs(members: DataFrame, nodes: DataFrame, found: DataFrame, parts: int, turn: int | None) -> DataFrame:
-    """Candidates across components of the lists whose members are (list, node): all,
-    or in a ``turn`` the nearest of each node in the list that it asks then."""
+def _mixed(members: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
+    """Lists (members are (list, node)) of several components: staged p_list, major (the
+    largest component), n_major, n_all; and how many pairs lie across components."""
     rows = members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     per = rows.groupBy(F.col("list").alias("p_list"), "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per.groupBy("p_list").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("n_major"),
-                                      F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    n_all = F.sum("n")
+    mixed = stage(per.groupBy("p_list").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("n_major"), n_all.alias("n_all"),
+        F.count(F.lit(1)).alias("comps"), ((n_all * n_all - F.sum(F.col("n") * F.col("n"))) / 2).alias("across")).filter("comps > 1"), "mixed")
+    return mixed, int(mixed.agg(F.sum("across")).first()[0] or 0)
+
+
+def _tile_pairs(members: DataFrame, mixed: DataFrame, nodes: DataFrame, found: DataFrame, parts: int, turn: int | None) -> DataFrame:
+    """Candidates across components of the ``mixed`` lists: all, or in a ``turn`` the
+    nearest of each node in the list that it asks then."""
+    rows = members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     minors = F.ceil((F.col("n_all") - F.col("n_major")) / TILE).cast("int")
     majors = F.ceil(F.col("n_major") / TILE).cast("int")
-    mixed = stage(mixed.select("p_list", "major", minors.alias("minors"), majors.alias("majors")), "mixed")
+    mixed = mixed.select("p_list", "major", minors.alias("minors"), majors.alias("majors"))
     rows = rows.join(mixed, F.col("list") == F.col("p_list"))
     asked = rows.groupBy(F.col("node").alias("a_node")).agg(
         F.min_by("list", F.xxhash64("list", F.lit(turn))).alias("a_list")) if turn is not None else None
@@ -565,6 +577,19 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
+def contracted(found: DataFrame, more: DataFrame) -> DataFrame:
+    """``found`` (staged node, comp) with the components that the links (a, b) join made one."""
+    name = lambda c: found.select(F.col("node").alias(f"n_{c}"), F.col("comp").alias(f"c_{c}"))
+    edges = more.join(name("a"), F.col("a") == F.col("n_a"), "left").join(name("b"), F.col("b") == F.col("n_b"), "left")
+    new = components(edges.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))
+    new = new.select(F.col("node").alias("old"), F.col("comp").alias("to"))
+    moved = found.join(new, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    first = new.join(found, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("to").alias("comp"))
+    out = stage(moved.unionAll(first), "components")
+    release(found)
+    return out
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> tuple[
         DataFrame, DataFrame, list[DataFrame]]:
     """(rows, links, staged): rows has doc_id, mark and mark_2 (``marks`` of id and
@@ -605,21 +630,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole:
     links = stage(_verified(first, texts), "links")
     found = components(links)
     if members is not None:
-        turn: int | None = 0
-        quiet = 0
+        turn, merged, n_members = 0, True, members.count()
         while True:
-            across = stage(_tile_pairs(members, nodes, found, parts, turn), "across")
-            more = None if across.isEmpty() else stage(_verified(across, texts), "links")
-            release(across)
+            mixed, pairs = _mixed(members, found)
+            last = pairs <= DIRECT * n_members or not merged
+            across = stage(_tile_pairs(members, mixed, nodes, found, parts, None if last else turn), "across")
+            more = stage(_verified(across, texts), "links") if pairs and not across.isEmpty() else None
+            release(across, mixed)
             merged = more is not None and not more.isEmpty()
             if merged:
-                links = links.unionAll(more)
-                release(found)
-                found = components(links)
-            if turn is None:
+                links, found = links.unionAll(more), contracted(found, more)
+            if last:
                 break
-            quiet = 0 if merged else quiet + 1
-            turn = turn + 1 if quiet < QUIET and more is not None else None
+            turn += 1
         release(members)
     release(lists, inside, first, ends, texts)
     names = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))

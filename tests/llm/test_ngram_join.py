@@ -55,7 +55,7 @@ def corpus(seed, n=60):
 @pytest.mark.parametrize("seed, short, tile", [(1, 64, 2_048), (2, 4, 3), (3, 2, 2)])
 def test_components_equal_all_pairs(make_docs, monkeypatch, seed, short, tile):
     """Also with lists of few members taken for long, and cut into small tiles."""
-    for name, value in (("SHORT", short), ("TILE", tile), ("DENSE", 8 if short > 4 else 1), ("PIVOTS", 8 if short > 4 else 2)):
+    for name, value in (("SHORT", short), ("TILE", tile), ("DIRECT", 16 if short > 4 else 0), ("DENSE", 8 if short > 4 else 1), ("PIVOTS", 8 if short > 4 else 2)):
         monkeypatch.setattr(J, name, value)
     docs = corpus(seed)
     got = {r.doc_id: r for r in J.near_duplicates(make_docs(docs)).collect()}
@@ -70,6 +70,7 @@ def test_near_copies_of_several_texts_in_one_list(make_docs, monkeypatch):
     monkeypatch.setattr(J, "SHORT", 8)
     monkeypatch.setattr(J, "TILE", 16)
     monkeypatch.setattr(J, "PIVOTS", 2)
+    monkeypatch.setattr(J, "DIRECT", 1)
     rng = random.Random(8)
     common = [f"c{i}" for i in range(60)]
     docs = []
