@@ -861,3 +861,6 @@ ORACLES["claims_wide_widths"] = f"SELECT stance, CAST(max(place) AS BIGINT) AS w
 ORACLES["prompt_first_n"] = with_(*BASE) + f"""SELECT mode, claim_id, prompt_text FROM (
   SELECT mode, claim_id, {_PB} AS prompt_text, row_number() OVER (PARTITION BY mode ORDER BY claim_id) AS k
   FROM answers WHERE model = 'llama' AND prompt = 'basic') WHERE k <= 100"""
+
+ORACLES["evidence_tsv_ranges"] = with_(EVIDENCE) + """SELECT claim_id, claim, factcheck_verdict,
+  evidence || ',' || chr(10) || '"quoted"' AS evidence, evidence_stance FROM evidence"""

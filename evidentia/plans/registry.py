@@ -722,3 +722,22 @@ QUERIES.update({
     "claims_wide_widths": lambda spark, d: WD.widths(WD.slices(S.evidence(spark, d))),
     "prompt_first_n": q_prompt_first_n,
 })
+
+
+# --- delimited files read by ranges ---------------------------------------------------------
+from evidentia.sources import ranges as RG  # noqa: E402
+
+RANGE_BYTES = 256 << 10
+_TSV_COLUMNS = ["claim_id", "claim", "factcheck_verdict", "evidence", "evidence_stance"]
+
+
+def q_evidence_tsv_ranges(spark, d):
+    """The evidence as TSV whose cells hold newlines and quotes, each file read by many tasks."""
+    ev = S.evidence(spark, d).withColumn("evidence", F.concat("evidence", F.lit(",\n\"quoted\"")))
+    path = IO.scratch_path(spark, "evidence-tsv")
+    IO.write_tsv(ev.select(*_TSV_COLUMNS), path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in _TSV_COLUMNS])
+    return RG.read_tsv_ranges(spark, path, schema, RANGE_BYTES).drop("row_ord")
+
+
+QUERIES["evidence_tsv_ranges"] = q_evidence_tsv_ranges
