@@ -23,7 +23,9 @@ a list whose Hamming distance is larger than similar sets can have.
 What is left is verified on whole n-gram sets, without expanding a group of
 near copies into all its pairs and without a list as the work of one task. A list
 of up to ``SHORT`` members gives all its candidates, or, with more than ``DENSE`` of
-them a node, each node's nearest predecessor. Of the longer lists a node takes part
+them a node, each node's nearest predecessor. Longer lists that share half their
+members (near copies have one list for each block, less those edited there) are
+united, which loses no pair. Of the united lists a node takes part
 in one (the one of the smallest digest, so near copies meet in the same), cut
 into slices that compare their members with ``PIVOTS`` members of the list, and these
 with each other. Linked
@@ -309,7 +311,9 @@ def _unpack(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The distinct member lists (handles) of one partition's buckets with two or more."""
+    """The distinct member lists (handles) of one partition's buckets with two or more;
+    ``least`` is the member of the smallest hash, which lists that share most of
+    their members mostly have in common."""
     key, node = _unpack(pdf["pack"].tolist())
     by = np.lexsort((node, key))
     key, node = key[by], node[by]
@@ -320,7 +324,34 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     many = np.nonzero(np.diff(begin) > 1)[0]
     lists = sorted({node[begin[i]:begin[i + 1]].tobytes() for i in many})
     digest = np.array([xxhash.xxh3_64_intdigest(x) for x in lists], U).astype(np.int64)
-    return pd.DataFrame({"list": digest, "handles": lists})
+    least = [int(x[np.argmin(mix(x.view(U)))]) for x in (np.frombuffer(y, np.int64) for y in lists)]
+    return pd.DataFrame({"list": digest, "handles": lists, "least": np.array(least, np.int64)})
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists, sorted by ``least``: those with one ``least`` that share half the members of
+    the shorter become their union."""
+    unions: list[np.ndarray] = []
+    key = None
+
+    def done():
+        blobs = [u.tobytes() for u in unions]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in blobs], pa.int64()), pa.array(blobs, pa.binary())],
+            names=["list", "handles"])
+    for b in batches:
+        for least, blob in zip(b.column("least").to_pylist(), b.column("handles")):
+            if least != key:
+                yield from done()
+                unions, key = [], least
+            own = np.frombuffer(blob.as_py(), np.int64)
+            for i, u in enumerate(unions):
+                if 2 * len(np.intersect1d(u, own, assume_unique=True)) >= min(len(u), len(own)):
+                    unions[i] = np.union1d(u, own)
+                    break
+            else:
+                unions.append(own)
+    yield from done()
 
 
 def _exploded(lists: DataFrame) -> DataFrame:
@@ -604,11 +635,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole:
     hot = spark.sparkContext.broadcast(_hot_ngrams(docs, n_docs))  # HOT_MAX numbers at most
     packs, rows = stage_split(_scan(docs, hot, parts), "scan", "is_pack")
     lists = stage(packs.select("part", "pack").groupBy("part").applyInPandas(
-        _bucket, "list long, handles binary").dropDuplicates(["list"]), "lists")
+        _bucket, "list long, handles binary, least long").dropDuplicates(["list"]), "lists")
     release(packs)
     nodes = rows.filter("handle is not null").select("handle", "node", "n", "sketch")
     is_long = F.octet_length("handles") > 8 * SHORT
-    short, long = lists.filter(~is_long), lists.filter(is_long)
+    short, long = lists.filter(~is_long).select("list", "handles"), lists.filter(is_long)
+    long = stage(long.repartition("least").sortWithinPartitions("least").mapInArrow(_united, "list long, handles binary"), "united")
     any_long = not long.isEmpty()
     by_part = F.pmod("list", F.lit(parts)).cast("int").alias("part")
     inside = stage(_exploded(short).join(nodes, "handle").drop("handle").groupBy(by_part).applyInPandas(
@@ -644,7 +676,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole:
                 break
             turn += 1
         release(members)
-    release(lists, inside, first, ends, texts)
+    release(lists, long, inside, first, ends, texts)
     names = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     members = names.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = members.groupBy("comp").agg(F.min("least_id").alias("component_id"))

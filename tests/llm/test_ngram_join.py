@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from evidentia.llm import ngram_join as J
@@ -121,6 +122,19 @@ def test_edges(make_docs):
     assert J.near_duplicates(make_docs([])).count() == 0
 
 
+def test_united_lists_hold_all_pairs():
+    rng = np.random.default_rng(3)
+    group = np.sort(rng.integers(0, 1 << 40, 300))
+    lists = [np.sort(rng.choice(group, rng.integers(2, 300), replace=False)) for _ in range(60)] + [np.array([5, 7]), np.array([5, 9])]
+    least = [int(x[np.argmin(J.mix(x.view(np.uint64)))]) for x in lists]
+    rows = sorted(zip(least, lists), key=lambda r: r[0])
+    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), pa.array([x.tobytes() for _, x in part])], names=["least", "handles"])
+               for part in (rows[:20], rows[20:21], rows[21:])]
+    got = [np.frombuffer(x, np.int64) for b in J._united(iter(batches)) for x in b.column("handles").to_pylist()]
+    assert len(got) < len(lists) and all((np.diff(g) > 0).all() for g in got)
+    assert all(any(np.isin(x, g).all() for g in got) for x in lists)
+
+
 def test_keep_one_of_repeated_rows(make_docs):
     rows = [(1, None, "a"), (1, None, "a"), (1, "", "a"), (1, " ", "b"), (None, "", "a"), (None, "", "a"),
             (5, "one two three", "a"), (5, "one two three", "b"), (5, "one two three", "b"), (9, "one two three", "a"), (None, "one two three", "a")]
