@@ -1,6 +1,6 @@
 """Model hooks (U1-U3): the points where a user's model plugs into a job.
 
-Each hook is a ``mapInPandas`` over Arrow batches. The model is built once
+Each hook is a ``mapInPandas`` (the logits: ``mapInArrow``) over Arrow batches. The model is built once
 per task by a user factory (no model object is shipped from the driver), and
 it is called in micro-batches of ``batch_size`` texts. Every output row keeps
 the key columns of its input row, so responses are never matched to prompts
@@ -14,6 +14,7 @@ import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -55,16 +56,18 @@ def first_token_logits(prompts: DataFrame, factory: Callable[[], Logits],
     MAP<STRING, DOUBLE> (the input of ``functions.logits``)."""
     schema = T.StructType(prompts.schema.fields +
                           [T.StructField(out_col, T.MapType(T.StringType(), T.DoubleType()))])
+    maps = pa.map_(pa.string(), pa.float64())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the other columns pass as they are, the maps are built from their entries
         logits = factory()
-        for pdf in batches:
-            texts = pdf[text_col].fillna("").tolist()
-            out: list[dict[str, float]] = []
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column(text_col).to_pylist()]
+            out: list = []
             for chunk in _chunks(texts, batch_size):
-                out.extend(logits(chunk))
-            yield pdf.assign(**{out_col: out})
-    return prompts.mapInPandas(run, schema)
+                out.extend(None if d is None else list(d.items()) for d in logits(chunk))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, maps)], names=[*batch.schema.names, out_col])
+    return prompts.mapInArrow(run, schema)
 
 
 def score_pairs(pairs: DataFrame, factory: Callable[[], Score],
