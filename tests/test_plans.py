@@ -66,3 +66,28 @@ def test_no_cross_join_and_python_only_in_tile_scorer_and_hooks(spark):
             assert python == (name in ("greedy_match", "evidence_tsv_ranges") or name.startswith("hook_")), name
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_response_code_is_small_enough_to_compile(spark):
+    """The JVM interprets generated methods of more than 8,000 bytes and never compiles them."""
+    import re
+    from evidentia.functions import extract as X
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        qe = S.answers(spark, SF).select("claim_id", X.verdict_strict("response").alias("v"))._jdf.queryExecution()
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", qe.explainString(mode))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes and max(sizes) < 8000
+
+
+def test_tokens_and_bullets_compile_their_patterns_once(spark):
+    """``split`` compiles its pattern for every row."""
+    from evidentia.functions import extract as X
+    from evidentia.operators import pairs as PR
+    d = spark.createDataFrame([("- a b\n-- [c] 2 \"d\"",)], "t string")
+    x = d.select(X.bullets("t").alias("b"), PR.tokens(d.t).alias("k"))
+    assert "split(" not in _plan(x)
+    assert tuple(x.first()) == (["a b", "c] 2 \"d\"", "d"], ["a", "b", "c", "2", "d"])
