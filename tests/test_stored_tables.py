@@ -18,6 +18,7 @@ from evidentia.operators import observed as OB
 from evidentia.operators import pairs as PR
 from evidentia.operators import soft as SO
 from evidentia.operators import wide as WD
+from evidentia.plans import ingest as IN
 from evidentia.sources import io as IO
 from evidentia.sources import stored as SD
 from evidentia.sources.versions import VersionedTable
@@ -276,3 +277,12 @@ def test_soft_scores_compare_few_token_pairs_at_once(spark, monkeypatch):
         if key != "blank":
             assert got[key] == pytest.approx(plain_soft(a, b, sig), abs=6e-5)
     assert got["blank"] == (None, None, None) and got["same"] == (1.0, 1.0, 1.0) and len(got) == len(rows)
+
+
+def test_judge_nested_by_one_exchange(spark, settings):
+    settings("spark.sql.adaptive.enabled", "false")
+    rows = [("m", "mix", f"c{i}", p, e, f"{i}{p}{e}") for i in range(20) for p in ("basic", "claim") for e in ("x", "y")]
+    judge = spark.createDataFrame(rows, "generator_model string, mode string, claim_id string, prompt string, evaluator string, eval_text string")
+    nested = IN.nested_judge(judge)
+    assert nested._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(tuple(r) for r in IN.explode_judge(nested).collect()) == sorted(rows)
