@@ -268,3 +268,34 @@ def test_judge_nested_by_one_exchange(spark, settings):
     nested = IN.nested_judge(judge)
     assert nested._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     assert sorted(tuple(r) for r in IN.explode_judge(nested).collect()) == sorted(rows)
+
+
+def test_run_files_are_compressed_and_claims_dealt(spark, tmp_path, monkeypatch):
+    """positional_match: the claims go to the ranges, not the 36 answers of each, and the
+    files, compressed, hold the answers of a model and mode in order."""
+    from evidentia.plans import registry as R
+    from evidentia.sources import surrogate as S
+    k = F.col("id")
+    spark.range(300).select(
+        k.alias("o_orderkey"), (k % 50).alias("o_custkey"), F.lit("2024-01-01").cast("date").alias("o_orderdate"),
+        F.lit("1-URGENT").alias("o_orderpriority"), F.lit("O").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1500).select(
+        (k % 300).alias("l_orderkey"), F.floor(k / 300).alias("l_linenumber"), k.alias("l_partkey"), (k % 9).alias("l_suppkey"),
+        F.lit(20.0).alias("l_quantity"), F.lit(1.0).alias("l_extendedprice"), F.lit("2024-01-01").cast("date").alias("l_shipdate"),
+        F.lit(0.0).alias("l_discount"), F.lit(0.0).alias("l_tax"),
+        F.when(k % 2 == 0, "N").otherwise("R").alias("l_returnflag")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    path = str(tmp_path / "run")
+    monkeypatch.setattr(R.IO, "scratch_path", lambda spark, name: path)
+    rows = R._run_files(spark, str(tmp_path), 0).collect()
+    files = [f.name for f in (tmp_path / "run").rglob("part-*")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    want = {}
+    for r in sorted(S.answers(spark, str(tmp_path)).collect(), key=lambda r: (r.claim_id, r.prompt_no)):
+        want.setdefault((r.model, r.mode), []).append((r.prompt, r.response or None))
+    got = {}
+    for r in sorted(rows, key=lambda r: r.pos):
+        got.setdefault((r.model, r.mode), []).append((r.prompt, r.response or None))
+        assert r.pos == len(got[r.model, r.mode]) - 1
+    assert got == want and len(rows) == 4_050
+    plan = S.answers(spark, str(tmp_path), by_claim=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Generate") < plan.index("RepartitionByExpression")
