@@ -6,10 +6,10 @@ a node's children all differ in kind. Simple tree matching then is a heaviest
 increasing subsequence of the children that two nodes have in common, weighed
 by the matches below them: exact, and in n log n steps for n children.
 
-The trees of a bounded sample of each host's pages (``SAMPLE`` distinct pages,
-chosen by hash) are aligned one after the other into the host's template; it
-keeps the nodes that half of them have. Every page of the host is aligned with
-that template, and (node, text) is counted over all distinct pages of the host;
+As the children of a node differ in kind, a node is told by the kinds on its way to
+the root. A host's template has the nodes that half of its distinct pages have,
+counted over all of them, siblings in the order that more pages have. Every page
+of the host is aligned with that template, and (node, text) is counted over all distinct pages of the host;
 pages that differ in dropped places only are one. At a node, the texts that
 stand on ``CONSTANT_SHARE`` of the host's pages are template if they are all that
 stands there, or no more than half of it; otherwise the node is a slot (near
@@ -23,11 +23,10 @@ Every page is then extracted whole with its host's wrapper, aligned again, so a
 template text goes where it is template only. A host with fewer than
 ``MIN_PAGES`` distinct pages has no template texts, and the places alone decide.
 
-The sample has the page of the smallest hash of each of ``2 * SAMPLE`` hash
-classes of a host, an aggregate that combines before the shuffle; the counts
-combine likewise, so a hot host sends few rows. Templates and constants are staged
-before they are joined to the pages, so the planner broadcasts them only if their
-real size allows it.
+Pages of one layout are counted together; the counts of layouts, nodes, neighbours and
+texts combine before the shuffle, so a hot host sends few rows. Templates and
+constants are staged before they are joined to the pages, so the planner broadcasts
+them only if their real size allows it.
 
 All walks over trees are loops; elements nested deeper than ``MAX_DEPTH`` become
 siblings, as in browsers, and keep their texts. Defined results: a null or empty
@@ -43,20 +42,22 @@ import html as html_lib
 import json
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import by_value, stage
+from evidentia.llm.common import by_value, release, stage
 from evidentia.llm.url_filter import split_url
 
 by_value(__name__)
 
-SAMPLE, MIN_PAGES, CONSTANT_SHARE, LONG_WORDS, MAX_DEPTH = 16, 4, 0.8, 8, 512
+MIN_PAGES, CONSTANT_SHARE, LONG_WORDS, MAX_DEPTH = 4, 0.8, 8, 512
+_CACHE = 200_000
 WHOLE, PART = 0.9, 0.52      # shares of a node's texts: all of them, no more than half, with some noise
 
 _TOKEN = re.compile(
@@ -213,11 +214,11 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
 
 class Place:
     """A node of a compact tree: children by kind, in the order of their first ones."""
-    __slots__ = ("children", "pages", "name")
+    __slots__ = ("children", "name")
 
     def __init__(self, name: int = -1):
         self.children: dict[str, Place] = {}
-        self.pages, self.name = 1, name
+        self.name = name
 
 
 def compact(root: Node) -> tuple[Place, dict[Node, Place]]:
@@ -281,52 +282,89 @@ def match(a: Place, b: Place) -> tuple[int, list[tuple[Place, Place]]]:
     return size[0], out
 
 
-def _merge(template: Place, tree: Place) -> None:
-    """Add a page's tree to the template: aligned nodes count the page, children of
-    aligned nodes that the template lacks follow the last aligned one before them."""
-    pairs = match(template, tree)[1]
-    known = {id(y) for _, y in pairs}
-    for x, y in pairs:
-        x.pages += 1
-        out: list[tuple[str, Place]] = []
-        new = {k: c for k, c in y.children.items() if k not in x.children}
-        if new:
-            after: dict[str | None, list[str]] = {}
-            last = None
-            for k, c in y.children.items():
-                if id(c) in known:
-                    last = k
-                elif k in new:
-                    after.setdefault(last, []).append(k)
-            for k in [None, *x.children]:
-                if k is not None:
-                    out.append((k, x.children[k]))
-                out += [(n, new[n]) for n in after.get(k, ())]
-            x.children = dict(out)
+def layout(top: Place) -> list[tuple[int, str]]:
+    """A compact tree as (place of the parent in the list, kind), parents first and
+    siblings in order; the root is place 0."""
+    out, todo = [], [(-1, "#root", top)]
+    for up, kind, place in todo:
+        out.append((up, kind))
+        todo += [(len(out) - 1, k, c) for k, c in place.children.items()]
+    return out
+
+
+def node_names(flat: list[tuple[int, str]]) -> list[int]:
+    """A 64-bit name for each node of a layout, from the kinds on its way to the root:
+    siblings differ in kind, so nodes of two pages are one node if their names agree."""
+    names: list[int] = []
+    for up, kind in flat:
+        names.append(text_hash(f"{names[up] if up >= 0 else ''} {kind}"))
+    return names
+
+
+def followers(flat: list[tuple[int, str]], kept: frozenset[int] | set[int]) -> list[tuple[int, int]]:
+    """(node, next kept sibling) of the kept nodes of a layout."""
+    last: dict[int, int] = {}
+    out = []
+    for (up, _), name in zip(flat, node_names(flat)):
+        if name in kept:
+            if up in last:
+                out.append((last[up], name))
+            last[up] = name
+    return out
+
+
+def assembled(nodes: dict[int, tuple[int | None, str]], follows: dict[tuple[int, int], int]) -> list[tuple[int, str]]:
+    """The layout of the kept ``nodes`` (name -> (name of the parent, kind)). Siblings
+    stand in the order in which more pages have them one after the other; where these
+    orders run in a circle, first comes the one that fewest pages have behind another."""
+    below: dict[int | None, list[int]] = {}
+    for name, (up, _) in nodes.items():
+        below.setdefault(up, []).append(name)
+    behind, after = dict.fromkeys(nodes, 0), {name: [] for name in nodes}
+    for (x, y), n in follows.items():
+        more = n - follows.get((y, x), 0)
+        if more > 0:
+            after[x].append((y, more))
+            behind[y] += more
+    out, todo = [], [(-1, name) for name in below.get(None, ())]
+    for up, name in todo:
+        out.append((up, nodes[name][1]))
+        heap = [(behind[c], nodes[c][1], c) for c in below.get(name, ())]
+        heapify(heap)
+        done = set()
+        at = len(out) - 1
+        while heap:
+            left, _, c = heappop(heap)
+            if c in done or left != behind[c]:
+                continue
+            done.add(c)
+            todo.append((at, c))
+            for y, more in after[c]:
+                if y not in done:
+                    behind[y] -= more
+                    heappush(heap, (behind[y], nodes[y][1], y))
+    return out
 
 
 def induce(pages: list[str]) -> list[tuple[int, str]]:
-    """The template of some pages, as (place of the parent in the list, kind) of the
-    nodes that half of them have, parents first; the root is place 0. Empty for
-    fewer than MIN_PAGES pages."""
+    """The template of some pages: the layout of the nodes that half of them have.
+    Empty for fewer than MIN_PAGES pages."""
     if len(pages) < MIN_PAGES:
         return []
-    template = None
-    for page in pages:
-        tree = compact(parse(page)[0])[0]
-        if template is None:
-            template = tree
-        else:
-            _merge(template, tree)
-    out, todo = [], [(-1, "#root", template)]
-    for up, kind, place in todo:
-        out.append((up, kind))
-        todo += [(len(out) - 1, k, c) for k, c in place.children.items() if 2 * c.pages >= len(pages)]
-    return out
+    flats = [layout(compact(parse(page)[0])[0]) for page in pages]
+    counts: Counter[int] = Counter()
+    nodes: dict[int, tuple[int | None, str]] = {}
+    for flat in flats:
+        names = node_names(flat)
+        counts.update(names)
+        nodes.update((name, (names[up] if up >= 0 else None, kind)) for name, (up, kind) in zip(names, flat))
+    kept = {name for name, n in counts.items() if 2 * n >= len(pages)}
+    follows = Counter(pair for flat in flats for pair in followers(flat, kept))
+    return assembled({name: nodes[name] for name in kept}, follows)
 
 
 def rebuilt(flat: list[tuple[int, str]]) -> Place:
-    """The template tree of a list made by ``induce``; names are places in the list."""
+    """The tree of a layout; names are places in the list."""
     places: list[Place] = []
     for name, (up, kind) in enumerate(flat):
         places.append(Place(name))
@@ -379,20 +417,74 @@ class Templates(dict):
         return made
 
 
-def _template(pdf: pd.DataFrame) -> pd.DataFrame:
-    flat = induce(pdf.sort_values("mark")["html"].tolist()[:SAMPLE])
-    return pd.DataFrame({"w_host": [pdf["host"].iloc[0]], "template": [json.dumps(flat)]})
-
-
 def templates(pages: DataFrame) -> DataFrame:
-    """Staged w_host, template (JSON of ``induce``) of the hosts of ``pages`` (host, html)."""
-    rows = pages.filter(F.length("html") > 0).withColumn("mark", F.xxhash64("html"))
-    keys = rows.groupBy("host", F.pmod("mark", F.lit(2 * SAMPLE)).alias("class")).agg(F.min("mark").alias("mark"))
-    keys = stage(keys.select(F.col("host").alias("k_host"), F.col("mark").alias("k_mark")), "sample")
-    sample = rows.join(keys, (F.col("host") == F.col("k_host")) & (F.col("mark") == F.col("k_mark"))).select(
-        "host", "mark", "html").dropDuplicates(["host", "mark"])
-    return stage(sample.groupBy("host").applyInPandas(_template, "w_host string, template string").filter(
-        "template <> '[]'"), "templates")
+    """Staged w_host, template (JSON of a layout) of the hosts of ``pages`` (host, html):
+    ``induce`` over all distinct pages of each host, as counts."""
+    rows = pages.filter(F.length("html") > 0).select("host", F.xxhash64("html").alias("mark"), "html")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = set()
+        for b in batches:
+            names, trees = [], []
+            for page in b.column("html"):
+                tree = json.dumps(layout(compact(parse(page.as_py())[0])[0]), separators=(",", ":"))
+                names.append(text_hash(tree))
+                trees.append(None if names[-1] in sent else tree)
+                if len(sent) >= _CACHE:
+                    sent.clear()
+                sent.add(names[-1])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("host"), b.column("mark"), pa.array(names, pa.int64()), pa.array(trees, pa.string())],
+                names=["host", "mark", "layout", "tree"])
+    read_all = stage(rows.mapInArrow(read, "host string, mark long, layout long, tree string"), "layouts")
+    uses = read_all.select("host", "mark", "layout").dropDuplicates(["host", "mark"]).groupBy("host", "layout").agg(
+        F.count(F.lit(1)).alias("n"))
+    total = uses.groupBy(F.col("host").alias("t_host")).agg(F.sum("n").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
+    trees = read_all.filter("tree is not null").select(F.col("layout").alias("t_layout"), "tree").dropDuplicates(["t_layout"])
+    used = stage(uses.join(total, F.col("host") == F.col("t_host")).join(trees, F.col("layout") == F.col("t_layout")).select(
+        "host", "n", "pages", "tree"), "used")
+    release(read_all)
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for host, n, pages, tree in zip(*(b.column(c).to_pylist() for c in ("host", "n", "pages", "tree"))):
+                flat = json.loads(tree)
+                names, k = node_names(flat), len(flat)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([host] * k, pa.string()), pa.array(names, pa.int64()),
+                     pa.array([names[up] if up >= 0 else None for up, _ in flat], pa.int64()), pa.array([kind for _, kind in flat], pa.string()),
+                     pa.array([n] * k, pa.int64()), pa.array([pages] * k, pa.int64())],
+                    names=["host", "node", "up", "kind", "n", "pages"])
+    each = used.mapInArrow(nodes, "host string, node long, up long, kind string, n long, pages long")
+    kept = each.groupBy("host", "node", "up", "kind", "pages").agg(F.sum("n").alias("n")).filter(2 * F.col("n") >= F.col("pages"))
+    kept = stage(kept.groupBy(F.col("host").alias("w_host")).agg(           # twice as many nodes as a page has at most
+        F.collect_list(F.struct("node", "up", "kind")).alias("nodes")), "nodes")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for host, n, tree, some in zip(*(b.column(c).to_pylist() for c in ("host", "n", "tree", "some"))):
+                found = followers(json.loads(tree), set(some))
+                if found:
+                    first, second = zip(*found)
+                    k = len(found)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([host] * k, pa.string()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array([n] * k, pa.int64())],
+                        names=["host", "first", "second", "n"])
+    order = used.join(kept.select("w_host", F.col("nodes.node").alias("some")), F.col("host") == F.col("w_host")).select(
+        "host", "n", "tree", "some").mapInArrow(pairs, "host string, first long, second long, n long")
+    follows = order.groupBy("host", "first", "second").agg(F.sum("n").alias("n")).groupBy(F.col("host").alias("f_host")).agg(
+        F.collect_list(F.struct("first", "second", "n")).alias("follows"))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flats = [json.dumps(assembled({x["node"]: (x["up"], x["kind"]) for x in some},
+                                          {(x["first"], x["second"]): x["n"] for x in seen or ()}))
+                     for some, seen in zip(b.column("nodes").to_pylist(), b.column("follows").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("w_host"), pa.array(flats, pa.string())], names=["w_host", "template"])
+    whole = kept.join(follows, F.col("w_host") == F.col("f_host"), "left").select("w_host", "nodes", "follows")
+    out = stage(whole.mapInArrow(put, "w_host string, template string"), "templates")
+    release(used, kept)
+    return out
 
 
 def constants(pages: DataFrame, found: DataFrame) -> DataFrame:

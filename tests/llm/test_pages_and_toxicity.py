@@ -1,6 +1,7 @@
 """WARC round trip and index, HTML extraction, toxicity."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -147,6 +148,22 @@ def test_template_keeps_nodes_of_half_the_pages():
     assert [c.name for c in H.rebuilt(flat).children.values()] == [1, 2]
 
 
+def test_templates_count_all_pages_of_a_host(spark):
+    """A node on exactly half of a host's pages is kept, whichever pages have it; the
+    order of siblings is that of most pages. Repeated pages count once."""
+    rows = []
+    for h in range(12):
+        for i in range(40):
+            own = "<div class=own>o</div>" if i % 2 else ""
+            rest = f"<p>{h} {i}</p><ul>u</ul>" if i % 8 else f"<ul>u</ul><p>{h} {i}</p>"
+            rows.append((f"h{h}.org", f"<div class=top>t</div>{own}{rest}"))
+        rows += [rows[-2]] * 9 + [(f"h{h}.org", None), (f"h{h}.org", "")]
+    rows += [("four.org", f"<p>{i}") for i in range(4)] + [("three.org", f"<p>{i}") for i in range(3)] + [("three.org", "<p>0")] * 4
+    got = {r.w_host: json.loads(r.template) for r in H.templates(spark.createDataFrame(rows, "host string, html string")).collect()}
+    want = [[-1, "#root"], [0, "div.top"], [0, "div.own"], [0, "p"], [0, "ul"]]
+    assert got == {**{f"h{h}.org": want for h in range(12)}, "four.org": [[-1, "#root"], [0, "p"]]}
+
+
 def texts_of(spark, pages):
     df = spark.createDataFrame([(i, "http://h.org/x", h) for i, h in enumerate(pages)], PAGE)
     return [r.text for r in H.extract_pages(df).orderBy("page_id").collect()]
