@@ -1,6 +1,6 @@
 """Model hooks (U1-U3): the points where a user's model plugs into a job.
 
-Each hook is a ``mapInPandas`` (the logits: ``mapInArrow``) over Arrow batches. The model is built once
+Each hook is a ``mapInArrow`` (the pair scorer: ``mapInPandas``) over Arrow batches. The model is built once
 per task by a user factory (no model object is shipped from the driver), and
 it is called in micro-batches of ``batch_size`` texts. Every output row keeps
 the key columns of its input row, so responses are never matched to prompts
@@ -34,19 +34,21 @@ def _chunks(values: list, size: int) -> Iterator[list]:
 
 
 def complete(prompts: DataFrame, factory: Callable[[], Generate], text_col: str = "prompt_text",
-             out_col: str = "response", batch_size: int = 4) -> DataFrame:
-    """One response per prompt row, from ``factory()``'s generate call."""
-    schema = T.StructType(prompts.schema.fields + [T.StructField(out_col, T.StringType())])
+             out_col: str = "response", batch_size: int = 4, keep: Sequence[str] | None = None) -> DataFrame:
+    """One response per prompt row, from ``factory()``'s generate call. The rows
+    keep the columns ``keep`` (by default all), so long prompts need not come back."""
+    keep = prompts.columns if keep is None else list(keep)
+    schema = T.StructType([prompts.schema[c] for c in keep] + [T.StructField(out_col, T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         generate = factory()
-        for pdf in batches:
-            texts = pdf[text_col].fillna("").tolist()
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column(text_col).to_pylist()]
             out: list[str] = []
             for chunk in _chunks(texts, batch_size):
                 out.extend(generate(chunk))
-            yield pdf.assign(**{out_col: out})
-    return prompts.mapInPandas(run, schema)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, out_col])
+    return prompts.mapInArrow(run, schema)
 
 
 def first_token_logits(prompts: DataFrame, factory: Callable[[], Logits],
